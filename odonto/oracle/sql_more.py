@@ -1,3 +1,72 @@
 """Oracle SQL for audits, jobs, feeds and streams."""
 
-from odonto.oracle.sql import BODIES  # noqa: F401
+from __future__ import annotations
+
+from odonto.oracle.sql import BODIES
+from odonto.schemas import DOMAINS, FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, UNIQUE_KEYS
+
+
+def _row(table, rule, key, detail):
+    return (f"SELECT '{table}' AS table_name, '{rule}' AS rule, CAST({key} AS VARCHAR) AS record_key, "
+            f"CAST({detail} AS VARCHAR) AS detail")
+
+
+BODIES["dq_not_null"] = "\nUNION ALL\n".join(
+    f"{_row(tb, 'NOT_NULL', PRIMARY_KEYS[tb], repr(f.name))} FROM {tb} WHERE {f.name} IS NULL"
+    for tb, s in SCHEMAS.items() for f in s.fields if not f.nullable)
+
+
+def _unique(keys):
+    return "\nUNION ALL\n".join(
+        f"{_row(tb, 'UNIQUE(' + ','.join(cols) + ')', 'k', 'n')} FROM "
+        f"(SELECT concat_ws('|', {', '.join(f'CAST({c} AS VARCHAR)' for c in cols)}) AS k, count(*) AS n "
+        f"FROM {tb} GROUP BY {', '.join(cols)} HAVING count(*) > 1)"
+        for tb, cols in keys)
+
+
+BODIES["dq_unique"] = _unique(UNIQUE_KEYS)
+BODIES["dq_unique_slot"] = _unique([("appointments", ("dentist_id", "appointment_date", "appointment_time"))])
+
+BODIES["dq_checks"] = "\nUNION ALL\n".join([
+    f"{_row('clinic_timings', 'CHECK(opening_time < closing_time)', 'timing_id', 'NULL')} FROM clinic_timings WHERE NOT (opening_time < closing_time)",
+    f"{_row('patients', 'CHECK(LENGTH(phone) >= 7)', 'patient_id', 'NULL')} FROM patients WHERE NOT (octet_length(encode(phone)) >= 7)",
+    f"{_row('treatments', 'CHECK(cost >= 0)', 'treatment_id', 'NULL')} FROM treatments WHERE NOT (cost >= 0)",
+    f"{_row('bills', 'CHECK(amounts >= 0)', 'bill_id', 'NULL')} FROM bills WHERE NOT (subtotal >= 0 AND discount_amount >= 0 AND total_amount >= 0)",
+    f"{_row('payments', 'CHECK(paid_amount > 0)', 'payment_id', 'NULL')} FROM payments WHERE NOT (paid_amount > 0)",
+    f"{_row('medicines', 'CHECK(quantity >= 0 AND low_stock_limit >= 0)', 'medicine_id', 'NULL')} FROM medicines WHERE NOT (quantity >= 0 AND low_stock_limit >= 0)",
+])
+
+BODIES["dq_domains"] = "\nUNION ALL\n".join(
+    f"{_row(tb, f'ENUM({c})', PRIMARY_KEYS[tb], c)} FROM {tb} WHERE {c} IS NOT NULL AND {c} NOT IN "
+    f"({', '.join(repr(v) for v in vals)})"
+    for (tb, c), vals in DOMAINS.items())
+
+BODIES["dq_orphans"] = "\nUNION ALL\n".join(
+    f"{_row(child, f'FK({col})->{parent}', PRIMARY_KEYS[child], col)} FROM {child} c WHERE {col} IS NOT NULL "
+    f"AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pcol} = c.{col})"
+    for child, col, parent, pcol, _ in FOREIGN_KEYS)
+
+BODIES["dq_bill_status"] = """
+WITH paid AS (SELECT bill_id, sum(paid_amount) AS s, count(*) AS n FROM payments GROUP BY bill_id),
+d AS (
+  SELECT b.bill_id, b.status,
+         CASE WHEN COALESCE(p.n, 0) = 0 THEN 'UNPAID'
+              WHEN p.s >= b.total_amount THEN 'PAID' WHEN p.s > 0 THEN 'PARTIAL' ELSE 'UNPAID' END AS derived
+  FROM bills b LEFT JOIN paid p ON p.bill_id = b.bill_id)
+SELECT 'bills' AS table_name, 'DERIVED_STATUS' AS rule, CAST(bill_id AS VARCHAR) AS record_key,
+       status || '->' || derived AS detail
+FROM d WHERE derived <> status"""
+
+BODIES["delete_actions"] = """
+WITH k AS (SELECT patient_id FROM patients WHERE is_deleted),
+r AS (
+  SELECT patient_id,
+         CASE WHEN patient_id IN (SELECT patient_id FROM appointments) THEN 'referenced by appointments.patient_id'
+              WHEN patient_id IN (SELECT patient_id FROM treatments) THEN 'referenced by treatments.patient_id'
+              WHEN patient_id IN (SELECT patient_id FROM bills) THEN 'referenced by bills.patient_id' END AS reason
+  FROM k)
+SELECT 'patients' AS table_name, CAST(patient_id AS VARCHAR) AS record_key,
+       CASE WHEN reason IS NULL THEN 'DELETED' ELSE 'REJECTED' END AS action, reason AS detail FROM r
+UNION ALL
+SELECT 'patient_medical_history', CAST(history_id AS VARCHAR), 'CASCADE_DELETED', 'patient_id'
+FROM patient_medical_history WHERE patient_id IN (SELECT patient_id FROM r WHERE reason IS NULL)"""

@@ -1 +1,51 @@
-"""Registered queries for audits, jobs, feeds and streams (filled in as they land)."""
+"""Registered queries for audits, jobs, feeds and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from odonto.plans import audits
+from odonto.registry import register
+
+
+# --- data-quality audits ---------------------------------------------------
+@register("dq_not_null")
+def _q(t, spark, d):
+    return audits.not_null(t)
+
+
+@register("dq_unique")
+def _q(t, spark, d):
+    return audits.unique(t)
+
+
+@register("dq_unique_slot")
+def _q(t, spark, d):
+    return audits.unique_slot(t)
+
+
+@register("dq_checks")
+def _q(t, spark, d):
+    return audits.checks(t)
+
+
+@register("dq_domains")
+def _q(t, spark, d):
+    return audits.domains(t)
+
+
+@register("dq_orphans")
+def _q(t, spark, d):
+    return audits.orphans(t)
+
+
+@register("dq_bill_status")
+def _q(t, spark, d):
+    return audits.bill_status(t)
+
+
+@register("delete_actions")
+def _q(t, spark, d):
+    keys = t.patients.filter(F.col("is_deleted")).select("patient_id")
+    report, _ = audits.delete_with_actions(t, "patients", keys)
+    return report

@@ -36,7 +36,7 @@ SCHEMAS: dict[str, T.StructType] = {
         ("history_id", L, False), ("patient_id", L, False), ("allergies", S, True),
         ("current_medications", S, True), ("medical_notes", S, True), ("updated_at", TS, True)),
     "dentists": _struct(
-        ("dentist_id", L, False), ("dentist_code", S, False), ("name", S, False), ("phone", S, True),
+        ("dentist_id", L, False), ("dentist_code", S, False), ("name", S, False), ("phone", S, False),
         ("email", S, True), ("specialization", S, False), ("is_active", B, False),
         ("created_at", TS, True)),
     "appointments": _struct(
