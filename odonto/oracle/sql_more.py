@@ -70,3 +70,183 @@ SELECT 'patients' AS table_name, CAST(patient_id AS VARCHAR) AS record_key,
 UNION ALL
 SELECT 'patient_medical_history', CAST(history_id AS VARCHAR), 'CASCADE_DELETED', 'patient_id'
 FROM patient_medical_history WHERE patient_id IN (SELECT patient_id FROM r WHERE reason IS NULL)"""
+
+
+# --- bulk write jobs ---------------------------------------------------------
+def _pos_id(x):
+    """positive-id test on text x."""
+    n = f"TRY_CAST(trim({x}) AS DOUBLE)"
+    return f"({n} IS NOT NULL AND {n} = floor({n}) AND {n} > 0)"
+
+
+def _split(col):
+    return (f"CAST(split_part({col}, '|', 1) AS INTEGER) AS status_code, "
+            f"substr({col}, strpos({col}, '|') + 1) AS reason")
+
+
+_BOOK_REQ = """
+req AS (
+  SELECT event_id AS seq, user_id % 25 + 1 AS caller_id, 'STAFF' AS caller_role,
+         CAST(user_id + 1 AS VARCHAR) AS patient_id,
+         CAST(user_id % (SELECT count(*) FROM supplier) + 1 AS VARCHAR) AS dentist_id,
+         strftime(CAST(ts AS DATE) + 7, '%Y-%m-%d') AS appointment_date,
+         strftime(ts, '%H:00') AS appointment_time, event_type AS problem_description
+  FROM events)"""
+
+
+def _book(strict: bool) -> str:
+    dup = ("WHEN EXISTS (SELECT 1 FROM appointments a WHERE a.dentist_id = v.did AND a.appointment_date = v.d "
+           "AND a.appointment_time = v.tm) THEN '409|Duplicate entry. This record already exists or the appointment slot is booked.'"
+           if strict else "")
+    return f"""
+WITH {_BOOK_REQ},
+v0 AS (
+  SELECT seq, coalesce(caller_id, 1) AS created_by,
+         CASE WHEN NOT {_pos_id('patient_id')} THEN '400|patient_id must be a valid positive id'
+              WHEN NOT {_pos_id('dentist_id')} THEN '400|dentist_id must be a valid positive id'
+              WHEN coalesce(trim(appointment_date), '') = '' THEN '400|appointment_date is required'
+              WHEN NOT regexp_matches(substr(trim(appointment_date), 1, 10), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN '400|appointment_date must use YYYY-MM-DD format'
+              WHEN coalesce(trim(appointment_time), '') = '' THEN '400|appointment_time is required'
+              WHEN NOT regexp_matches(substr(trim(appointment_time), 1, 8), '^[0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}})?$') THEN '400|appointment_time must use HH:MM format'
+         END AS pre,
+         CAST(TRY_CAST(trim(patient_id) AS DOUBLE) AS BIGINT) AS pid,
+         CAST(TRY_CAST(trim(dentist_id) AS DOUBLE) AS BIGINT) AS did,
+         substr(trim(appointment_date), 1, 10) AS dtext,
+         TRY_CAST(substr(trim(appointment_date), 1, 10) AS DATE) AS d,
+         CASE WHEN length(substr(trim(appointment_time), 1, 8)) = 5 THEN substr(trim(appointment_time), 1, 8) || ':00'
+              ELSE substr(trim(appointment_time), 1, 8) END AS tm
+  FROM req),
+v AS (
+  SELECT v0.*, ct.opening_time AS op, ct.closing_time AS cl, ct.is_closed AS closed
+  FROM v0 LEFT JOIN (SELECT * FROM clinic_timings WHERE clinic_id = 1) ct ON ct.day_of_week = upper(dayname(v0.d))),
+chk AS (
+  SELECT seq, created_by, pid, did, d, tm,
+    CASE WHEN pre IS NOT NULL THEN pre
+         WHEN pid NOT IN (SELECT patient_id FROM patients WHERE NOT is_deleted) THEN '404|Patient not found'
+         WHEN did NOT IN (SELECT dentist_id FROM dentists WHERE is_active) THEN '404|Dentist not found or inactive'
+         WHEN op IS NULL OR closed THEN '400|Clinic is closed on the selected date'
+         WHEN tm < op OR tm >= cl THEN '400|Appointment time must be between ' || substr(op, 1, 5) || ' and ' || substr(cl, 1, 5)
+         WHEN EXISTS (SELECT 1 FROM appointments a WHERE a.dentist_id = v.did AND a.appointment_date = v.d
+                      AND a.appointment_time = v.tm AND a.status <> 'CANCELLED') THEN '409|This dentist already has an appointment in this slot'
+         WHEN CAST(substr(tm, 4, 2) AS INT) >= 60 OR CAST(substr(tm, 7, 2) AS INT) >= 60 THEN '500|Incorrect time value'
+         {dup}
+    END AS fail
+  FROM v),
+passed AS (
+  SELECT *, min(seq) OVER (PARTITION BY did, d, tm) AS first_seq FROM chk WHERE fail IS NULL),
+won AS (
+  SELECT seq, (SELECT coalesce(max(appointment_id), 0) FROM appointments) + row_number() OVER (ORDER BY seq) AS id
+  FROM passed WHERE seq = first_seq)
+SELECT seq, {_split('fail')}, CAST(NULL AS BIGINT) AS record_id, CAST(NULL AS VARCHAR) AS record_code
+FROM chk WHERE fail IS NOT NULL
+UNION ALL
+SELECT seq, 409, 'This dentist already has an appointment in this slot', NULL, NULL FROM passed WHERE seq <> first_seq
+UNION ALL
+SELECT seq, 201, NULL, id, printf('APT-%05d', id) FROM won"""
+
+
+BODIES["book_appointments"] = _book(True)
+BODIES["book_appointments_lenient"] = _book(False)
+
+_ACCESS = """CASE WHEN role = 'OWNER' THEN NULL
+              WHEN role <> 'STAFF' THEN '403|Billing is not available for this role'
+              WHEN NOT coalesce(can_bill, FALSE) THEN '403|Staff billing access is disabled' END"""
+
+BODIES["create_bills"] = f"""
+WITH req AS (
+  SELECT o_orderkey AS seq, o_custkey % 25 + 1 AS caller_id,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN 'OWNER' WHEN o_orderpriority = '2-HIGH' THEN 'staff'
+              WHEN o_orderpriority = '5-LOW' THEN 'CUSTOMER' ELSE 'STAFF' END AS caller_role,
+         CAST(o_custkey + 1 AS VARCHAR) AS patient_id,
+         CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey * 100 + 1 AS VARCHAR) WHEN o_orderkey % 3 = 1 THEN ''
+              ELSE CAST(o_orderkey * 100 + 9 AS VARCHAR) END AS treatment_id,
+         CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) AS subtotal,
+         CAST(CAST(o_totalprice * (o_orderkey % 7) / 5 AS DECIMAL(12,2)) AS VARCHAR) AS discount_amount
+  FROM orders),
+v AS (
+  SELECT r.*, upper(coalesce(caller_role, 'OWNER')) AS role, coalesce(caller_id, 1) AS cid,
+         sp.can_manage_billing AS can_bill,
+         coalesce(treatment_id, '') <> '' AS has_tid,
+         TRY_CAST(trim(subtotal) AS DOUBLE) AS sub_n,
+         TRY_CAST(trim(CASE WHEN coalesce(discount_amount, '') = '' THEN '0' ELSE discount_amount END) AS DOUBLE) AS dis_n,
+         TRY_CAST(round(TRY_CAST(trim(subtotal) AS DECIMAL(38,10)), 2) AS DECIMAL(10,2)) AS sub_m,
+         TRY_CAST(round(TRY_CAST(trim(CASE WHEN coalesce(discount_amount, '') = '' THEN '0' ELSE discount_amount END) AS DECIMAL(38,10)), 2) AS DECIMAL(10,2)) AS dis_m,
+         CAST(TRY_CAST(trim(patient_id) AS DOUBLE) AS BIGINT) AS pid,
+         CAST(TRY_CAST(trim(treatment_id) AS DOUBLE) AS BIGINT) AS tid
+  FROM req r LEFT JOIN staff_permissions sp ON sp.staff_user_id = coalesce(r.caller_id, 1)),
+chk AS (
+  SELECT seq, cid, pid, tid, has_tid, sub_m, dis_m,
+    CASE WHEN {_ACCESS} IS NOT NULL THEN {_ACCESS}
+         WHEN NOT {_pos_id('patient_id')} THEN '400|patient_id must be a valid positive id'
+         WHEN has_tid AND NOT {_pos_id('treatment_id')} THEN '400|treatment_id must be a valid positive id'
+         WHEN sub_n IS NULL OR isnan(sub_n) OR isinf(sub_n) OR sub_n < 0 THEN '400|subtotal must be a valid non-negative number'
+         WHEN dis_n IS NULL OR isnan(dis_n) OR isinf(dis_n) OR dis_n < 0 THEN '400|discount_amount must be a valid non-negative number'
+         WHEN dis_n > sub_n THEN '400|Discount amount cannot be greater than subtotal'
+         WHEN pid NOT IN (SELECT patient_id FROM patients WHERE NOT is_deleted) THEN '404|Patient not found'
+         WHEN has_tid AND tid NOT IN (SELECT treatment_id FROM treatments) THEN '404|Treatment not found'
+         WHEN sub_m IS NULL OR dis_m IS NULL THEN '500|Out of range value for a DECIMAL(10,2) amount'
+    END AS fail
+  FROM v),
+ok AS (
+  SELECT seq, (SELECT coalesce(max(bill_id), 0) FROM bills) + row_number() OVER (ORDER BY seq) AS id
+  FROM chk WHERE fail IS NULL)
+SELECT seq, {_split('fail')}, CAST(NULL AS BIGINT) AS record_id, CAST(NULL AS VARCHAR) AS record_code
+FROM chk WHERE fail IS NOT NULL
+UNION ALL
+SELECT seq, 201, NULL, id, printf('BIL-%05d', id) FROM ok"""
+
+BODIES["add_payments"] = f"""
+WITH RECURSIVE req AS (
+  SELECT l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS seq,
+         l_suppkey % 25 + 1 AS caller_id,
+         CASE WHEN l_linestatus = 'O' THEN 'OWNER' ELSE 'STAFF' END AS caller_role,
+         CAST(l_orderkey + 1 AS VARCHAR) AS bill_id,
+         CAST(CAST(l_extendedprice * l_discount AS DECIMAL(12,2)) AS VARCHAR) AS paid_amount,
+         CASE WHEN l_returnflag = 'A' THEN 'cash' WHEN l_returnflag = 'R' THEN 'Card' ELSE 'cheque' END AS payment_method
+  FROM lineitem),
+v AS (
+  SELECT r.*, upper(coalesce(caller_role, 'OWNER')) AS role, sp.can_manage_billing AS can_bill,
+         TRY_CAST(trim(paid_amount) AS DOUBLE) AS amt_n,
+         TRY_CAST(trim(paid_amount) AS DECIMAL(38,10)) AS amount_raw,
+         TRY_CAST(round(TRY_CAST(trim(paid_amount) AS DECIMAL(38,10)), 2) AS DECIMAL(10,2)) AS amount,
+         upper(trim(CASE WHEN coalesce(payment_method, '') = '' THEN 'CASH' ELSE payment_method END)) AS method,
+         CAST(TRY_CAST(trim(bill_id) AS DOUBLE) AS BIGINT) AS bid
+  FROM req r LEFT JOIN staff_permissions sp ON sp.staff_user_id = coalesce(r.caller_id, 1)),
+chk AS (
+  SELECT seq, bid, amount_raw, amount,
+    CASE WHEN {_ACCESS} IS NOT NULL THEN {_ACCESS}
+         WHEN NOT {_pos_id('bill_id')} THEN '400|bill_id must be a valid positive id'
+         WHEN amt_n IS NULL OR isnan(amt_n) OR isinf(amt_n) OR amt_n < 0 THEN '400|paid_amount must be a valid non-negative number'
+         WHEN amt_n <= 0 THEN '400|paid_amount must be greater than zero'
+         WHEN bid NOT IN (SELECT bill_id FROM billing_summary_view) THEN '404|Bill not found'
+    END AS pre,
+    CASE WHEN method = '' THEN '400|payment_method is required'
+         WHEN amount IS NULL THEN '500|Out of range value for column ''paid_amount'''
+         WHEN method NOT IN ('CASH', 'CARD', 'BANK_TRANSFER') THEN '500|Data truncated for column ''payment_method'''
+    END AS ins
+  FROM v),
+cand AS (
+  SELECT seq, bid, amount_raw, amount, ins, row_number() OVER (PARTITION BY bid ORDER BY seq) AS rn
+  FROM chk WHERE pre IS NULL),
+bal AS (SELECT bill_id, CAST(remaining_balance AS DECIMAL(38,2)) AS rem FROM billing_summary_view),
+fold(bid, rn, seq, left_after, accepted, over_bal, ins) AS (
+  SELECT c.bid, c.rn, c.seq,
+         CAST(CASE WHEN c.amount_raw > b.rem OR c.ins IS NOT NULL THEN b.rem ELSE b.rem - c.amount END AS DECIMAL(38,2)),
+         NOT (c.amount_raw > b.rem) AND c.ins IS NULL, c.amount_raw > b.rem, c.ins
+  FROM cand c JOIN bal b ON b.bill_id = c.bid WHERE c.rn = 1
+  UNION ALL
+  SELECT c.bid, c.rn, c.seq,
+         CAST(CASE WHEN c.amount_raw > f.left_after OR c.ins IS NOT NULL THEN f.left_after ELSE f.left_after - c.amount END AS DECIMAL(38,2)),
+         NOT (c.amount_raw > f.left_after) AND c.ins IS NULL, c.amount_raw > f.left_after, c.ins
+  FROM fold f JOIN cand c ON c.bid = f.bid AND c.rn = f.rn + 1),
+ok AS (
+  SELECT seq, (SELECT coalesce(max(payment_id), 0) FROM payments) + row_number() OVER (ORDER BY seq) AS id
+  FROM fold WHERE accepted)
+SELECT seq, {_split('pre')}, CAST(NULL AS BIGINT) AS record_id, CAST(NULL AS VARCHAR) AS record_code
+FROM chk WHERE pre IS NOT NULL
+UNION ALL
+SELECT seq, 400, 'Payment is greater than remaining balance', NULL, NULL FROM fold WHERE over_bal
+UNION ALL
+SELECT seq, {_split('ins')}, NULL, NULL FROM fold WHERE NOT accepted AND NOT over_bal
+UNION ALL
+SELECT seq, 201, NULL, id, NULL FROM ok"""

@@ -49,3 +49,35 @@ def _q(t, spark, d):
     keys = t.patients.filter(F.col("is_deleted")).select("patient_id")
     report, _ = audits.delete_with_actions(t, "patients", keys)
     return report
+
+
+# --- bulk write jobs -------------------------------------------------------
+from odonto.plans import jobs  # noqa: E402
+from odonto.sources import requests as rq  # noqa: E402
+
+JOB_AS_OF = "2024-01-15 12:00:00"
+
+
+def _as_of():
+    import datetime as dt
+    return dt.datetime.fromisoformat(JOB_AS_OF)
+
+
+@register("book_appointments")
+def _q(t, spark, d):
+    return jobs.book_appointments(t, rq.booking_requests(spark, d), _as_of(), strict=True).outcome
+
+
+@register("book_appointments_lenient")
+def _q(t, spark, d):
+    return jobs.book_appointments(t, rq.booking_requests(spark, d), _as_of(), strict=False).outcome
+
+
+@register("create_bills")
+def _q(t, spark, d):
+    return jobs.create_bills(t, rq.bill_requests(spark, d), _as_of()).outcome
+
+
+@register("add_payments")
+def _q(t, spark, d):
+    return jobs.add_payments(t, rq.payment_requests(spark, d), _as_of()).outcome
