@@ -81,3 +81,34 @@ def _q(t, spark, d):
 @register("add_payments")
 def _q(t, spark, d):
     return jobs.add_payments(t, rq.payment_requests(spark, d), _as_of()).outcome
+
+
+from odonto.plans import records  # noqa: E402
+
+_RECORD_JOBS = {
+    "add_patients": (records.add_patients, rq.patient_requests),
+    "patch_patients": (records.patch_patients, rq.patient_patch_requests),
+    "soft_delete_patients": (records.soft_delete_patients, rq.patient_delete_requests),
+    "add_dentists": (records.add_dentists, rq.dentist_requests),
+    "patch_dentists": (records.patch_dentists, rq.dentist_patch_requests),
+    "patch_appointments": (records.patch_appointments, rq.appointment_patch_requests),
+    "cancel_appointments": (records.cancel_appointments, rq.appointment_cancel_requests),
+    "add_treatments": (records.add_treatments, rq.treatment_requests),
+    "patch_treatments": (records.patch_treatments, rq.treatment_patch_requests),
+    "add_medicines": (records.add_medicines, rq.medicine_requests),
+    "patch_medicines": (records.patch_medicines, rq.medicine_patch_requests),
+    "upsert_permissions": (records.upsert_permissions, rq.permission_requests),
+    "patch_clinic": (records.patch_clinic, rq.clinic_requests),
+    "patch_timings": (records.patch_timings, rq.timing_requests),
+}
+
+
+def _record_job(job, build):
+    def q(t, spark, d):
+        return job(t, build(spark, d), _as_of()).outcome
+    q.__doc__ = job.__doc__
+    return q
+
+
+for _name, (_job, _build) in _RECORD_JOBS.items():
+    register(_name)(_record_job(_job, _build))

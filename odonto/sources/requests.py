@@ -5,7 +5,7 @@ caller headers ``caller_id`` / ``caller_role`` and the body fields as text.
 For patch requests a ``has_<field>`` flag tells an absent field from a
 JSON ``null`` (the first is not touched, the second is written as '').
 
-The ``*_from_driver`` builders only project driver rows onto that shape;
+The builders below only project driver rows onto that shape;
 all validation and application is done by the jobs.
 """
 
@@ -84,3 +84,181 @@ def payment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") + 1).cast("string").alias("bill_id"),
         (F.col("l_extendedprice") * F.col("l_discount")).cast("decimal(12,2)").cast("string").alias("paid_amount"),
         method.alias("payment_method"), F.lit(None).cast(T.StringType()).alias("notes"))
+
+
+def _n_events(spark, sf_dir):
+    return driver(spark, sf_dir, "events").agg(F.count(F.lit(1))).scalar()
+
+
+def patient_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer asks to be registered as a patient."""
+    c = driver(spark, sf_dir, "customer")
+    ck = F.col("c_custkey")
+    return c.select(
+        ck.alias("seq"),
+        F.when(F.col("c_acctbal") < -900, F.lit(" ")).otherwise(F.col("c_name")).alias("name"),
+        F.when(ck % 13 == 0, F.lit("12345")).otherwise(F.concat(F.lit("0300-"), F.lpad(ck.cast("string"), 7, "0")))
+         .alias("phone"),
+        F.lit(None).cast("string").alias("email"),
+        F.when(ck % 4 == 0, "male").when(ck % 4 == 1, "Female").when(ck % 4 == 2, "").otherwise("x").alias("gender"),
+        F.when(ck % 17 == 0, F.lit("1990-02-30"))
+         .otherwise(F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), (ck * 13 % 20000).cast("int")),
+                                  "yyyy-MM-dd")).alias("date_of_birth"),
+        F.col("c_mktsegment").alias("address"), F.col("c_mktsegment").alias("allergies"),
+        F.lit(None).cast("string").alias("current_medications"), F.lit("").alias("medical_notes"))
+
+
+def patient_patch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order patches its customer's patient record; which fields it
+    carries depends on the order key (several patches hit one patient)."""
+    o = driver(spark, sf_dir, "orders")
+    ok = F.col("o_orderkey")
+    return o.select(
+        ok.alias("seq"), (F.col("o_custkey") + 1).cast("string").alias("patient_id"),
+        F.concat(F.lit("Patient "), ok.cast("string")).alias("name"), (ok % 5 == 0).alias("has_name"),
+        ok.cast("string").alias("phone"), (ok % 7 == 0).alias("has_phone"),
+        F.lit(None).cast("string").alias("email"), F.lit(False).alias("has_email"),
+        F.when(F.col("o_orderstatus") == "F", "female").when(F.col("o_orderstatus") == "O", "male")
+         .otherwise("unknown").alias("gender"), (ok % 11 == 0).alias("has_gender"),
+        F.lit(None).cast("string").alias("date_of_birth"), F.lit(False).alias("has_date_of_birth"),
+        F.col("o_orderpriority").alias("address"), (ok % 3 == 0).alias("has_address"),
+        F.lit("None").alias("allergies"), (ok % 4 == 0).alias("has_allergies"),
+        F.lit(None).cast("string").alias("current_medications"), F.lit(False).alias("has_current_medications"),
+        F.lit(None).cast("string").alias("medical_notes"), F.lit(False).alias("has_medical_notes"))
+
+
+def patient_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order asks to soft-delete its customer's patient record."""
+    o = driver(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") + 1).cast("string").alias("patient_id"))
+
+
+def dentist_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = driver(spark, sf_dir, "supplier")
+    sk = F.col("s_suppkey")
+    return s.select(sk.alias("seq"), F.col("s_name").alias("name"),
+                    F.concat(F.lit("0304-"), F.lpad(sk.cast("string"), 7, "0")).alias("phone"),
+                    F.lit(None).cast("string").alias("email"),
+                    F.when(F.col("s_acctbal") < 0, F.lit("")).otherwise(F.lit("General Dentistry"))
+                    .alias("specialization"))
+
+
+def dentist_patch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = driver(spark, sf_dir, "supplier")
+    nk = F.col("s_nationkey")
+    return s.select(
+        F.col("s_suppkey").alias("seq"), (F.col("s_suppkey") + 1).cast("string").alias("dentist_id"),
+        F.upper("s_name").alias("name"), (nk % 3 == 0).alias("has_name"),
+        F.lit(None).cast("string").alias("phone"), F.lit(False).alias("has_phone"),
+        F.lit(None).cast("string").alias("email"), F.lit(False).alias("has_email"),
+        F.lit(None).cast("string").alias("specialization"), (nk % 5 == 4).alias("has_specialization"),
+        F.when(F.col("s_acctbal") > 0, "true").otherwise("false").alias("is_active"), (nk % 2 == 0).alias("has_is_active"))
+
+
+def appointment_patch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event patches an appointment: status, time or date by event type."""
+    e = driver(spark, sf_dir, "events")
+    et = F.col("event_type")
+    none = F.lit(None).cast("string")
+    return e.select(
+        F.col("event_id").alias("seq"),
+        ((F.col("event_id") * 7) % _n_events(spark, sf_dir) + 1).cast("string").alias("appointment_id"),
+        none.alias("patient_id"), F.lit(False).alias("has_patient_id"),
+        none.alias("dentist_id"), F.lit(False).alias("has_dentist_id"),
+        F.date_format(F.date_add(F.col("ts").cast("date"), 1), "yyyy-MM-dd").alias("appointment_date"),
+        (et == "signup").alias("has_appointment_date"),
+        F.date_format("ts", "HH:30").alias("appointment_time"), (et == "click").alias("has_appointment_time"),
+        F.when(et == "purchase", "completed").when(et == "error", "cancelled").otherwise("pending").alias("status"),
+        et.isin("purchase", "error", "view").alias("has_status"),
+        none.alias("problem_description"), F.lit(False).alias("has_problem_description"))
+
+
+def appointment_cancel_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = driver(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("seq"),
+                    ((F.col("event_id") * 31) % _n_events(spark, sf_dir) + 1).cast("string").alias("appointment_id"))
+
+
+def treatment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _line_rank(driver(spark, sf_dir, "lineitem"))
+    return li.select(
+        (F.col("l_orderkey") * 100 + F.col("_rn")).alias("seq"),
+        (F.col("l_partkey") + 1).cast("string").alias("patient_id"),
+        (F.col("l_suppkey") + 1).cast("string").alias("dentist_id"),
+        F.when(F.col("l_linenumber") == 1, (F.col("l_orderkey") + 1).cast("string")).otherwise(F.lit(""))
+         .alias("appointment_id"),
+        F.concat(F.lit("Procedure "), F.col("l_returnflag"), F.col("l_linestatus")).alias("treatment_name"),
+        F.lit(None).cast("string").alias("notes"),
+        F.col("l_extendedprice").cast("decimal(12,2)").cast("string").alias("cost"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("treatment_date"),
+        F.when(F.col("l_linestatus") == "F", "done").otherwise("planned").alias("status"))
+
+
+def treatment_patch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = driver(spark, sf_dir, "orders")
+    ok = F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    return o.select(
+        ok.alias("seq"), (ok * 100 + 1).cast("string").alias("treatment_id"),
+        none.alias("treatment_name"), F.lit(False).alias("has_treatment_name"),
+        none.alias("notes"), F.lit(False).alias("has_notes"),
+        (F.col("o_totalprice") / 100).cast("decimal(12,2)").cast("string").alias("cost"), (ok % 2 == 0).alias("has_cost"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("treatment_date"), (ok % 5 == 0).alias("has_treatment_date"),
+        F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "planned")
+         .otherwise("paused").alias("status"), (ok % 3 == 0).alias("has_status"))
+
+
+def medicine_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = driver(spark, sf_dir, "part")
+    pk = F.col("p_partkey")
+    return p.select(
+        pk.alias("seq"), F.col("p_name").alias("medicine_name"), F.col("p_brand").alias("batch_no"),
+        (F.col("p_size") - 5).cast("string").alias("quantity"),
+        F.when(F.col("p_size") % 4 == 0, F.lit("0")).otherwise((F.col("p_size") % 20).cast("string"))
+         .alias("low_stock_limit"),
+        F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (pk % 720).cast("int")), "yyyy-MM-dd")
+         .alias("expiry_date"))
+
+
+def medicine_patch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _line_rank(driver(spark, sf_dir, "lineitem"))
+    none = F.lit(None).cast("string")
+    return li.select(
+        (F.col("l_orderkey") * 100 + F.col("_rn")).alias("seq"),
+        (F.col("l_partkey") + 1).cast("string").alias("medicine_id"),
+        none.alias("medicine_name"), F.lit(False).alias("has_medicine_name"),
+        none.alias("batch_no"), F.lit(False).alias("has_batch_no"),
+        (F.col("l_quantity").cast("int") - 3).cast("string").alias("quantity"), F.lit(True).alias("has_quantity"),
+        (F.col("l_linenumber") + 9).cast("string").alias("low_stock_limit"),
+        (F.col("l_linenumber") == 1).alias("has_low_stock_limit"),
+        none.alias("expiry_date"), F.lit(False).alias("has_expiry_date"))
+
+
+def permission_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = driver(spark, sf_dir, "customer")
+    ck = F.col("c_custkey")
+    return c.select(
+        ck.alias("seq"), F.when(ck % 3 == 0, "STAFF").otherwise("owner").alias("caller_role"),
+        F.when(ck % 29 == 0, F.lit(999)).otherwise(F.col("c_nationkey") + 1).cast("string").alias("staff_user_id"),
+        F.when(F.col("c_acctbal") > 0, "true").otherwise("false").alias("can_manage_billing"),
+        F.lit(True).alias("has_can_manage_billing"),
+        F.when(ck % 4 == 0, "false").otherwise("1").alias("can_view_reports"), (ck % 2 == 0).alias("has_can_view_reports"))
+
+
+def clinic_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = driver(spark, sf_dir, "region")
+    return r.select(F.col("r_regionkey").alias("seq"), F.col("r_name").alias("clinic_name"),
+                    F.lit("Main Road").alias("address"), F.lit("0300-0000000").alias("phone"),
+                    F.lit(None).cast("string").alias("email"),
+                    F.when(F.col("r_regionkey") == 2, F.lit("")).otherwise(F.lit("923000000000")).alias("whatsapp_number"))
+
+
+def timing_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = driver(spark, sf_dir, "nation")
+    rk = F.col("n_regionkey")
+    return n.select(
+        F.col("n_nationkey").alias("seq"), (F.col("n_nationkey") % 7 + 1).cast("string").alias("timing_id"),
+        F.when(rk == 0, "08:00").when(rk == 1, "10:30").when(rk == 2, "9:00").when(rk == 3, "").otherwise("19:00")
+         .alias("opening_time"),
+        F.when(rk == 1, "17:00").otherwise(F.lit(None)).alias("closing_time"),
+        F.when(F.col("n_nationkey") % 6 == 0, "true").otherwise("false").alias("is_closed"))
