@@ -250,3 +250,436 @@ UNION ALL
 SELECT seq, {_split('ins')}, NULL, NULL FROM fold WHERE NOT accepted AND NOT over_bal
 UNION ALL
 SELECT seq, 201, NULL, id, NULL FROM ok"""
+
+
+# --- record-maintenance jobs -------------------------------------------------
+def _req(x, n):
+    """requiredText value: trimmed, cut to n."""
+    return f"substr(trim(coalesce({x}, '')), 1, {n})"
+
+
+def _truthy(x):
+    return (f"NOT ({x} IS NULL OR {x} = '' OR {x} = 'false' OR {x} = 'null' "
+            f"OR coalesce(TRY_CAST({x} AS DOUBLE) = 0, FALSE))")
+
+
+def _key(x):
+    return f"CAST(TRY_CAST({x} AS DOUBLE) AS BIGINT)"
+
+
+def _fails_then_ok(chk, ok_code, id_expr="NULL", code_expr="NULL"):
+    return (f"SELECT seq, coalesce(CAST(split_part(fail, '|', 1) AS INTEGER), {ok_code}) AS status_code, "
+            f"CASE WHEN fail IS NULL THEN NULL ELSE substr(fail, strpos(fail, '|') + 1) END AS reason, "
+            f"CAST({id_expr} AS BIGINT) AS record_id, CAST({code_expr} AS VARCHAR) AS record_code FROM {chk}")
+
+
+def _inserted(chk, table, id_col, fmt=None):
+    code = f"printf('{fmt}', id)" if fmt else "NULL"
+    return f"""ok AS (SELECT seq, (SELECT coalesce(max({id_col}), 0) FROM {table}) + row_number() OVER (ORDER BY seq) AS id
+        FROM {chk} WHERE fail IS NULL)
+SELECT seq, {_split('fail')}, CAST(NULL AS BIGINT) AS record_id, CAST(NULL AS VARCHAR) AS record_code
+FROM {chk} WHERE fail IS NOT NULL
+UNION ALL
+SELECT seq, 201, NULL, id, {code} FROM ok"""
+
+
+BODIES["add_patients"] = f"""
+WITH req AS (
+  SELECT c_custkey AS seq, CASE WHEN c_acctbal < -900 THEN ' ' ELSE c_name END AS name,
+         CASE WHEN c_custkey % 13 = 0 THEN '12345' ELSE '0300-' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') END AS phone,
+         CASE c_custkey % 4 WHEN 0 THEN 'male' WHEN 1 THEN 'Female' WHEN 2 THEN '' ELSE 'x' END AS gender,
+         CASE WHEN c_custkey % 17 = 0 THEN '1990-02-30'
+              ELSE strftime(DATE '1950-01-01' + CAST(c_custkey * 13 % 20000 AS INT), '%Y-%m-%d') END AS date_of_birth
+  FROM customer),
+v AS (
+  SELECT seq, {_req('name', 120)} AS name, {_req('phone', 30)} AS phone,
+         upper({_req("CASE WHEN gender IS NULL OR gender = '' THEN 'OTHER' ELSE gender END", 10)}) AS gender,
+         NULLIF(date_of_birth, '') AS dob_text
+  FROM req),
+chk AS (
+  SELECT seq, CASE WHEN name = '' THEN '400|name is required' WHEN phone = '' THEN '400|phone is required'
+    WHEN gender = '' THEN '400|gender is required'
+    WHEN gender NOT IN ('MALE', 'FEMALE', 'OTHER') THEN '500|Data truncated for column ''gender'''
+    WHEN dob_text IS NOT NULL AND TRY_CAST(dob_text AS DATE) IS NULL THEN '500|Incorrect date value'
+    WHEN octet_length(encode(phone)) < 7 THEN '500|Check constraint ''chk_patient_phone'' is violated.' END AS fail
+  FROM v),
+{_inserted('chk', 'patients', 'patient_id', 'PAT-%05d')}"""
+
+_PATIENT_PATCH_REQ = """
+req AS (
+  SELECT o_orderkey AS seq, CAST(o_custkey + 1 AS VARCHAR) AS patient_id,
+         'Patient ' || CAST(o_orderkey AS VARCHAR) AS name, o_orderkey % 5 = 0 AS has_name,
+         CAST(o_orderkey AS VARCHAR) AS phone, o_orderkey % 7 = 0 AS has_phone,
+         CASE o_orderstatus WHEN 'F' THEN 'female' WHEN 'O' THEN 'male' ELSE 'unknown' END AS gender,
+         o_orderkey % 11 = 0 AS has_gender,
+         o_orderpriority AS address, o_orderkey % 3 = 0 AS has_address,
+         'None' AS allergies, o_orderkey % 4 = 0 AS has_allergies
+  FROM orders)"""
+
+_PATIENT_PATCH_CHK = f"""
+v AS (
+  SELECT r.*, {_key('patient_id')} AS pid,
+         has_name OR has_phone OR has_gender OR has_address AS sets_p, has_allergies AS sets_h
+  FROM req r),
+w AS (
+  SELECT v.*, pid IN (SELECT patient_id FROM patients) AS found,
+         pid IN (SELECT patient_id FROM patient_medical_history) AS has_hist
+  FROM v),
+chk AS (
+  SELECT seq, pid, w.*, CASE
+    WHEN has_name AND {_req('name', 120)} = '' THEN '400|name is required'
+    WHEN has_phone AND {_req('phone', 30)} = '' THEN '400|phone is required'
+    WHEN has_gender AND {_req('gender', 10)} = '' THEN '400|gender is required'
+    WHEN sets_p AND found AND has_gender AND upper({_req('gender', 10)}) NOT IN ('MALE', 'FEMALE', 'OTHER')
+         THEN '500|Data truncated for column ''gender'''
+    WHEN sets_p AND found AND has_phone AND octet_length(encode({_req('phone', 30)})) < 7
+         THEN '500|Check constraint ''chk_patient_phone'' is violated.'
+    WHEN sets_h AND NOT found AND NOT has_hist THEN '500|Cannot add or update a child row: a foreign key constraint fails'
+  END AS fail
+  FROM w)"""
+
+BODIES["patch_patients"] = f"""
+WITH {_PATIENT_PATCH_REQ},{_PATIENT_PATCH_CHK}
+{_fails_then_ok('chk', 200, 'pid')}"""
+
+BODIES["patch_patients_result"] = f"""
+WITH {_PATIENT_PATCH_REQ},{_PATIENT_PATCH_CHK},
+ok AS (SELECT * FROM chk WHERE fail IS NULL AND sets_p AND found),
+m AS (
+  SELECT pid,
+         arg_max({_req('name', 120)}, seq) FILTER (WHERE has_name) AS name,
+         arg_max({_req('phone', 30)}, seq) FILTER (WHERE has_phone) AS phone,
+         arg_max(upper({_req('gender', 10)}), seq) FILTER (WHERE has_gender) AS gender,
+         arg_max(substr(trim(coalesce(address, '')), 1, 255), seq) FILTER (WHERE has_address) AS address,
+         bool_or(has_name) AS hn, bool_or(has_phone) AS hp, bool_or(has_gender) AS hg, bool_or(has_address) AS ha
+  FROM ok GROUP BY pid),
+h AS (SELECT pid, arg_max(substr(trim(coalesce(allergies, '')), 1, 500), seq) AS allergies
+      FROM chk WHERE fail IS NULL AND sets_h GROUP BY pid)
+SELECT p.patient_id, CASE WHEN m.hn THEN m.name ELSE p.name END AS name,
+       CASE WHEN m.hp THEN m.phone ELSE p.phone END AS phone,
+       CASE WHEN m.hg THEN m.gender ELSE p.gender END AS gender,
+       CASE WHEN m.ha THEN m.address ELSE p.address END AS address,
+       m.pid IS NOT NULL AS touched,
+       coalesce(h.allergies, mh.allergies) AS allergies,
+       CASE WHEN h.pid IS NOT NULL THEN '' ELSE mh.current_medications END AS current_medications,
+       CASE WHEN h.pid IS NOT NULL THEN '' ELSE mh.medical_notes END AS medical_notes
+FROM patients p LEFT JOIN m ON m.pid = p.patient_id LEFT JOIN h ON h.pid = p.patient_id
+LEFT JOIN patient_medical_history mh ON mh.patient_id = p.patient_id"""
+
+BODIES["patch_patients_audit"] = f"""
+WITH {_PATIENT_PATCH_REQ},{_PATIENT_PATCH_CHK},
+ok AS (SELECT c.seq, c.pid, c.has_name, {_req('c.name', 120)} AS new_name, p.name AS base_name
+       FROM chk c JOIN patients p ON p.patient_id = c.pid WHERE fail IS NULL AND sets_p),
+seqd AS (
+  SELECT *, coalesce(last_value(CASE WHEN has_name THEN new_name END IGNORE NULLS) OVER (
+              PARTITION BY pid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), base_name) AS prev
+  FROM ok)
+SELECT 'PATIENT_UPDATED' AS action_type, 'patients' AS table_name, pid AS record_id, prev AS old_value,
+       CASE WHEN has_name THEN new_name ELSE prev END AS new_value
+FROM seqd"""
+
+BODIES["soft_delete_patients"] = f"""
+SELECT o_orderkey AS seq, 200 AS status_code, CAST(NULL AS VARCHAR) AS reason,
+       CAST(o_custkey + 1 AS BIGINT) AS record_id, CAST(NULL AS VARCHAR) AS record_code
+FROM orders"""
+
+BODIES["soft_delete_patients_audit"] = """
+WITH r AS (SELECT o_orderkey AS seq, o_custkey + 1 AS pid FROM orders),
+h AS (SELECT r.seq, p.patient_id, p.name, p.is_deleted, min(r.seq) OVER (PARTITION BY p.patient_id) AS first_seq
+      FROM r JOIN patients p ON p.patient_id = r.pid)
+SELECT CASE WHEN seq = first_seq AND NOT is_deleted THEN 'PATIENT_SOFT_DELETED' ELSE 'PATIENT_UPDATED' END AS action_type,
+       'patients' AS table_name, patient_id AS record_id, name AS old_value, name AS new_value
+FROM h"""
+
+BODIES["add_dentists"] = f"""
+WITH req AS (
+  SELECT s_suppkey AS seq, s_name AS name, '0304-' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') AS phone,
+         CASE WHEN s_acctbal < 0 THEN '' ELSE 'General Dentistry' END AS specialization
+  FROM supplier),
+chk AS (
+  SELECT seq, CASE WHEN {_req('name', 120)} = '' THEN '400|name is required'
+    WHEN {_req('phone', 30)} = '' THEN '400|phone is required'
+    WHEN {_req('specialization', 120)} = '' THEN '400|specialization is required' END AS fail
+  FROM req),
+{_inserted('chk', 'dentists', 'dentist_id', 'DEN-%04d')}"""
+
+BODIES["patch_dentists"] = f"""
+WITH req AS (
+  SELECT s_suppkey AS seq, CAST(s_suppkey + 1 AS VARCHAR) AS dentist_id, upper(s_name) AS name,
+         s_nationkey % 3 = 0 AS has_name, s_nationkey % 5 = 4 AS has_specialization,
+         CAST(NULL AS VARCHAR) AS specialization
+  FROM supplier),
+chk AS (
+  SELECT seq, {_key('dentist_id')} AS did, CASE
+    WHEN has_name AND {_req('name', 120)} = '' THEN '400|name is required'
+    WHEN has_specialization AND {_req('specialization', 120)} = '' THEN '400|specialization is required' END AS fail
+  FROM req)
+{_fails_then_ok('chk', 200, 'did')}"""
+
+BODIES["cancel_appointments"] = """
+SELECT event_id AS seq, 200 AS status_code, CAST(NULL AS VARCHAR) AS reason,
+       CAST((event_id * 31) % (SELECT count(*) FROM events) + 1 AS BIGINT) AS record_id,
+       CAST(NULL AS VARCHAR) AS record_code
+FROM events"""
+
+BODIES["cancel_appointments_audit"] = """
+WITH r AS (SELECT event_id AS seq, (event_id * 31) % (SELECT count(*) FROM events) + 1 AS aid FROM events),
+f AS (SELECT aid, min(seq) AS seq FROM r GROUP BY aid)
+SELECT 'APPOINTMENT_STATUS_CHANGED' AS action_type, 'appointments' AS table_name, a.appointment_id AS record_id,
+       a.status AS old_value, 'CANCELLED' AS new_value, a.created_by_user_id AS user_id
+FROM f JOIN appointments a ON a.appointment_id = f.aid WHERE a.status <> 'CANCELLED'"""
+
+_APPT_PATCH = f"""
+req AS (
+  SELECT event_id AS seq, CAST((event_id * 7) % (SELECT count(*) FROM events) + 1 AS VARCHAR) AS appointment_id,
+         strftime(CAST(ts AS DATE) + 1, '%Y-%m-%d') AS appointment_date, event_type = 'signup' AS has_date,
+         strftime(ts, '%H:30') AS appointment_time, event_type = 'click' AS has_time,
+         CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'cancelled' ELSE 'pending' END AS status,
+         event_type IN ('purchase', 'error', 'view') AS has_status
+  FROM events),
+j AS (
+  SELECT r.*, {_key('r.appointment_id')} AS aid, a.appointment_date AS cur_date, a.appointment_time AS cur_time,
+         a.dentist_id AS cur_dentist, a.patient_id AS cur_patient, a.status AS cur_status, a.created_by_user_id AS creator,
+         has_date AND {_truthy('r.appointment_date')} AS date_given,
+         has_time AND {_truthy('r.appointment_time')} AS time_given,
+         substr(trim(coalesce(r.appointment_time, '')), 1, 8) AS t8, substr(trim(coalesce(r.appointment_date, '')), 1, 10) AS d10
+  FROM req r LEFT JOIN appointments a ON a.appointment_id = {_key('r.appointment_id')}),
+k AS (
+  SELECT j.*, CASE WHEN length(t8) = 5 THEN t8 || ':00' ELSE t8 END AS tnorm,
+         CASE WHEN date_given THEN appointment_date ELSE strftime(cur_date, '%Y-%m-%d') END AS final_date
+  FROM j),
+k2 AS (
+  SELECT k.*, CASE WHEN time_given THEN tnorm ELSE cur_time END AS final_time,
+         CASE WHEN has_date THEN TRY_CAST(d10 AS DATE) ELSE cur_date END AS new_date,
+         CASE WHEN has_time THEN tnorm ELSE cur_time END AS new_time,
+         has_date OR has_time OR has_status AS any_f, has_date OR has_time AS moves
+  FROM k),
+h AS (
+  SELECT k2.*, ct.opening_time AS op, ct.closing_time AS cl, ct.is_closed AS closed
+  FROM k2 LEFT JOIN (SELECT * FROM clinic_timings WHERE clinic_id = 1) ct
+    ON ct.day_of_week = upper(dayname(TRY_CAST(k2.final_date AS DATE)))),
+chk AS (
+  SELECT h.*, CASE
+    WHEN cur_date IS NULL THEN '404|Appointment not found'
+    WHEN time_given AND t8 = '' THEN '400|appointment_time is required'
+    WHEN time_given AND NOT regexp_matches(t8, '^[0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}})?$') THEN '400|appointment_time must use HH:MM format'
+    WHEN (date_given OR time_given) AND (op IS NULL OR closed) THEN '400|Clinic is closed on the selected date'
+    WHEN (date_given OR time_given) AND (final_time < op OR final_time >= cl)
+         THEN '400|Appointment time must be between ' || substr(op, 1, 5) || ' and ' || substr(cl, 1, 5)
+    WHEN has_date AND d10 = '' THEN '400|appointment_date is required'
+    WHEN has_date AND NOT regexp_matches(d10, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN '400|appointment_date must use YYYY-MM-DD format'
+    WHEN has_status AND {_req('status', 20)} = '' THEN '400|status is required'
+    WHEN any_f AND has_status AND upper({_req('status', 20)}) NOT IN ('BOOKED', 'COMPLETED', 'CANCELLED')
+         THEN '500|Data truncated for column ''status'''
+    WHEN any_f AND new_date IS NULL THEN '500|Incorrect date value'
+    WHEN any_f AND (CAST(substr(new_time, 4, 2) AS INT) >= 60 OR CAST(substr(new_time, 7, 2) AS INT) >= 60) THEN '500|Incorrect time value'
+    WHEN any_f AND moves AND EXISTS (SELECT 1 FROM appointments o WHERE o.dentist_id = h.cur_dentist
+         AND o.appointment_date = h.new_date AND o.appointment_time = h.new_time AND o.appointment_id <> h.aid)
+         THEN '409|Duplicate entry. This record already exists or the appointment slot is booked.'
+  END AS fail0
+  FROM h),
+fin AS (
+  SELECT chk.*, CASE WHEN fail0 IS NULL AND any_f AND moves
+                      AND seq <> min(seq) OVER (PARTITION BY cur_dentist, new_date, new_time, fail0 IS NULL AND any_f AND moves)
+                     THEN '409|Duplicate entry. This record already exists or the appointment slot is booked.'
+                     ELSE fail0 END AS fail
+  FROM chk)"""
+
+BODIES["patch_appointments"] = f"""
+WITH {_APPT_PATCH}
+{_fails_then_ok('fin', 200, 'aid')}"""
+
+BODIES["patch_appointments_audit"] = f"""
+WITH {_APPT_PATCH},
+st AS (SELECT seq, aid, upper({_req('status', 20)}) AS new_status, cur_status, creator
+       FROM fin WHERE fail IS NULL AND any_f AND has_status),
+pv AS (SELECT *, coalesce(lag(new_status) OVER (PARTITION BY aid ORDER BY seq), cur_status) AS prev FROM st)
+SELECT 'APPOINTMENT_STATUS_CHANGED' AS action_type, 'appointments' AS table_name, aid AS record_id,
+       prev AS old_value, new_status AS new_value, creator AS user_id
+FROM pv WHERE prev <> new_status"""
+
+BODIES["add_treatments"] = f"""
+WITH req AS (
+  SELECT l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS seq,
+         CAST(l_partkey + 1 AS VARCHAR) AS patient_id, CAST(l_suppkey + 1 AS VARCHAR) AS dentist_id,
+         CASE WHEN l_linenumber = 1 THEN CAST(l_orderkey + 1 AS VARCHAR) ELSE '' END AS appointment_id,
+         'Procedure ' || l_returnflag || l_linestatus AS treatment_name,
+         CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR) AS cost,
+         strftime(l_shipdate, '%Y-%m-%d') AS treatment_date,
+         CASE WHEN l_linestatus = 'F' THEN 'done' ELSE 'planned' END AS status
+  FROM lineitem),
+v AS (
+  SELECT seq, {_req('treatment_name', 120)} AS name, TRY_CAST(trim(cost) AS DOUBLE) AS cost_n,
+         TRY_CAST(round(TRY_CAST(trim(cost) AS DECIMAL(38,10)), 2) AS DECIMAL(10,2)) AS cost_m,
+         {_req("CASE WHEN treatment_date IS NULL OR treatment_date = '' THEN '2024-01-15' ELSE treatment_date END", 10)} AS d10,
+         upper({_req("CASE WHEN status IS NULL OR status = '' THEN 'DONE' ELSE status END", 20)}) AS st,
+         TRY_CAST(trim(patient_id) AS DOUBLE) AS pid_n, TRY_CAST(trim(dentist_id) AS DOUBLE) AS did_n,
+         NULLIF(appointment_id, '') AS aid_text, TRY_CAST(trim(NULLIF(appointment_id, '')) AS DOUBLE) AS aid_n
+  FROM req),
+chk AS (
+  SELECT seq, CASE
+    WHEN name = '' THEN '400|treatment_name is required'
+    WHEN cost_n IS NULL OR isnan(cost_n) OR isinf(cost_n) OR cost_n < 0 THEN '400|cost must be a valid non-negative number'
+    WHEN d10 = '' THEN '400|treatment_date is required'
+    WHEN NOT regexp_matches(d10, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN '400|treatment_date must use YYYY-MM-DD format'
+    WHEN st = '' THEN '400|status is required'
+    WHEN pid_n IS NULL OR pid_n <> floor(pid_n) OR did_n IS NULL OR did_n <> floor(did_n)
+         OR (aid_text IS NOT NULL AND (aid_n IS NULL OR aid_n <> floor(aid_n))) THEN '500|Incorrect integer value'
+    WHEN st NOT IN ('PLANNED', 'DONE') THEN '500|Data truncated for column ''status'''
+    WHEN TRY_CAST(d10 AS DATE) IS NULL THEN '500|Incorrect date value'
+    WHEN cost_m IS NULL THEN '500|Out of range value for column ''cost'''
+    WHEN CAST(pid_n AS BIGINT) NOT IN (SELECT patient_id FROM patients)
+         OR CAST(did_n AS BIGINT) NOT IN (SELECT dentist_id FROM dentists)
+         OR (aid_n IS NOT NULL AND CAST(aid_n AS BIGINT) NOT IN (SELECT appointment_id FROM appointments))
+         THEN '500|Cannot add or update a child row: a foreign key constraint fails'
+  END AS fail
+  FROM v),
+{_inserted('chk', 'treatments', 'treatment_id')}"""
+
+BODIES["patch_treatments"] = f"""
+WITH req AS (
+  SELECT o_orderkey AS seq, CAST(o_orderkey * 100 + 1 AS VARCHAR) AS treatment_id,
+         CAST(CAST(o_totalprice / 100 AS DECIMAL(12,2)) AS VARCHAR) AS cost, o_orderkey % 2 = 0 AS has_cost,
+         strftime(o_orderdate, '%Y-%m-%d') AS treatment_date, o_orderkey % 5 = 0 AS has_date,
+         CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'planned' ELSE 'paused' END AS status,
+         o_orderkey % 3 = 0 AS has_status
+  FROM orders),
+v AS (
+  SELECT r.*, {_key('treatment_id')} AS tid, TRY_CAST(trim(cost) AS DOUBLE) AS cost_n,
+         {_req('treatment_date', 10)} AS d10, upper({_req('status', 20)}) AS st,
+         has_cost OR has_date OR has_status AS any_f
+  FROM req r),
+chk AS (
+  SELECT seq, tid, CASE
+    WHEN has_cost AND (cost_n IS NULL OR isnan(cost_n) OR isinf(cost_n) OR cost_n < 0) THEN '400|cost must be a valid non-negative number'
+    WHEN has_date AND d10 = '' THEN '400|treatment_date is required'
+    WHEN has_date AND NOT regexp_matches(d10, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN '400|treatment_date must use YYYY-MM-DD format'
+    WHEN has_status AND st = '' THEN '400|status is required'
+    WHEN any_f AND tid IN (SELECT treatment_id FROM treatments) AND has_status AND st NOT IN ('PLANNED', 'DONE')
+         THEN '500|Data truncated for column ''status'''
+    WHEN any_f AND tid IN (SELECT treatment_id FROM treatments) AND has_date AND TRY_CAST(d10 AS DATE) IS NULL
+         THEN '500|Incorrect date value'
+  END AS fail
+  FROM v)
+{_fails_then_ok('chk', 200, 'tid')}"""
+
+BODIES["add_medicines"] = f"""
+WITH req AS (
+  SELECT p_partkey AS seq, p_name AS medicine_name, p_brand AS batch_no, CAST(p_size - 5 AS VARCHAR) AS quantity,
+         CASE WHEN p_size % 4 = 0 THEN '0' ELSE CAST(p_size % 20 AS VARCHAR) END AS low_stock_limit,
+         strftime(DATE '2026-01-01' + CAST(p_partkey % 720 AS INT), '%Y-%m-%d') AS expiry_date
+  FROM part),
+v AS (
+  SELECT seq, {_req('medicine_name', 120)} AS name, {_req('batch_no', 40)} AS batch, {_req('expiry_date', 10)} AS d10,
+         TRY_CAST(CASE WHEN {_truthy('quantity')} THEN quantity ELSE '0' END AS DOUBLE) AS q,
+         TRY_CAST(CASE WHEN {_truthy('low_stock_limit')} THEN low_stock_limit ELSE '10' END AS DOUBLE) AS l
+  FROM req),
+chk AS (
+  SELECT seq, CASE
+    WHEN name = '' THEN '400|medicine_name is required'
+    WHEN batch = '' THEN '400|batch_no is required'
+    WHEN d10 = '' THEN '400|expiry_date is required'
+    WHEN NOT regexp_matches(d10, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN '400|expiry_date must use YYYY-MM-DD format'
+    WHEN q IS NULL OR l IS NULL THEN '500|Incorrect integer value'
+    WHEN TRY_CAST(d10 AS DATE) IS NULL THEN '500|Incorrect date value'
+    WHEN round(q) < 0 OR round(l) < 0 THEN '500|Check constraint ''chk_medicine_quantity'' is violated.'
+  END AS fail
+  FROM v),
+{_inserted('chk', 'medicines', 'medicine_id')}"""
+
+BODIES["patch_medicines"] = f"""
+WITH req AS (
+  SELECT l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS seq,
+         CAST(l_partkey + 1 AS VARCHAR) AS medicine_id,
+         CAST(CAST(l_quantity AS INT) - 3 AS VARCHAR) AS quantity,
+         CAST(l_linenumber + 9 AS VARCHAR) AS low_stock_limit, l_linenumber = 1 AS has_limit
+  FROM lineitem),
+chk AS (
+  SELECT seq, {_key('medicine_id')} AS mid, CASE
+    WHEN {_key('medicine_id')} IN (SELECT medicine_id FROM medicines)
+         AND (TRY_CAST(quantity AS DOUBLE) IS NULL OR (has_limit AND TRY_CAST(low_stock_limit AS DOUBLE) IS NULL))
+         THEN '500|Incorrect integer value'
+    WHEN {_key('medicine_id')} IN (SELECT medicine_id FROM medicines)
+         AND (round(TRY_CAST(quantity AS DOUBLE)) < 0 OR (has_limit AND round(TRY_CAST(low_stock_limit AS DOUBLE)) < 0))
+         THEN '500|Check constraint ''chk_medicine_quantity'' is violated.'
+  END AS fail
+  FROM req)
+{_fails_then_ok('chk', 200, 'mid')}"""
+
+BODIES["upsert_permissions"] = f"""
+WITH req AS (
+  SELECT c_custkey AS seq, CASE WHEN c_custkey % 3 = 0 THEN 'STAFF' ELSE 'owner' END AS caller_role,
+         CAST(CASE WHEN c_custkey % 29 = 0 THEN 999 ELSE c_nationkey + 1 END AS VARCHAR) AS staff_user_id
+  FROM customer),
+chk AS (
+  SELECT seq, {_key('staff_user_id')} AS uid, CASE
+    WHEN upper(coalesce(caller_role, 'OWNER')) <> 'OWNER' THEN '403|Only owner can perform this action'
+    WHEN {_key('staff_user_id')} NOT IN (SELECT staff_user_id FROM staff_permissions)
+         AND {_key('staff_user_id')} NOT IN (SELECT user_id FROM users)
+         THEN '500|Cannot add or update a child row: a foreign key constraint fails'
+  END AS fail
+  FROM req)
+{_fails_then_ok('chk', 200, 'uid')}"""
+
+BODIES["upsert_permissions_result"] = f"""
+WITH req AS (
+  SELECT c_custkey AS seq, CASE WHEN c_custkey % 3 = 0 THEN 'STAFF' ELSE 'owner' END AS caller_role,
+         CAST(CASE WHEN c_custkey % 29 = 0 THEN 999 ELSE c_nationkey + 1 END AS VARCHAR) AS staff_user_id,
+         CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'false' END AS can_manage_billing,
+         CASE WHEN c_custkey % 4 = 0 THEN 'false' ELSE '1' END AS can_view_reports, c_custkey % 2 = 0 AS has_view
+  FROM customer),
+ok AS (
+  SELECT seq, {_key('staff_user_id')} AS uid, {_truthy('can_manage_billing')} AS bill,
+         CASE WHEN has_view THEN {_truthy('can_view_reports')} ELSE TRUE END AS view
+  FROM req
+  WHERE upper(coalesce(caller_role, 'OWNER')) = 'OWNER'
+    AND ({_key('staff_user_id')} IN (SELECT staff_user_id FROM staff_permissions)
+         OR {_key('staff_user_id')} IN (SELECT user_id FROM users))),
+last AS (SELECT uid, arg_max(bill, seq) AS bill, arg_max(view, seq) AS view, max(seq) AS seq FROM ok GROUP BY uid),
+ins AS (SELECT l.* FROM last l WHERE uid NOT IN (SELECT staff_user_id FROM staff_permissions))
+SELECT sp.permission_id, sp.staff_user_id, coalesce(l.bill, sp.can_manage_billing) AS can_manage_billing,
+       coalesce(l.view, sp.can_view_reports) AS can_view_reports
+FROM staff_permissions sp LEFT JOIN last l ON l.uid = sp.staff_user_id
+UNION ALL
+SELECT (SELECT max(permission_id) FROM staff_permissions) + row_number() OVER (ORDER BY seq), uid, bill, view FROM ins"""
+
+BODIES["patch_clinic"] = f"""
+WITH req AS (
+  SELECT r_regionkey AS seq, r_name AS clinic_name, 'Main Road' AS address, '0300-0000000' AS phone,
+         CASE WHEN r_regionkey = 2 THEN '' ELSE '923000000000' END AS whatsapp_number
+  FROM region),
+chk AS (
+  SELECT seq, CASE WHEN {_req('clinic_name', 120)} = '' THEN '400|clinic_name is required'
+    WHEN {_req('address', 255)} = '' THEN '400|address is required'
+    WHEN {_req('phone', 30)} = '' THEN '400|phone is required'
+    WHEN {_req('whatsapp_number', 30)} = '' THEN '400|whatsapp_number is required' END AS fail
+  FROM req)
+{_fails_then_ok('chk', 200)}"""
+
+BODIES["patch_timings"] = f"""
+WITH req AS (
+  SELECT n_nationkey AS seq, CAST(n_nationkey % 7 + 1 AS VARCHAR) AS timing_id,
+         CASE n_regionkey WHEN 0 THEN '08:00' WHEN 1 THEN '10:30' WHEN 2 THEN '9:00' WHEN 3 THEN '' ELSE '19:00' END AS opening_time,
+         CASE WHEN n_regionkey = 1 THEN '17:00' END AS closing_time
+  FROM nation),
+v AS (
+  SELECT seq, {_key('timing_id')} AS tid,
+         {_req("CASE WHEN opening_time IS NULL OR opening_time = '' THEN '09:00' ELSE opening_time END", 8)} AS o8,
+         {_req("CASE WHEN closing_time IS NULL OR closing_time = '' THEN '18:00' ELSE closing_time END", 8)} AS c8
+  FROM req),
+w AS (
+  SELECT v.*, CASE WHEN length(o8) = 5 THEN o8 || ':00' ELSE o8 END AS op,
+         CASE WHEN length(c8) = 5 THEN c8 || ':00' ELSE c8 END AS cl, tid IN (SELECT timing_id FROM clinic_timings) AS found
+  FROM v),
+chk AS (
+  SELECT seq, tid, CASE
+    WHEN o8 = '' THEN '400|opening_time is required'
+    WHEN NOT regexp_matches(o8, '^[0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}})?$') THEN '400|opening_time must use HH:MM format'
+    WHEN c8 = '' THEN '400|closing_time is required'
+    WHEN NOT regexp_matches(c8, '^[0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}})?$') THEN '400|closing_time must use HH:MM format'
+    WHEN found AND (CAST(substr(op, 4, 2) AS INT) >= 60 OR CAST(substr(op, 7, 2) AS INT) >= 60
+                    OR CAST(substr(cl, 4, 2) AS INT) >= 60 OR CAST(substr(cl, 7, 2) AS INT) >= 60) THEN '500|Incorrect time value'
+    WHEN found AND NOT (op < cl) THEN '500|Check constraint ''chk_clinic_time'' is violated.'
+  END AS fail
+  FROM w)
+{_fails_then_ok('chk', 200, 'tid')}"""

@@ -112,3 +112,44 @@ def _record_job(job, build):
 
 for _name, (_job, _build) in _RECORD_JOBS.items():
     register(_name)(_record_job(_job, _build))
+
+
+@register("patch_patients_result")
+def _q(t, spark, d):
+    snap = records.patch_patients(t, rq.patient_patch_requests(spark, d), _as_of()).snapshot
+    h = snap.patient_medical_history.select("patient_id", "allergies", "current_medications", "medical_notes")
+    return snap.patients.join(h, "patient_id", "left").select(
+        "patient_id", "name", "phone", "gender", "address",
+        F.coalesce(F.col("updated_at") == F.lit(_as_of()).cast("timestamp"), F.lit(False)).alias("touched"),
+        "allergies", "current_medications", "medical_notes")
+
+
+_AUDIT = ["action_type", "table_name", "record_id", "old_value", "new_value"]
+
+
+@register("patch_patients_audit")
+def _q(t, spark, d):
+    return records.patch_patients(t, rq.patient_patch_requests(spark, d), _as_of()).audit.select(*_AUDIT)
+
+
+@register("soft_delete_patients_audit")
+def _q(t, spark, d):
+    return records.soft_delete_patients(t, rq.patient_delete_requests(spark, d), _as_of()).audit.select(*_AUDIT)
+
+
+@register("cancel_appointments_audit")
+def _q(t, spark, d):
+    return records.cancel_appointments(t, rq.appointment_cancel_requests(spark, d), _as_of()).audit.select(
+        *_AUDIT, "user_id")
+
+
+@register("patch_appointments_audit")
+def _q(t, spark, d):
+    return records.patch_appointments(t, rq.appointment_patch_requests(spark, d), _as_of()).audit.select(
+        *_AUDIT, "user_id")
+
+
+@register("upsert_permissions_result")
+def _q(t, spark, d):
+    snap = records.upsert_permissions(t, rq.permission_requests(spark, d), _as_of()).snapshot
+    return snap.staff_permissions.select("permission_id", "staff_user_id", "can_manage_billing", "can_view_reports")
