@@ -161,7 +161,7 @@ WITH req AS (
          CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey * 100 + 1 AS VARCHAR) WHEN o_orderkey % 3 = 1 THEN ''
               ELSE CAST(o_orderkey * 100 + 9 AS VARCHAR) END AS treatment_id,
          CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) AS subtotal,
-         CAST(CAST(o_totalprice * (o_orderkey % 7) / 5 AS DECIMAL(12,2)) AS VARCHAR) AS discount_amount
+         (CAST(CAST(floor(o_totalprice * (o_orderkey % 7) / 5 * 100) AS BIGINT) // 100 AS VARCHAR) || '.' || lpad(CAST(CAST(floor(o_totalprice * (o_orderkey % 7) / 5 * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0')) AS discount_amount
   FROM orders),
 v AS (
   SELECT r.*, upper(coalesce(caller_role, 'OWNER')) AS role, coalesce(caller_id, 1) AS cid,
@@ -189,7 +189,9 @@ chk AS (
   FROM v),
 ok AS (
   SELECT seq, (SELECT coalesce(max(bill_id), 0) FROM bills) + row_number() OVER (ORDER BY seq) AS id
-  FROM chk WHERE fail IS NULL)
+  FROM chk WHERE fail IS NULL)"""
+BILLS_PREFIX = BODIES["create_bills"]
+BODIES["create_bills"] = BILLS_PREFIX + f"""
 SELECT seq, {_split('fail')}, CAST(NULL AS BIGINT) AS record_id, CAST(NULL AS VARCHAR) AS record_code
 FROM chk WHERE fail IS NOT NULL
 UNION ALL
@@ -201,7 +203,7 @@ WITH RECURSIVE req AS (
          l_suppkey % 25 + 1 AS caller_id,
          CASE WHEN l_linestatus = 'O' THEN 'OWNER' ELSE 'STAFF' END AS caller_role,
          CAST(l_orderkey + 1 AS VARCHAR) AS bill_id,
-         CAST(CAST(l_extendedprice * l_discount AS DECIMAL(12,2)) AS VARCHAR) AS paid_amount,
+         (CAST(CAST(floor(l_extendedprice * l_discount * 100) AS BIGINT) // 100 AS VARCHAR) || '.' || lpad(CAST(CAST(floor(l_extendedprice * l_discount * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0')) AS paid_amount,
          CASE WHEN l_returnflag = 'A' THEN 'cash' WHEN l_returnflag = 'R' THEN 'Card' ELSE 'cheque' END AS payment_method
   FROM lineitem),
 v AS (
@@ -241,7 +243,9 @@ fold(bid, rn, seq, left_after, accepted, over_bal, ins) AS (
   FROM fold f JOIN cand c ON c.bid = f.bid AND c.rn = f.rn + 1),
 ok AS (
   SELECT seq, (SELECT coalesce(max(payment_id), 0) FROM payments) + row_number() OVER (ORDER BY seq) AS id
-  FROM fold WHERE accepted)
+  FROM fold WHERE accepted)"""
+PAYMENTS_PREFIX = BODIES["add_payments"]
+BODIES["add_payments"] = PAYMENTS_PREFIX + f"""
 SELECT seq, {_split('pre')}, CAST(NULL AS BIGINT) AS record_id, CAST(NULL AS VARCHAR) AS record_code
 FROM chk WHERE pre IS NOT NULL
 UNION ALL
@@ -539,7 +543,7 @@ chk AS (
 BODIES["patch_treatments"] = f"""
 WITH req AS (
   SELECT o_orderkey AS seq, CAST(o_orderkey * 100 + 1 AS VARCHAR) AS treatment_id,
-         CAST(CAST(o_totalprice / 100 AS DECIMAL(12,2)) AS VARCHAR) AS cost, o_orderkey % 2 = 0 AS has_cost,
+         (CAST(CAST(floor(o_totalprice / 100 * 100) AS BIGINT) // 100 AS VARCHAR) || '.' || lpad(CAST(CAST(floor(o_totalprice / 100 * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0')) AS cost, o_orderkey % 2 = 0 AS has_cost,
          strftime(o_orderdate, '%Y-%m-%d') AS treatment_date, o_orderkey % 5 = 0 AS has_date,
          CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'planned' ELSE 'paused' END AS status,
          o_orderkey % 3 = 0 AS has_status
@@ -683,3 +687,43 @@ chk AS (
   END AS fail
   FROM w)
 {_fails_then_ok('chk', 200, 'tid')}"""
+
+
+# --- change feeds ------------------------------------------------------------
+BODIES["bill_status_recompute"] = """
+WITH paid AS (SELECT bill_id, sum(paid_amount) AS s FROM payments GROUP BY bill_id)
+SELECT b.bill_id, b.status AS stored_status,
+       CASE WHEN p.s IS NULL THEN b.status WHEN p.s >= b.total_amount THEN 'PAID' WHEN p.s > 0 THEN 'PARTIAL'
+            ELSE 'UNPAID' END AS status
+FROM bills b LEFT JOIN paid p ON p.bill_id = b.bill_id"""
+
+_NEW_PAYMENTS = """,
+newpay AS (SELECT ok.id AS payment_id, c.bid AS bill_id, c.amount, coalesce(r.caller_id, 1) AS received_by
+           FROM ok JOIN cand c ON c.seq = ok.seq JOIN req r ON r.seq = ok.seq)"""
+
+BODIES["add_payments_bills"] = PAYMENTS_PREFIX + _NEW_PAYMENTS + """,
+allpay AS (SELECT bill_id, paid_amount FROM payments UNION ALL SELECT bill_id, amount FROM newpay),
+s AS (SELECT bill_id, sum(paid_amount) AS s FROM allpay WHERE bill_id IN (SELECT bill_id FROM newpay) GROUP BY bill_id)
+SELECT b.bill_id, CASE WHEN s.s IS NULL THEN b.status WHEN s.s >= b.total_amount THEN 'PAID'
+                       WHEN s.s > 0 THEN 'PARTIAL' ELSE 'UNPAID' END AS status
+FROM bills b LEFT JOIN s ON s.bill_id = b.bill_id"""
+
+_T6 = PAYMENTS_PREFIX + _NEW_PAYMENTS + """
+SELECT 'PAYMENT_CREATED' AS action_type, 'payments' AS table_name, payment_id AS record_id,
+       CAST(NULL AS VARCHAR) AS old_value, 'Amount: ' || CAST(amount AS VARCHAR) AS new_value,
+       CAST(received_by AS BIGINT) AS user_id
+FROM newpay"""
+BODIES["payments_audit"] = _T6
+
+_T5 = BILLS_PREFIX + """
+SELECT 'BILL_CREATED' AS action_type, 'bills' AS table_name, ok.id AS record_id, CAST(NULL AS VARCHAR) AS old_value,
+       'Total: ' || CAST(CAST(v.sub_m - v.dis_m AS DECIMAL(10,2)) AS VARCHAR) AS new_value,
+       CAST(v.cid AS BIGINT) AS user_id
+FROM ok JOIN v ON v.seq = ok.seq"""
+BODIES["bills_audit"] = _T5
+
+BODIES["audit_feed"] = f"""
+SELECT * FROM ({_T5}) t5
+UNION ALL SELECT * FROM ({_T6}) t6
+UNION ALL SELECT action_type, table_name, record_id, old_value, new_value, CAST(user_id AS BIGINT)
+FROM ({BODIES['cancel_appointments_audit']}) t4"""

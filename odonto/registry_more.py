@@ -153,3 +153,40 @@ def _q(t, spark, d):
 def _q(t, spark, d):
     snap = records.upsert_permissions(t, rq.permission_requests(spark, d), _as_of()).snapshot
     return snap.staff_permissions.select("permission_id", "staff_user_id", "can_manage_billing", "can_view_reports")
+
+
+# --- change feeds -----------------------------------------------------------
+from odonto.plans import feeds  # noqa: E402
+
+_FEED = ["action_type", "table_name", "record_id", "old_value", "new_value", "user_id"]
+
+
+@register("bill_status_recompute")
+def _q(t, spark, d):
+    new = feeds.recompute_bill_status(t.bills, t.payments).select("bill_id", "status")
+    return t.bills.select("bill_id", F.col("status").alias("stored_status")).join(new, "bill_id")
+
+
+@register("add_payments_bills")
+def _q(t, spark, d):
+    return jobs.add_payments(t, rq.payment_requests(spark, d), _as_of()).snapshot.bills.select("bill_id", "status")
+
+
+@register("payments_audit")
+def _q(t, spark, d):
+    return jobs.add_payments(t, rq.payment_requests(spark, d), _as_of()).audit.select(*_FEED)
+
+
+@register("bills_audit")
+def _q(t, spark, d):
+    return jobs.create_bills(t, rq.bill_requests(spark, d), _as_of()).audit.select(*_FEED)
+
+
+@register("audit_feed")
+def _q(t, spark, d):
+    """The unified audit feed of one batch of bills, payments and cancellations."""
+    a = _as_of()
+    parts = [jobs.create_bills(t, rq.bill_requests(spark, d), a).audit,
+             jobs.add_payments(t, rq.payment_requests(spark, d), a).audit,
+             records.cancel_appointments(t, rq.appointment_cancel_requests(spark, d), a).audit]
+    return parts[0].select(*_FEED).unionByName(parts[1].select(*_FEED)).unionByName(parts[2].select(*_FEED))

@@ -37,6 +37,13 @@ def read_requests(spark: SparkSession, path: str, fields: list[str], streaming:
     return raw.select(*cols)
 
 
+def cents_text(x):
+    """Non-negative amount as 'units.cc' text, truncated to the cent (exact in
+    any engine, unlike rounding a binary double at a half-cent tie)."""
+    c = F.floor(x * 100).cast("long")
+    return F.concat((c / 100).cast("long").cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0"))
+
+
 def _n_suppliers(spark, sf_dir):
     return driver(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).scalar()
 
@@ -69,7 +76,7 @@ def bill_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ok % 3 == 0, (ok * 100 + 1).cast("string")).when(ok % 3 == 1, F.lit(""))
          .otherwise((ok * 100 + 9).cast("string")).alias("treatment_id"),
         F.col("o_totalprice").cast("decimal(12,2)").cast("string").alias("subtotal"),
-        (F.col("o_totalprice") * (ok % 7) / 5).cast("decimal(12,2)").cast("string").alias("discount_amount"))
+        cents_text(F.col("o_totalprice") * (ok % 7) / 5).alias("discount_amount"))
 
 
 def payment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +89,7 @@ def payment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") * 100 + F.col("_rn")).alias("seq"),
         (F.col("l_suppkey") % 25 + 1).alias("caller_id"), role.alias("caller_role"),
         (F.col("l_orderkey") + 1).cast("string").alias("bill_id"),
-        (F.col("l_extendedprice") * F.col("l_discount")).cast("decimal(12,2)").cast("string").alias("paid_amount"),
+        cents_text(F.col("l_extendedprice") * F.col("l_discount")).alias("paid_amount"),
         method.alias("payment_method"), F.lit(None).cast(T.StringType()).alias("notes"))
 
 
@@ -202,7 +209,7 @@ def treatment_patch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         ok.alias("seq"), (ok * 100 + 1).cast("string").alias("treatment_id"),
         none.alias("treatment_name"), F.lit(False).alias("has_treatment_name"),
         none.alias("notes"), F.lit(False).alias("has_notes"),
-        (F.col("o_totalprice") / 100).cast("decimal(12,2)").cast("string").alias("cost"), (ok % 2 == 0).alias("has_cost"),
+        cents_text(F.col("o_totalprice") / 100).alias("cost"), (ok % 2 == 0).alias("has_cost"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("treatment_date"), (ok % 5 == 0).alias("has_treatment_date"),
         F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "planned")
          .otherwise("paused").alias("status"), (ok % 3 == 0).alias("has_status"))
