@@ -727,3 +727,11 @@ SELECT * FROM ({_T5}) t5
 UNION ALL SELECT * FROM ({_T6}) t6
 UNION ALL SELECT action_type, table_name, record_id, old_value, new_value, CAST(user_id AS BIGINT)
 FROM ({BODIES['cancel_appointments_audit']}) t4"""
+
+BODIES["stream_bill_status"] = BODIES["bill_status_recompute"]
+
+BODIES["stream_payment_audit"] = """
+SELECT 'PAYMENT_CREATED' AS action_type, 'payments' AS table_name, payment_id AS record_id,
+       CAST(NULL AS VARCHAR) AS old_value, 'Amount: ' || CAST(paid_amount AS VARCHAR) AS new_value,
+       received_by_user_id AS user_id
+FROM payments"""

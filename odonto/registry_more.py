@@ -190,3 +190,17 @@ def _q(t, spark, d):
              jobs.add_payments(t, rq.payment_requests(spark, d), a).audit,
              records.cancel_appointments(t, rq.appointment_cancel_requests(spark, d), a).audit]
     return parts[0].select(*_FEED).unionByName(parts[1].select(*_FEED)).unionByName(parts[2].select(*_FEED))
+
+
+# --- streams ------------------------------------------------------------------
+from odonto.streaming import bill_status as streams  # noqa: E402
+
+
+@register("stream_bill_status")
+def _q(t, spark, d):
+    return streams.stream_bill_status(t)
+
+
+@register("stream_payment_audit")
+def _q(t, spark, d):
+    return streams.stream_payment_audit(t).select(*_FEED)
