@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from odonto.functions.exprs import age, as_date, month_range, year_range
 from odonto.plans.views import appointment_details, billing_summary, live_patients
 
-ZERO = F.lit(0).cast("decimal(20,2)")
+def _zero():
+    return F.lit(0).cast("decimal(20,2)")
 
 
 def _date(d) -> dt.date:
@@ -32,7 +33,7 @@ def total_patients(t) -> DataFrame:
 def pending_total(t) -> DataFrame:
     """Outstanding amount over bills with a positive balance, 0 if none."""
     return (billing_summary(t).filter(F.col("remaining_balance") > 0)
-            .agg(F.coalesce(F.sum("remaining_balance"), ZERO).alias("pending_payments")))
+            .agg(F.coalesce(F.sum("remaining_balance"), _zero()).alias("pending_payments")))
 
 
 def monthly_income_now(t, as_of) -> DataFrame:
@@ -42,7 +43,7 @@ def monthly_income_now(t, as_of) -> DataFrame:
     """
     d = _date(as_of)
     return (t.payments.filter(month_range("payment_date", d.year, d.month))
-            .agg(F.coalesce(F.sum("paid_amount"), ZERO).alias("monthly_income")))
+            .agg(F.coalesce(F.sum("paid_amount"), _zero()).alias("monthly_income")))
 
 
 def recent_activity(t, n: int = 8) -> DataFrame:
