@@ -32,6 +32,7 @@ from odonto.operators.validate import (Rule, date_rules, first_failure, non_nega
                                        time_rules)
 from odonto.plans.views import billing_summary
 from odonto.schemas import PAYMENT_METHODS
+from odonto.session import stage
 
 OUTCOME_COLS = ["seq", "status_code", "reason", "record_id", "record_code"]
 
@@ -124,7 +125,8 @@ def book_appointments(t, req: DataFrame, as_of, strict: bool = True, clinic_id:
         rules.append(Rule(~F.col("slot_any"), 409, MSG_DUPLICATE))
     code_c, reason_c = first_failure(rules)
     # A failed pre-check carries its own code (400) through the first rule.
-    r = r.withColumn("status_code", code_c).withColumn("reason", reason_c)
+    r = stage(r.withColumn("status_code", code_c).withColumn("reason", reason_c)
+              .drop("_patient_ok", "_dentist_ok", "hours_ok", "hours_reason", "_pre_code", "_pre_reason"))
     passed = r.filter(F.col("status_code").isNull())
     contest = winners(passed)
     losers = contest.filter(~F.col("slot_winner")).select(
@@ -190,7 +192,7 @@ def create_bills(t, req: DataFrame, as_of) -> JobResult:
     code_c, reason_c = first_failure(rules)
     # The pre-check rule carries the pre-check's own status code.
     code_c = F.when(F.col("_pre_code").isNotNull(), F.col("_pre_code")).otherwise(code_c)
-    r = r.withColumn("status_code", code_c).withColumn("reason", reason_c)
+    r = stage(r.withColumn("status_code", code_c).withColumn("reason", reason_c))
     ok = assign_ids(r.filter(F.col("status_code").isNull()), "bill_id", max_id(t.bills, "bill_id"))
     new_rows = ok.select(
         "bill_id", code("bills", F.col("bill_id")).alias("bill_code"), "patient_id", "treatment_id",
@@ -250,10 +252,11 @@ def add_payments(t, req: DataFrame, as_of) -> JobResult:
                      .when(~F.col("_bill_ok"), F.lit(404))) \
          .withColumn("reason", F.when(F.col("_pre_code").isNotNull(), F.col("_pre_reason"))
                      .when(~F.col("_bill_ok"), F.lit("Bill not found")))
+    r = stage(r)
     cands = (r.filter(F.col("status_code").isNull())
              .withColumn("method_ok", F.col("_ins_code").isNull())
              .withColumnRenamed("paid_amount", "amount"))
-    decided = fold_payments(cands, bs)
+    decided = stage(fold_payments(cands, bs))
     refused_fold = decided.filter(~F.col("accepted")).select(
         "seq",
         F.when(F.col("over_balance"), F.lit(400)).otherwise(F.col("_ins_code")).alias("status_code"),

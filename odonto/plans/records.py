@@ -30,6 +30,7 @@ from odonto.operators.validate import (Rule, date_rules, first_failure, non_nega
                                        optional_text, required_text, required_text_default, time_rules)
 from odonto.plans.jobs import JobResult, _audit_rows, _date, _exists, _outcome, _ts
 from odonto.schemas import APPOINTMENT_STATUSES, GENDERS, TREATMENT_STATUSES
+from odonto.session import stage
 
 MSG_FK = "Cannot add or update a child row: a foreign key constraint fails"
 MSG_BAD_DATE = "Incorrect date value"
@@ -61,9 +62,13 @@ def _ensure_has(req: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def _settle(r: DataFrame, pre: list[Rule], post: list[Rule]) -> DataFrame:
-    """status_code/reason from the pre-checks (400/403), then the store's checks."""
+    """status_code/reason from the pre-checks (400/403), then the store's checks.
+
+    The validated batch is staged (written once to the shared checkpoint
+    folder): refusals, accepted rows, snapshot and audit all read from it.
+    """
     code_c, reason_c = first_failure(pre + post)
-    return r.withColumn("status_code", code_c).withColumn("reason", reason_c)
+    return stage(r.withColumn("status_code", code_c).withColumn("reason", reason_c))
 
 
 def _ok_outcome(r: DataFrame, ok_code: int, id_col=None, code_col=None) -> DataFrame:

@@ -61,3 +61,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return sc.getCheckpointDir() or path
+
+
+def stage(df):
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder.
+
+    Used where a job's validated batch feeds several branches (refusals,
+    id assignment, snapshot, audit): without the cut each branch would
+    recompute the whole validation plan. The eager reliable checkpoint is
+    written in one pass, lives on shared storage (so it survives executor
+    loss, unlike a cached or locally checkpointed frame) and keeps the
+    frame's partitioning for the joins that follow.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
