@@ -51,16 +51,19 @@ def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"seq": pdf["seq"].to_numpy(), "accepted": acc, "over_balance": over})
 
 
-def fold_payments(cands: DataFrame, balances: DataFrame) -> DataFrame:
+def fold_payments(cands: DataFrame, balances: DataFrame | None = None) -> DataFrame:
     """Decide each candidate payment.
 
     ``cands``: seq (unique), bill_id, amount_raw (exact decimal as given),
-    amount (DECIMAL(10,2) as stored), method_ok.
-    ``balances``: bill_id, remaining (balance before this batch).
+    amount (DECIMAL(10,2) as stored), method_ok, and ``remaining`` (the
+    bill's balance before this batch) unless ``balances`` (bill_id,
+    remaining) is given to join it in.
     Returns ``cands`` plus ``accepted`` and ``over_balance`` (refused because
     the amount exceeded the balance left at its turn).
     """
-    c = (cands.join(balances.select("bill_id", "remaining"), "bill_id")
+    if balances is not None:
+        cands = cands.join(balances.select("bill_id", "remaining"), "bill_id")
+    c = (cands
          .withColumn("amount_cents", (F.col("amount") * 100).cast("long"))
          .withColumn("_raw100", F.col("amount_raw") * 100)
          .withColumn("raw_key", F.floor("_raw100").cast("long") * 2

@@ -246,8 +246,9 @@ def add_payments(t, req: DataFrame, as_of) -> JobResult:
         F.upper(method).alias("payment_method"), optional_text("notes", 255).alias("notes"),
         pre_code.alias("_pre_code"), pre_reason.alias("_pre_reason"),
         ins_code.alias("_ins_code"), ins_reason.alias("_ins_reason"))
+    # One join gives both the bill's existence and its balance before the batch.
     bs = billing_summary(t).select("bill_id", F.col("remaining_balance").alias("remaining"))
-    r = _exists(r, "bill_id", bs, "bill_id", "_bill_ok")
+    r = r.join(bs, "bill_id", "left").withColumn("_bill_ok", F.col("remaining").isNotNull())
     r = r.withColumn("status_code", F.when(F.col("_pre_code").isNotNull(), F.col("_pre_code"))
                      .when(~F.col("_bill_ok"), F.lit(404))) \
          .withColumn("reason", F.when(F.col("_pre_code").isNotNull(), F.col("_pre_reason"))
@@ -256,7 +257,7 @@ def add_payments(t, req: DataFrame, as_of) -> JobResult:
     cands = (r.filter(F.col("status_code").isNull())
              .withColumn("method_ok", F.col("_ins_code").isNull())
              .withColumnRenamed("paid_amount", "amount"))
-    decided = stage(fold_payments(cands, bs))
+    decided = stage(fold_payments(cands))
     refused_fold = decided.filter(~F.col("accepted")).select(
         "seq",
         F.when(F.col("over_balance"), F.lit(400)).otherwise(F.col("_ins_code")).alias("status_code"),
