@@ -308,6 +308,7 @@ chk AS (
     WHEN octet_length(encode(phone)) < 7 THEN '500|Check constraint ''chk_patient_phone'' is violated.' END AS fail
   FROM v),
 {_inserted('chk', 'patients', 'patient_id', 'PAT-%05d')}"""
+ADD_PATIENTS_SQL = BODIES["add_patients"]
 
 _PATIENT_PATCH_REQ = """
 req AS (
@@ -735,3 +736,18 @@ SELECT 'PAYMENT_CREATED' AS action_type, 'payments' AS table_name, payment_id AS
        CAST(NULL AS VARCHAR) AS old_value, 'Amount: ' || CAST(paid_amount AS VARCHAR) AS new_value,
        received_by_user_id AS user_id
 FROM payments"""
+
+
+BODIES["add_patients_audit"] = ADD_PATIENTS_SQL.split("SELECT seq, CAST(split_part")[0].rstrip() + """
+SELECT 'PATIENT_ADDED' AS action_type, 'patients' AS table_name, ok.id AS record_id,
+       CAST(NULL AS VARCHAR) AS old_value, 'PENDING - ' || v.name AS new_value
+FROM ok JOIN v ON v.seq = ok.seq
+UNION ALL
+SELECT 'PATIENT_UPDATED', 'patients', ok.id, v.name, v.name FROM ok JOIN v ON v.seq = ok.seq"""
+
+BODIES["patients_diff_audit"] = f"""
+SELECT 'PATIENT_UPDATED' AS action_type, 'patients' AS table_name, p.patient_id AS record_id,
+       p.name AS old_value, r.name AS new_value
+FROM patients p JOIN ({BODIES['patch_patients_result']}) r ON r.patient_id = p.patient_id
+WHERE r.name IS DISTINCT FROM p.name OR r.phone IS DISTINCT FROM p.phone
+   OR r.gender IS DISTINCT FROM p.gender OR r.address IS DISTINCT FROM p.address"""

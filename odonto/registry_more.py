@@ -204,3 +204,16 @@ def _q(t, spark, d):
 @register("stream_payment_audit")
 def _q(t, spark, d):
     return streams.stream_payment_audit(t).select(*_FEED)
+
+
+@register("add_patients_audit")
+def _q(t, spark, d):
+    """T2 + T3 as the insert route fires them: PATIENT_ADDED then PATIENT_UPDATED."""
+    return records.add_patients(t, rq.patient_requests(spark, d), _as_of()).audit.select(*_AUDIT)
+
+
+@register("patients_diff_audit")
+def _q(t, spark, d):
+    """T2/T3 from a snapshot diff: the patch batch's before and after patients."""
+    new = records.patch_patients(t, rq.patient_patch_requests(spark, d), _as_of()).snapshot
+    return feeds.audit_feed(t, new, F.lit(_as_of()).cast("timestamp")).select(*_AUDIT)
