@@ -96,16 +96,25 @@ def is_blank(c) -> Column:
     return F.length(js_trim(F.coalesce(col_or_lit(c).cast("string"), F.lit("")))) == 0
 
 
+# Number literal forms that JS ``Number()`` accepts (after trimming).
+_JS_DECIMAL = "^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|Infinity)$"
+_JS_RADIX = (("^0[xX][0-9a-fA-F]+$", 16), ("^0[bB][01]+$", 2), ("^0[oO][0-7]+$", 8))
+
+
 def js_number(c) -> Column:
     """Numeric value of a text field the way a JS ``Number()`` reads it.
 
-    Empty or blank text is 0; missing is NaN (treated as invalid by callers);
-    decimal and exponent forms parse; hexadecimal forms are not accepted.
+    Blank text is 0; missing is NaN (callers treat it as invalid); decimal,
+    exponent and Infinity forms parse, as do 0x / 0b / 0o integers; anything
+    else (including Java-only forms such as '1d') is NaN.
     """
     s = js_trim(col_or_lit(c).cast("string"))
-    return (F.when(s.isNull(), F.lit(float("nan")))
-            .when(s == "", F.lit(0.0))
-            .otherwise(F.coalesce(s.try_cast("double"), F.lit(float("nan")))))
+    out = (F.when(s.isNull(), F.lit(float("nan")))
+           .when(s == "", F.lit(0.0))
+           .when(s.rlike(_JS_DECIMAL), s.try_cast("double")))
+    for pattern, base in _JS_RADIX:
+        out = out.when(s.rlike(pattern), F.conv(F.substring(s, 3, 1 << 20), base, 10).try_cast("double"))
+    return F.coalesce(out.otherwise(F.lit(float("nan"))), F.lit(float("nan")))
 
 
 def is_finite_non_negative(num: Column) -> Column:
@@ -120,11 +129,16 @@ def positive_id(c) -> tuple[Column, Column]:
 
 
 def to_money(c) -> Column:
-    """Text amount -> DECIMAL(10,2), rounding half up; blank -> 0."""
+    """Text amount -> DECIMAL(10,2), rounding half up; blank -> 0.
+
+    Plain decimal text is parsed exactly (no detour through a binary
+    double); other forms JS reads as numbers go through ``js_number``.
+    NULL when the value does not fit DECIMAL(10,2).
+    """
     s = js_trim(col_or_lit(c).cast("string"))
-    exact = F.when(s == "", F.lit(0).cast("decimal(38,10)")).otherwise(s.try_cast("decimal(38,10)"))
-    # Exponent forms ('1e3') are not decimal literals; take them through double.
-    exact = F.coalesce(exact, s.try_cast("double").cast("decimal(38,10)"))
+    exact = (F.when(s == "", F.lit(0).cast("decimal(38,10)"))
+             .when(s.rlike("^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"), s.try_cast("decimal(38,10)"))
+             .otherwise(js_number(s).try_cast("decimal(38,10)")))
     return F.round(exact, 2).try_cast(MONEY)
 
 

@@ -284,7 +284,8 @@ def add_payments(t, req: DataFrame, as_of) -> JobResult:
 
 def _exact(c: Column) -> Column:
     """The amount as given, exactly (DECIMAL(38,10)); blank -> 0."""
-    from odonto.functions.exprs import js_trim
+    from odonto.functions.exprs import js_number, js_trim
     s = js_trim(c)
-    v = F.when(s == "", F.lit(0).cast("decimal(38,10)")).otherwise(s.try_cast("decimal(38,10)"))
-    return F.coalesce(v, s.try_cast("double").try_cast("decimal(38,10)"))
+    return (F.when(s == "", F.lit(0).cast("decimal(38,10)"))
+            .when(s.rlike("^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"), s.try_cast("decimal(38,10)"))
+            .otherwise(js_number(s).try_cast("decimal(38,10)")))

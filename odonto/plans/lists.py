@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odonto.functions.exprs import as_date, hhmm, ilike_any, weekday_name, weekday_ordinal
@@ -158,16 +158,15 @@ def first_active_user_per_role(t) -> DataFrame:
 
 
 def hours_for_dates(t, dates: DataFrame, date_col: str = "date", clinic_id: int | None = None) -> DataFrame:
-    """Q14: opening hours for each date: weekday lookup in the timetable.
-
-    The timetable has at most seven rows per clinic, so it is broadcast.
-    """
+    """Q14: opening hours for each date: weekday lookup in the timetable."""
     ct = t.clinic_timings
     if clinic_id is not None:
         ct = ct.filter(F.col("clinic_id") == clinic_id)
     ct = ct.select("day_of_week", "clinic_id", "opening_time", "closing_time", "is_closed")
     d = dates.withColumn("day_of_week", weekday_name(F.col(date_col)))
-    out = d.join(F.broadcast(ct), "day_of_week", "left")
+    # One clinic's timetable is at most seven rows: broadcast it. Without a
+    # clinic id the size depends on the clinic count, so AQE decides.
+    out = d.join(F.broadcast(ct) if clinic_id is not None else ct, "day_of_week", "left")
     return out.select(
         *dates.columns, "day_of_week", "clinic_id",
         F.coalesce(F.col("is_closed"), F.lit(True)).alias("is_closed"),

@@ -113,3 +113,17 @@ def test_number_coercion(spark, seed):
     assert out[2] == "paid_amount must be a valid non-negative number"
     assert out[3] is None
     assert out[4] == "bill_id must be a valid positive id"
+
+
+def test_js_number_forms(spark):
+    from odonto.functions.exprs import js_number, to_money
+    vals = ["12", " 7.5 ", "", "1e3", "0x10", "0b101", "0o17", "1d", "abc", "-Infinity", ".5", "5."]
+    df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "s string")
+    got = {r.s: (r.n, r.m) for r in df.select("s", js_number("s").alias("n"), to_money("s").alias("m")).collect()}
+    import math
+    from decimal import Decimal
+    assert got["12"] == (12.0, Decimal("12.00")) and got[" 7.5 "][0] == 7.5 and got[""][0] == 0.0
+    assert got["1e3"] == (1000.0, Decimal("1000.00")) and got["0x10"][0] == 16.0
+    assert got["0b101"][0] == 5.0 and got["0o17"][0] == 15.0
+    assert math.isnan(got["1d"][0]) and math.isnan(got["abc"][0]) and math.isnan(got[None][0])
+    assert got["-Infinity"][0] == float("-inf") and got[".5"][0] == 0.5 and got["5."][0] == 5.0
