@@ -66,3 +66,11 @@ def test_read_requests_presence(spark, tmp_path):
     got = {r.seq: r for r in read_requests(spark, str(p), ["name", "email", "phone"]).collect()}
     assert (got[1].name, got[1].has_name, got[1].email, got[1].has_email, got[1].has_phone) == ("A", True, None, True, False)
     assert (got[2].phone, got[2].has_phone, got[2].caller_role) == ("5551234", True, "staff")
+
+
+def test_assign_ids_sparse_seq(spark):
+    # Gaps wider than a bucket: every row its own bucket, several levels used.
+    seqs = [i * 1_000_003 + (i % 7) for i in range(500)] + [-5, -1_000_000_000]
+    df = spark.createDataFrame([(s,) for s in seqs], "seq long")
+    got = sorted((r.seq, r.id) for r in assign_ids(df, "id", 0, bucket_size=16, levels=3).collect())
+    assert [i for _, i in got] == list(range(1, len(seqs) + 1))
