@@ -751,3 +751,6 @@ SELECT 'PATIENT_UPDATED' AS action_type, 'patients' AS table_name, p.patient_id
 FROM patients p JOIN ({BODIES['patch_patients_result']}) r ON r.patient_id = p.patient_id
 WHERE r.name IS DISTINCT FROM p.name OR r.phone IS DISTINCT FROM p.phone
    OR r.gender IS DISTINCT FROM p.gender OR r.address IS DISTINCT FROM p.address"""
+
+BODIES["search_patient_sql"] = BODIES["search_patient"]
+BODIES["daily_report_sql"] = BODIES["daily_report"]

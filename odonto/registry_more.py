@@ -217,3 +217,18 @@ def _q(t, spark, d):
     """T2/T3 from a snapshot diff: the patch batch's before and after patients."""
     new = records.patch_patients(t, rq.patient_patch_requests(spark, d), _as_of()).snapshot
     return feeds.audit_feed(t, new, F.lit(_as_of()).cast("timestamp")).select(*_AUDIT)
+
+
+# --- stored procedures as parametrised SQL ------------------------------------
+from odonto.plans import procedures  # noqa: E402
+from odonto.registry import AS_OF, SEARCH  # noqa: E402
+
+
+@register("search_patient_sql")
+def _q(t, spark, d):
+    return procedures.search_patient(t, SEARCH)
+
+
+@register("daily_report_sql")
+def _q(t, spark, d):
+    return procedures.daily_appointment_report(t, AS_OF)
