@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odonto.functions.exprs import code, time_value_ok, to_money
+from odonto.functions.exprs import code, is_finite_non_negative, js_number, time_value_ok, to_money
 from odonto.operators.access import billing_access, caller_id
 from odonto.operators.fold import fold_payments
 from odonto.operators.ids import assign_ids, max_id
@@ -158,26 +158,36 @@ def create_bills(t, req: DataFrame, as_of) -> JobResult:
     treatment exists, amounts storable as DECIMAL(10,2) (500).
     """
     ts = _ts(as_of)
-    acc = billing_access(t, req)
-    r_pid, pid = positive_id_rule("patient_id", "patient_id")
-    has_tid = F.col("treatment_id").isNotNull() & (F.col("treatment_id") != "")
-    r_tid, tid = positive_id_rule("treatment_id", "treatment_id")
-    r_sub, sub_n = non_negative_number("subtotal", "subtotal")
-    r_dis, dis_n = non_negative_number("discount_amount", "discount_amount", default_when_falsy=0)
+    # Parse each number once into its own column: the rule chain below then
+    # reads columns, which keeps its generated code small.
     dis_src = F.when(F.col("discount_amount").isNull() | (F.col("discount_amount") == ""), F.lit("0")) \
         .otherwise(F.col("discount_amount"))
+    acc = (billing_access(t, req)
+           .withColumn("_has_tid", F.col("treatment_id").isNotNull() & (F.col("treatment_id") != ""))
+           .withColumn("_pid_n", js_number(F.col("patient_id")))
+           .withColumn("_tid_n", js_number(F.col("treatment_id")))
+           .withColumn("_sub_n", js_number(F.col("subtotal")))
+           .withColumn("_dis_n", js_number(dis_src))
+           .withColumn("_sub_m", to_money(F.col("subtotal")))
+           .withColumn("_dis_m", to_money(dis_src)))
+
+    def pos_id(n):
+        return (~F.isnan(n)) & (F.abs(n) != float("inf")) & (n == F.floor(n)) & (n > 0)
+
     pre = [
         Rule(F.col("billing_allowed"), 403, F.col("access_reason")),
-        r_pid,
-        Rule(~has_tid | r_tid.ok, 400, "treatment_id must be a valid positive id"),
-        r_sub, r_dis,
-        Rule(~(dis_n > sub_n), 400, "Discount amount cannot be greater than subtotal"),
+        Rule(pos_id(F.col("_pid_n")), 400, "patient_id must be a valid positive id"),
+        Rule(~F.col("_has_tid") | pos_id(F.col("_tid_n")), 400, "treatment_id must be a valid positive id"),
+        Rule(is_finite_non_negative(F.col("_sub_n")), 400, "subtotal must be a valid non-negative number"),
+        Rule(is_finite_non_negative(F.col("_dis_n")), 400, "discount_amount must be a valid non-negative number"),
+        Rule(~(F.col("_dis_n") > F.col("_sub_n")), 400, "Discount amount cannot be greater than subtotal"),
     ]
     pre_code, pre_reason = first_failure(pre)
     r = acc.select(
-        "seq", caller_id().alias("created_by_user_id"), pid.alias("patient_id"),
-        F.when(has_tid, tid).alias("treatment_id"),
-        to_money(F.col("subtotal")).alias("subtotal"), to_money(dis_src).alias("discount_amount"),
+        "seq", caller_id().alias("created_by_user_id"),
+        F.when(pos_id(F.col("_pid_n")), F.col("_pid_n").cast("long")).alias("patient_id"),
+        F.when(F.col("_has_tid") & pos_id(F.col("_tid_n")), F.col("_tid_n").cast("long")).alias("treatment_id"),
+        F.col("_sub_m").alias("subtotal"), F.col("_dis_m").alias("discount_amount"),
         pre_code.alias("_pre_code"), pre_reason.alias("_pre_reason"))
     r = _exists(r, "patient_id", t.patients.filter(~F.col("is_deleted")), "patient_id", "_patient_ok")
     r = _exists(r, "treatment_id", t.treatments, "treatment_id", "_treat_ok")
