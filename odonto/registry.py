@@ -29,11 +29,24 @@ OWNER_CALLER = (1, "owner")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+_BOUND: dict[tuple[str, str], Clinic] = {}
+
+
+def bound(spark: SparkSession, sf_dir: str) -> Clinic:
+    """The driver tables bound to the clinic schemas, built once per
+    application and directory. Only the (lazy) plans are reused: every query
+    still reads the tables when it runs."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    t = _BOUND.get(key)
+    if t is None or t.spark is not spark:
+        t = _BOUND[key] = Clinic.from_driver(spark, sf_dir)
+    return t
+
 
 def register(name: str):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return to_double_edge(fn(Clinic.from_driver(spark, sf_dir), spark, sf_dir))
+            return to_double_edge(fn(bound(spark, sf_dir), spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
