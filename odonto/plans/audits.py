@@ -88,14 +88,24 @@ def domains(t) -> DataFrame:
 
 
 def orphans(t) -> DataFrame:
-    """Non-NULL foreign keys with no parent row (anti join per key)."""
+    """Non-NULL foreign keys with no parent row.
+
+    The references to one parent table are unioned first, so each parent's
+    keys are read and shuffled once (one anti join per parent table, not one
+    per foreign key).
+    """
     out = []
-    for child, col, parent, pcol, _ in FOREIGN_KEYS:
-        c = t[child].select(F.col(PRIMARY_KEYS[child]).alias("_k"), F.col(col).alias("_fk")).filter(
-            F.col("_fk").isNotNull())
-        p = t[parent].select(F.col(pcol).alias("_fk"))
-        bad = c.join(p, "_fk", "left_anti")
-        out.append(_rows(bad, child, f"FK({col})->{parent}", F.col("_k"), F.col("_fk")))
+    for parent in dict.fromkeys(p for _, _, p, _, _ in FOREIGN_KEYS):
+        refs = [t[child].select(F.lit(child).alias("_child"), F.lit(f"FK({col})->{parent}").alias("_rule"),
+                                F.col(PRIMARY_KEYS[child]).alias("_k"), F.col(col).cast("long").alias("_fk"))
+                .filter(F.col("_fk").isNotNull())
+                for child, col, par, _, _ in FOREIGN_KEYS if par == parent]
+        pcol = [pc for _, _, par, pc, _ in FOREIGN_KEYS if par == parent][0]
+        keys = t[parent].select(F.col(pcol).cast("long").alias("_fk"))
+        bad = _union(refs).join(keys, "_fk", "left_anti")
+        out.append(bad.select(F.col("_child").alias("table_name"), F.col("_rule").alias("rule"),
+                              F.col("_k").cast("string").alias("record_key"),
+                              F.col("_fk").cast("string").alias("detail")))
     return _union(out)
 
 
