@@ -28,8 +28,10 @@ def billing_access(t, callers: DataFrame) -> DataFrame:
     row -> refused). Any other role: refused. ``callers`` keeps its columns;
     it needs ``caller_id`` and ``caller_role``.
     """
-    sp = t.staff_permissions.select(F.col("staff_user_id").alias("_uid"),
-                                    F.col("can_manage_billing").alias("_can_bill"))
+    # One row per staff user (the unique key), so a duplicate row can never
+    # multiply the requests it is joined to.
+    sp = t.staff_permissions.groupBy(F.col("staff_user_id").alias("_uid")).agg(
+        F.max("can_manage_billing").alias("_can_bill"))
     c = callers.withColumn("_role", caller_role()).withColumn("_uid", caller_id())
     j = c.join(sp, "_uid", "left")
     allowed = (F.col("_role") == "OWNER") | ((F.col("_role") == "STAFF") & F.coalesce("_can_bill", F.lit(False)))

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odonto.functions.exprs import derived_bill_status
-from odonto.plans.views import billing_summary
 from odonto.schemas import DOMAINS, FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, UNIQUE_KEYS
 
 OUT_COLS = ["table_name", "rule", "record_key", "detail"]

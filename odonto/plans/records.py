@@ -50,10 +50,6 @@ def _key(c: str) -> Column:
     return F.col(c).try_cast("double").try_cast("long")
 
 
-def _has(req: DataFrame, f: str) -> Column:
-    return F.coalesce(F.col(has(f)), F.lit(False)) if has(f) in req.columns else F.col(f).isNotNull()
-
-
 def _ensure_has(req: DataFrame, fields: list[str]) -> DataFrame:
     for f in fields:
         if has(f) not in req.columns:
@@ -317,12 +313,15 @@ def patch_appointments(t, req: DataFrame, as_of, clinic_id: int = 1) -> JobResul
     r = _exists(r, "patient_id", t.patients, "patient_id", "_pat_ok")
     r = _exists(r, "dentist_id", t.dentists, "dentist_id", "_den_ok")
     moves = F.col(has("dentist_id")) | F.col(has("appointment_date")) | F.col(has("appointment_time"))
-    others = t.appointments.select("appointment_id", "dentist_id", "appointment_date", "appointment_time")
-    clash = (r.filter(moves).select("seq", "_aid", "dentist_id", "appointment_date", "appointment_time")
-             .join(others, ["dentist_id", "appointment_date", "appointment_time"])
-             .filter(F.col("appointment_id") != F.col("_aid")).select("seq").distinct()
-             .withColumn("_clash", F.lit(True)))
-    r = r.join(clash, "seq", "left").withColumn("_clash", F.coalesce("_clash", F.lit(False)))
+    # One row per used slot (count, lowest id): "another appointment holds
+    # this slot" without pairing a request with every row of a crowded slot.
+    slot = ["dentist_id", "appointment_date", "appointment_time"]
+    used = t.appointments.groupBy(*slot).agg(F.count(F.lit(1)).alias("_in_slot"),
+                                             F.min("appointment_id").alias("_slot_min_id"))
+    r = (r.join(used, slot, "left")
+         .withColumn("_clash", moves & F.coalesce((F.col("_in_slot") > 1) | (F.col("_slot_min_id") != F.col("_aid")),
+                                                   F.lit(False)))
+         .drop("_in_slot", "_slot_min_id"))
     pre = [Rule(F.col("_found"), 404, "Appointment not found"),
            *[Rule(~F.col(f"_bad_t{i}"), 400, rule.message) for i, rule in enumerate(t_rules)],
            Rule(~(F.col("_date_given") | F.col("_time_given")) | F.col("hours_ok"), 400, F.col("hours_reason")),

@@ -1,5 +1,4 @@
 """Hand-worked goldens on the seed-shaped snapshot."""
-import datetime as dt
 from decimal import Decimal
 
 from pyspark.sql import functions as F
