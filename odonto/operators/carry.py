@@ -10,13 +10,19 @@ only (key, current value), so no key's updates are gathered in memory.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The function below runs in Python workers. Ship it by value, so a worker
+# does not need this package on its path (numpy and pandas are enough).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cur_key, cur_val = object(), None

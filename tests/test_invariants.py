@@ -52,3 +52,21 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() >= 0 and "remaining_balance" in df.columns
+
+
+def test_runs_from_another_directory(tmp_path):
+    """The driver imports the entry module from elsewhere with a plain session:
+    Python workers must not need the package on their path."""
+    import subprocess
+    import sys as _sys
+    repo = __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "q = E.queries()\n"
+        "print('ROWS', q['add_payments'](s, %r).count(), q['patch_patients_audit'](s, %r).count())\n"
+    ) % (repo, SF001, SF001)
+    out = subprocess.run([_sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True, timeout=900)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
