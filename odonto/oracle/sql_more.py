@@ -754,3 +754,13 @@ WHERE r.name IS DISTINCT FROM p.name OR r.phone IS DISTINCT FROM p.phone
 
 BODIES["search_patient_sql"] = BODIES["search_patient"]
 BODIES["daily_report_sql"] = BODIES["daily_report"]
+
+BODIES["dentist_status_labels"] = """
+SELECT dentist_id, dentist_code, name, specialization,
+       CASE WHEN is_active THEN 'ACTIVE' ELSE 'INACTIVE' END AS status_label
+FROM dentists"""
+
+BODIES["stock_labels"] = """
+SELECT medicine_id, medicine_name, quantity, low_stock_limit,
+       CASE WHEN quantity <= low_stock_limit THEN 'LOW' ELSE 'OK' END AS stock_label
+FROM medicines"""

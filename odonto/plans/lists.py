@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odonto.functions.exprs import as_date, hhmm, ilike_any, weekday_name, weekday_ordinal
+from odonto.functions.exprs import as_date, hhmm, ilike_any, weekday_name, weekday_ordinal, yes_no_label
 from odonto.operators.access import billing_access
 from odonto.plans.views import appointment_details, billing_summary, live_patients
 
@@ -186,3 +186,18 @@ def dentists_with_appointments(t) -> DataFrame:
 def patients_page(t, offset: int, size: int) -> DataFrame:
     """One page of the live-patient list (by name, then id)."""
     return live_patients(t).orderBy("name", "patient_id").offset(offset).limit(size)
+
+
+def dentist_status_labels(t) -> DataFrame:
+    """Dentists with their ACTIVE / INACTIVE label, active first."""
+    return (t.dentists.select("dentist_id", "dentist_code", "name", "specialization",
+                              yes_no_label("is_active", "ACTIVE", "INACTIVE").alias("status_label"))
+            .orderBy(F.col("status_label"), "name", "dentist_id"))
+
+
+def stock_labels(t) -> DataFrame:
+    """Medicines with their LOW / OK stock label (quantity <= limit is LOW)."""
+    return (t.medicines.select("medicine_id", "medicine_name", "quantity", "low_stock_limit",
+                               yes_no_label(F.col("quantity") <= F.col("low_stock_limit"), "LOW", "OK")
+                               .alias("stock_label"))
+            .orderBy(F.col("stock_label"), "medicine_name", "medicine_id"))

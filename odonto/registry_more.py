@@ -232,3 +232,17 @@ def _q(t, spark, d):
 @register("daily_report_sql")
 def _q(t, spark, d):
     return procedures.daily_appointment_report(t, AS_OF)
+
+
+# --- display labels (X22) -------------------------------------------------------
+from odonto.plans import lists  # noqa: E402
+
+
+@register("dentist_status_labels")
+def _q(t, spark, d):
+    return lists.dentist_status_labels(t)
+
+
+@register("stock_labels")
+def _q(t, spark, d):
+    return lists.stock_labels(t)

@@ -81,15 +81,25 @@ class Clinic:
         return cls(spark, seed_frames(spark, as_of))
 
     # --- catalog ------------------------------------------------------
-    def register_views(self, prefix: str = "") -> None:
-        """Temp views for every table and for the four read-model views."""
+    def register_views(self, prefix: str = "", as_of=None) -> None:
+        """Temp views for every table and the read-model views.
+
+        With ``as_of`` the daily view is defined in SQL over the appointment
+        view (a view over a view, the date bound as a literal of the view).
+        """
+        import datetime as dt
+
         from odonto.plans import views
         for n, df in self._frames.items():
             df.createOrReplaceTempView(prefix + n)
         views.appointment_details(self).createOrReplaceTempView(prefix + "appointment_details_view")
         views.billing_summary(self).createOrReplaceTempView(prefix + "billing_summary_view")
+        if as_of is not None:
+            d = dt.date.fromisoformat(as_of) if isinstance(as_of, str) else as_of
+            self.spark.sql(f"""CREATE OR REPLACE TEMP VIEW {prefix}daily_appointments_view AS
+                SELECT * FROM {prefix}appointment_details_view WHERE appointment_date = DATE'{d.isoformat()}'""")
 
     def write(self, path: str, mode: str = "errorifexists") -> None:
-        """Write every table as Parquet under ``path/<table>``; facts by month."""
+        """Write every table as Parquet under ``path/<table>``; facts sorted by date."""
         from odonto.sources.io import write_snapshot
         write_snapshot(self, path, mode)

@@ -42,3 +42,10 @@ def test_bills_gate(spark, seed):
     assert lists.bills(seed, caller=(2, "STAFF")).count() == 0      # staff 2 may not
     assert lists.bills(seed, caller=(4, "CUSTOMER")).count() == 0
     assert [r.bill_id for r in lists.bills(seed, "paid", caller=(1, None)).collect()] == [1]
+
+
+def test_view_over_view(spark, seed):
+    seed.register_views("vv_", as_of=AS_OF)
+    got = [r.appointment_code for r in spark.sql(
+        "SELECT appointment_code FROM vv_daily_appointments_view ORDER BY appointment_time").collect()]
+    assert got == ["APT-00001", "APT-00002"]
