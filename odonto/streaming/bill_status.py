@@ -8,9 +8,9 @@ Parquet table in the shared checkpoint folder; readers take the latest total
 per bill with ``max_by(total, batch_id)``. Nothing is rewritten in full per
 trigger and nothing goes through the driver. The log is idempotent under
 retries: a batch re-run after a failure appends rows with the same batch id
-and the same totals, which the compaction reads the same way. Totals never expire (a bill can
-always receive another payment), so state grows with the number of bills:
-use the RocksDB state store at scale.
+and the same totals, which the compaction reads the same way. Totals never
+expire (a bill can always receive another payment), so state grows with the
+number of bills: use the RocksDB state store at scale.
 
 T9: payment change files mapped to PAYMENT_CREATED audit rows, appended.
 """
