@@ -1,12 +1,12 @@
 """Helpers shared by the corpus operators.
 
-Words are runs of characters other than space and U+0009..U+000D. All
-helpers treat a null text as the empty text.
+Words are runs of characters other than space and U+0009..U+000D: in a task,
+exactly what ``bytes.split()`` yields on the UTF-8 text. All helpers treat a
+null text as the empty text.
 """
 
 from __future__ import annotations
 
-import re
 import sys
 import uuid
 from collections.abc import Callable
@@ -21,7 +21,6 @@ from odonto.session import ensure_checkpoint_dir
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
-WORD_RE = re.compile(WORD_PATTERN)
 
 
 def ship_by_value(module_name: str) -> None:
@@ -33,13 +32,6 @@ def ship_by_value(module_name: str) -> None:
 ship_by_value(__name__)
 
 
-def py_words(text: str | None) -> list[str]:
-    """Words of a text inside a task."""
-    # str.split() without arguments also splits at Unicode spaces, which are
-    # word characters here; the six separators are ASCII only.
-    return WORD_RE.findall(text) if text else []
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``.
 

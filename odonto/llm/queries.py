@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from odonto.llm import rules
+from odonto.llm import mixing, packing, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -30,3 +30,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = rules.apply_policy(rules.measure(table(spark, sf_dir, "documents")))
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept", "n_lines", "n_shouts", "fail_bits")
+
+
+@register
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words every document gives to the mix of all documents."""
+    t = mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
+    return t.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@register
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a packed sequence."""
+    import public_tokenizers
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path)
