@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from odonto.llm import mixing, packing, rules, warc
+from odonto.llm import mixing, packing, quality, rules, warc
+from odonto.llm.common import is_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -52,3 +54,9 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as read back from the archives it was written to."""
     read = warc.archive_pages(spark, table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; remainder 2 of 4 is held out."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), is_remainder(F.col("doc_id"), 4, 2))
