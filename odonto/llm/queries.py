@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odonto.llm import mixing, packing, quality, rules, toxicity, warc
+from odonto.llm import fingerprints, mixing, packing, quality, rules, toxicity, warc
 from odonto.llm.common import is_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; remainder 0 of 5 is held out."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), is_remainder(F.col("doc_id"), 5, 0))
+
+
+@register
+def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    docs = table(spark, sf_dir, "documents")
+    return fingerprints.with_neighbours(docs, fingerprints.lexicon(docs))

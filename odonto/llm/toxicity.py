@@ -42,7 +42,7 @@ PREFIXES = (4, 5, 6)
 MIN_DOCUMENTS = 4
 MIN_PRECISION = 0.8
 #: A term is an attack if this many toxic documents by chance have odds below exp(-CHANCE).
-CHANCE = 12.0
+CHANCE = 16.0
 NEGATION_SPAN, TARGET_SPAN = 3, 4
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED, END = range(7)
