@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odonto.llm import fingerprints, mixing, packing, quality, rules, toxicity, warc
+from odonto.llm import fingerprints, mixing, packing, quality, repeats, rules, toxicity, warc
 from odonto.llm.common import is_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,10 @@ def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     docs = table(spark, sf_dir, "documents")
     return fingerprints.with_neighbours(docs, fingerprints.lexicon(docs))
+
+
+@register
+def op4_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that every document loses to repeats of 13 words or more."""
+    return (repeats.remove_repeats(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "n_removed", "kept_sha256"))
