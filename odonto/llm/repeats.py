@@ -47,7 +47,7 @@ LENGTH = 13
 SEED_WORDS = 5
 LAST_ID = (1 << 63) - 1
 #: Words hashed at once in a task.
-BATCH_WORDS = 1 << 20
+BATCH_WORDS = 1 << 18
 #: A window's start carries 16 bits of its text's hash above this bit, which
 #: tells rows that share an id apart.
 VERSION_BIT = 40

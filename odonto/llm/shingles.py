@@ -24,7 +24,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word (bytes), computed once per distinct word."""
 
-    def __init__(self, most: int = 1 << 19):
+    def __init__(self, most: int = 1 << 18):
         super().__init__()
         import xxhash
         self.hash, self.most = xxhash.xxh3_64_intdigest, most
