@@ -149,7 +149,7 @@ def repeat_starts(docs: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS)
     """(doc, starts): where the repeated windows of a document begin."""
     shared = stage(shared_anchors(docs, length, seed), "anchors")
     found = stage(candidate_windows(docs, key_filter(shared, "anchor"), length, seed), "windows")
-    first = found.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+    first = found.groupBy("window").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     later = found.join(first.select("window", "first"), "window").filter("doc > first")
     return later.groupBy("doc").agg(F.array_distinct(F.collect_list("start")).alias("starts"))
 
