@@ -218,7 +218,9 @@ def taken(m: Mix) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): words each document
     gives to the mix, repeats counted."""
     times = m.slots.groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
-    words = (m.fragments.join(times, ["s", "block"])
+    # Counts of slots grow with the corpus, which the planner can't tell from
+    # the few rows they are drawn from: never broadcast them.
+    words = (m.fragments.join(times.hint("merge"), ["s", "block"])
              .groupBy("s", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken")))
     some = m.sized.filter("size > 0").join(words, ["s", "start"], "left")
     none = m.sized.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
@@ -238,7 +240,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     key = [F.col("doc_id"), F.col("source"), F.xxhash64("text").alias("_key")]
     m = mix(docs, **options)
     ids = m.sized.filter("size > 0").select("s", "start", "doc_id", "source", "key", "size")
-    cuts = (m.fragments.join(m.slots.select("s", "block", "pass"), ["s", "block"])
+    cuts = (m.fragments.join(m.slots.select("s", "block", "pass").hint("merge"), ["s", "block"])
             .groupBy("s", "start", "pass")
             .agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("cuts"), F.sum("words").alias("n")))
     takes = (ids.join(cuts, ["s", "start"])
