@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odonto.llm import fingerprints, mixing, packing, quality, repeats, rules, toxicity, warc
+from odonto.llm import fingerprints, mixing, neardup, packing, quality, repeats, rules, toxicity, warc
 from odonto.llm.common import is_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ def op4_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that every document loses to repeats of 13 words or more."""
     return (repeats.remove_repeats(table(spark, sf_dir, "documents"))
             .select("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+
+@register
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document, at 85 % of shared shingles."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
