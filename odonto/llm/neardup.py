@@ -329,3 +329,36 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return linked.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                          F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, **options) -> DataFrame:
+    """One row of each near-duplicate group, with the input's columns: that of
+    the smallest id. Rows that share that id stay once; rows with a null id
+    or without words stay as they are."""
+    found = stage(near_duplicates(docs, **options), "groups")
+    # Ids that go, and ids whose rows must be thinned to one, are few columns
+    # of integers; the texts stay in the scan unless their id is one of them.
+    drop = stage(found.filter("not kept").select(F.col("doc_id").alias("_id")).distinct(), "drop")
+    many = stage(found.filter("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id"), "many")
+    common = docs.sparkSession.sparkContext.broadcast((key_filter(drop, "_id"), key_filter(many, "_id")))
+
+    @F.pandas_udf("int")
+    def marks(doc: pd.Series) -> pd.Series:
+        """1: the id may go; 2: the id may have several rows."""
+        key = doc.fillna(0).to_numpy(np.int64).view(np.uint64)
+        some = doc.notna().to_numpy()
+        return pd.Series((common.value[0].has(key) & some).astype("int32") + 2 * (common.value[1].has(key) & some))
+
+    marked = docs.withColumn("_mark", marks(F.col("doc_id")))
+    clear = marked.filter("_mark = 0")
+    rest = marked.filter("_mark <> 0").join(drop, F.col("doc_id") == F.col("_id"), "left_anti")
+    one = rest.filter("_mark < 2")
+    # Of the rows that share an id, the one with the least text hash stays.
+    several = rest.filter("_mark >= 2").join(many, F.col("doc_id") == F.col("_id"), "left").withColumn("_key", F.xxhash64("text"))
+    single = several.filter("_id is null").drop("_id", "_key")
+    words = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")) != ""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    thinned = (several.filter(F.col("_id").isNotNull() & words).groupBy("_id").agg(F.min_by(row, "_key").alias("_row")).select("_row.*"))
+    blank = several.filter(F.col("_id").isNotNull() & ~words).drop("_id", "_key")
+    out = clear.unionByName(one).unionByName(single).unionByName(blank).drop("_mark")
+    return out.unionByName(thinned.select(*out.columns)).select(*[F.col(f"`{c}`") for c in docs.columns])

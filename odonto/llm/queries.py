@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odonto.llm import fingerprints, mixing, neardup, packing, quality, repeats, rules, toxicity, warc
+from odonto.llm import fingerprints, lines, mixing, neardup, packing, quality, repeats, rules, toxicity, warc
 from odonto.llm.common import is_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,10 @@ def op4_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every document, at 85 % of shared shingles."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that every document loses to equal or near earlier lines."""
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_equal", "n_near", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
