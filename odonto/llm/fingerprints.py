@@ -46,7 +46,7 @@ HASH_BYTES = 3
 SEED = 11
 #: Terms of one task that wait to be summed; beyond, they are sent on.
 TERM_ROWS = 1 << 19
-ROWS_PER_RANGE = 4000
+ROWS_PER_RANGE = 1000
 
 #: Punctuation that ends or opens a word counts as a space.
 _SPACED = bytes.maketrans(b".,;:!?\"()[]{}<>|", b"                ")
