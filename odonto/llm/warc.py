@@ -141,16 +141,16 @@ def read_records(uri: str) -> Iterator[tuple[int, bytes]]:
         frame = source.read(size)
         d = (zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(frame)) if frame
              else zstandard.ZstdDecompressor())
-        one, parts, n = d.decompressobj(), [], 0
+        one, parts, n, inside = d.decompressobj(), [], 0, False
         while data := source.read(READ_BYTES):
             while data:
                 parts.append(one.decompress(data))
-                data = b""
+                data, inside = b"", True
                 if one.eof:
                     yield n, b"".join(parts)
                     data = one.unused_data
-                    one, parts, n = d.decompressobj(), [], n + 1
-        if any(parts):
+                    one, parts, n, inside = d.decompressobj(), [], n + 1, False
+        if inside:
             raise ValueError(f"{uri}: ends inside a record")
 
 
