@@ -17,7 +17,7 @@ from odonto.schemas import CODE_FORMATS, MONEY, WEEKDAYS
 __all__ = [
     "col_or_lit", "code", "age", "weekday_name", "hhmm", "normalise_time", "js_trim",
     "clean_text", "is_blank", "js_number", "is_finite_non_negative", "positive_id",
-    "to_money", "date_text_ok", "time_text_ok", "time_value_ok", "derived_bill_status",
+    "to_money", "date_text_ok", "date_value", "padded", "time_text_ok", "time_value_ok", "derived_bill_status",
     "weekday_ordinal", "month_range", "year_range", "ilike_any", "substring_pattern",
     "as_date", "to_double_edge", "yes_no_label",
 ]
@@ -101,6 +101,15 @@ _JS_DECIMAL = "^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|Infinity)$"
 _JS_RADIX = (("^0[xX][0-9a-fA-F]+$", 16), ("^0[bB][01]+$", 2), ("^0[oO][0-7]+$", 8))
 
 
+def _radix_value(s: Column, base: int) -> Column:
+    """Value of a prefixed integer text as a double, however many digits it
+    has: the leading digits exactly, the others as a power of the base."""
+    lead = {16: 12, 8: 16, 2: 48}[base]
+    digits = F.regexp_replace(F.regexp_replace(s, "^0[xXbBoO]", ""), "^0+", "")
+    head = F.conv(F.concat(F.lit("0"), F.substring(digits, 1, lead)), base, 10).cast("double")
+    return head * F.pow(F.lit(float(base)), F.greatest(F.length(digits) - lead, F.lit(0)).cast("double"))
+
+
 def js_number(c) -> Column:
     """Numeric value of a text field the way a JS ``Number()`` reads it.
 
@@ -113,7 +122,7 @@ def js_number(c) -> Column:
            .when(s == "", F.lit(0.0))
            .when(s.rlike(_JS_DECIMAL), s.try_cast("double")))
     for pattern, base in _JS_RADIX:
-        out = out.when(s.rlike(pattern), F.conv(F.substring(s, 3, 1 << 20), base, 10).try_cast("double"))
+        out = out.when(s.rlike(pattern), _radix_value(s, base))
     return F.coalesce(out.otherwise(F.lit(float("nan"))), F.lit(float("nan")))
 
 
@@ -142,6 +151,17 @@ def to_money(c) -> Column:
     return F.round(exact, 2).try_cast(MONEY)
 
 
+def date_value(c) -> Column:
+    """The date a text names in year-month-day form, else NULL ('1990' is no date)."""
+    t = col_or_lit(c)
+    return F.when(t.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), t.try_cast("date"))
+
+
+def padded(c, width: int) -> Column:
+    """An integer as zero-padded text; longer numbers keep all their digits."""
+    return F.format_string(f"%0{width}d", col_or_lit(c).cast("long"))
+
+
 def date_text_ok(c) -> Column:
     return F.coalesce(col_or_lit(c).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.lit(False))
 
@@ -153,7 +173,8 @@ def time_text_ok(c) -> Column:
 def time_value_ok(t) -> Column:
     """A well-formed 'HH:mm:ss' text names a storable TIME (minutes, seconds < 60)."""
     c = col_or_lit(t)
-    return (F.substring(c, 4, 2).cast("int") < 60) & (F.substring(c, 7, 2).cast("int") < 60)
+    small = lambda at: F.coalesce(F.substring(c, at, 2).try_cast("int") < 60, F.lit(False))
+    return small(4) & small(7)
 
 
 def derived_bill_status(paid, total, has_payment=None) -> Column:
@@ -182,8 +203,23 @@ def year_range(c, year: int) -> Column:
 
 
 def substring_pattern(text: str) -> str:
-    """``%text%`` without escaping: '%' and '_' typed by a user stay wildcards."""
-    return f"%{text}%"
+    """``%text%`` without escaping: '%' and '_' typed by a user stay wildcards.
+
+    A backslash escapes a wildcard or another backslash; before anything else
+    it stands for itself (an unescaped one would be an invalid pattern).
+    """
+    out, i = [], 0
+    while i < len(text):
+        if text[i] == "\\":
+            if text[i + 1:i + 2] in ("%", "_", "\\"):
+                out.append(text[i:i + 2])
+                i += 2
+                continue
+            out.append("\\\\")
+        else:
+            out.append(text[i])
+        i += 1
+    return f"%{''.join(out)}%"
 
 
 def ilike_any(cols: list[str], text: str) -> Column:

@@ -12,13 +12,15 @@ MSG_STAFF_NO_BILLING = "Staff billing access is disabled"
 
 
 def caller_role(c="caller_role") -> Column:
-    """Header role: missing -> OWNER, upper-cased."""
-    return F.upper(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("OWNER")))
+    """Header role: missing or empty -> OWNER, upper-cased."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.upper(F.when(x.isNull() | (x == ""), F.lit("OWNER")).otherwise(x))
 
 
 def caller_id(c="caller_id") -> Column:
-    """Header user id: missing -> 1."""
-    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(1)).cast("long")
+    """Header user id: missing or empty -> 1; a text that is no number is no user (NULL)."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("string")
+    return F.when(x.isNull() | (x == ""), F.lit(1).cast("long")).otherwise(x.try_cast("double").try_cast("long"))
 
 
 def billing_access(t, callers: DataFrame) -> DataFrame:

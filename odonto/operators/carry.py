@@ -1,66 +1,38 @@
 """Previous value per key in arrival order, for audit rows of chained updates.
 
 When several accepted updates hit one key in a batch, each audit row needs
-the value the key held just before that update. Keys updated once (the usual
-case) take it from the base snapshot by a plain join. Keys updated several
-times are hash-partitioned by key and sorted by (key, seq) within each
-partition; a ``mapInPandas`` pass walks that stream in Arrow batches keeping
-only (key, current value), so no key's updates are gathered in memory.
+the value the key held just before that update: the last one set by an earlier
+update, or else the stored one. Updates are dealt into buckets of consecutive
+order numbers. Windows run inside one (key, bucket) and over a key's buckets,
+so a key with a third of all updates spreads over its buckets.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# The function below runs in Python workers. Ship it by value, so a worker
-# does not need this package on its path (numpy and pandas are enough).
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cur_key, cur_val = object(), None
-    for pdf in batches:
-        n = len(pdf)
-        keys = pdf["_k"].to_numpy()
-        base = pdf["_base"].to_numpy(dtype=object)
-        new = pdf["_new"].to_numpy(dtype=object)
-        sets = pdf["_sets"].to_numpy()
-        prev = np.empty(n, dtype=object)
-        after = np.empty(n, dtype=object)
-        for i in range(n):
-            if keys[i] != cur_key:
-                cur_key, cur_val = keys[i], base[i]
-            prev[i] = cur_val
-            if sets[i]:
-                cur_val = new[i]
-            after[i] = cur_val
-        yield pd.DataFrame({"seq": pdf["seq"].to_numpy(), "prev_value": prev, "next_value": after})
+BUCKET = 1 << 16
 
 
 def previous_values(updates: DataFrame, key: str, value: str, sets: str, base: DataFrame,
-                    base_value: str, order_col: str = "seq") -> DataFrame:
+                    base_value: str, order_col: str = "seq", bucket: int = BUCKET) -> DataFrame:
     """Add ``prev_value`` / ``next_value`` (string) to each update row.
 
     ``updates``: one row per accepted update with ``key``, ``order_col``, the
     new ``value`` and a boolean ``sets`` (whether this update writes it).
     ``base``: the snapshot before the batch, with ``key`` and ``base_value``.
     """
-    u = updates.select(F.col(key).alias("_k"), F.col(order_col).alias("seq"),
-                       F.col(value).cast("string").alias("_new"), F.col(sets).alias("_sets"))
-    b = base.select(F.col(key).alias("_k"), F.col(base_value).cast("string").alias("_base"))
-    counts = u.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    u = u.join(b, "_k", "left").join(counts, "_k")
-    single = u.filter(F.col("_n") == 1).select(
-        "seq", F.col("_base").alias("prev_value"),
-        F.when(F.col("_sets"), F.col("_new")).otherwise(F.col("_base")).alias("next_value"))
-    multi = (u.filter(F.col("_n") > 1).select("_k", "seq", "_base", "_new", "_sets")
-             .repartition("_k").sortWithinPartitions("_k", "seq")
-             .mapInPandas(_walk, "seq long, prev_value string, next_value string"))
-    return updates.join(single.unionByName(multi), order_col)
+    # A struct tells a NULL that was set from nothing set.
+    u = updates.select(F.col(key).alias("_k"), F.col(order_col).alias("seq"), F.floor(F.col(order_col) / bucket).alias("_b"),
+                       F.when(F.col(sets), F.struct(F.col(value).cast("string").alias("v"))).alias("_set"))
+    ends = u.groupBy("_k", "_b").agg(F.max_by("_set", F.when(F.col("_set").isNotNull(), F.col("seq"))).alias("_end"))
+    earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    start = ends.select("_k", "_b", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    stored = base.select(F.col(key).alias("_k"), F.struct(F.col(base_value).cast("string").alias("v")).alias("_base"))
+    inside = Window.partitionBy("_k", "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    v = (u.withColumn("_before", F.last("_set", ignorenulls=True).over(inside))
+         .join(start, ["_k", "_b"]).join(stored, "_k", "left")
+         .withColumn("_prev", F.coalesce("_before", "_carried", "_base"))
+         .select("seq", F.col("_prev.v").alias("prev_value"), F.coalesce("_set", "_prev")["v"].alias("next_value")))
+    return updates.join(v.withColumnRenamed("seq", order_col), order_col)

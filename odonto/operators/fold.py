@@ -69,7 +69,11 @@ def fold_payments(cands: DataFrame, balances: DataFrame | None = None) -> DataFr
     """
     if balances is not None:
         cands = cands.join(balances.select("bill_id", "remaining"), "bill_id")
-    c = (cands
+    # A balance only shrinks: what exceeds it at the start is refused at any
+    # turn, and consumes nothing. That also bounds the amounts below.
+    too_much = F.col("amount_raw") > F.col("remaining")
+    never = cands.filter(too_much).select("seq", F.lit(False).alias("accepted"), F.lit(True).alias("over_balance"))
+    c = (cands.filter(~too_much)
          .withColumn("amount_cents", (F.col("amount") * 100).cast("long"))
          .withColumn("_raw100", F.col("amount_raw") * 100)
          .withColumn("raw_key", F.floor("_raw100").cast("long") * 2
@@ -90,4 +94,4 @@ def fold_payments(cands: DataFrame, balances: DataFrame | None = None) -> DataFr
                .select("bill_id", "seq", "raw_key", "amount_cents", "method_ok", "remaining_cents")
                .repartition("bill_id").sortWithinPartitions("bill_id", "seq"))
     slow = slow_in.mapInPandas(_fold_batches, FOLD_SCHEMA)
-    return cands.join(fast.unionByName(slow), "seq")
+    return cands.join(fast.unionByName(slow).unionByName(never), "seq")

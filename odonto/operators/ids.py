@@ -21,8 +21,8 @@ DEFAULT_BUCKET = 1 << 16
 def _offsets(counts: DataFrame, key: str, n: str, bucket_size: int, levels: int) -> DataFrame:
     """(key, _offset): sum of ``n`` over all smaller keys; ``key`` is unique."""
     if levels == 0:
-        # Top level: keys are seq / bucket_size**(levels + 1); with the
-        # defaults (2**16, 2 levels) a 64-bit seq leaves at most 2**15 of them.
+        # Top level: keys are seq / bucket_size**(levels + 1), at most
+        # bucket_size of them for any non-negative 64-bit seq.
         w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
         return counts.select(key, F.coalesce(F.sum(n).over(w), F.lit(0)).alias("_offset"))
     parent = f"{key}_p"
@@ -35,12 +35,15 @@ def _offsets(counts: DataFrame, key: str, n: str, bucket_size: int, levels: int)
 
 
 def assign_ids(df: DataFrame, id_col: str, base: Column | int = 0, order_col: str = "seq",
-               bucket_size: int = DEFAULT_BUCKET, levels: int = 2) -> DataFrame:
+               bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
     """Add ``id_col`` = base + 1, base + 2, ... in ``order_col`` order.
 
     ``order_col`` must be unique. ``base`` is typically the current maximum
     id of the target table (a scalar subquery), as AUTO_INCREMENT would give.
     """
+    levels = 0          # until the top window has at most bucket_size keys of any 64-bit seq
+    while bucket_size ** (levels + 2) < 1 << 63:
+        levels += 1
     base_col = base if isinstance(base, Column) else F.lit(base)
     b = df.withColumn("_bucket", F.floor(F.col(order_col) / F.lit(bucket_size)).cast("long"))
     counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))

@@ -29,6 +29,7 @@ def merge_patches(patches: DataFrame, key: str, fields: list[str], order_col: st
         aggs.append(F.max_by(F.col(f), F.when(F.col(has(f)), F.col(order_col))).alias(f))
         aggs.append(F.max(F.col(has(f)).cast("int")).cast("boolean").alias(has(f)))
     aggs.append(F.max(order_col).alias("_last_seq"))
+    aggs.append(F.min(order_col).alias("_first_seq"))
     return patches.groupBy(key).agg(*aggs)
 
 
@@ -68,7 +69,7 @@ def upsert(base: DataFrame, rows: DataFrame, key: str, id_col: str, fields: list
     ``order_col``; inserted rows get fresh ``id_col`` values after the
     current maximum, in ``order_col`` order. Returns (snapshot, inserted).
     """
-    existing = base.select(key).distinct()
+    existing = base.select(key)
     upd = rows.join(existing, key, "left_semi")
     ins = rows.join(existing, key, "left_anti")
     patched = apply_patch(base, upd.select(key, *fields, *[F.lit(True).alias(has(f)) for f in fields]),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from odonto.functions.exprs import hhmm, weekday_name
 
+# Fixed reason texts of the booking checks.
 MSG_CLOSED = "Clinic is closed on the selected date"
 MSG_SLOT_TAKEN = "This dentist already has an appointment in this slot"
 MSG_DUPLICATE = "Duplicate entry. This record already exists or the appointment slot is booked."
@@ -15,15 +16,17 @@ MSG_DUPLICATE = "Duplicate entry. This record already exists or the appointment
 def with_clinic_hours(t, df: DataFrame, date_col: str, time_col: str, clinic_id: int = 1) -> DataFrame:
     """Add ``hours_ok`` and ``hours_reason`` for (date text, 'HH:mm:ss' time).
 
-    The weekday of the date is looked up in the clinic's timetable (seven rows
-    at most, so it is broadcast); an unreadable date finds no weekday and so
-    counts as closed. Opening hours are half-open: [opening, closing).
+    The weekday of the date is looked up in the clinic's timetable, reduced to
+    one row per weekday (the lowest timing id) so that it can't multiply
+    requests; an unreadable date finds no weekday and so counts as closed. Opening hours are half-open: [opening, closing).
     """
     ct = (t.clinic_timings.filter(F.col("clinic_id") == clinic_id)
-          .select(F.col("day_of_week").alias("_dow"), F.col("opening_time").alias("_open"),
-                  F.col("closing_time").alias("_close"), F.col("is_closed").alias("_closed")))
+          .groupBy(F.col("day_of_week").alias("_dow"))
+          .agg(F.min_by(F.struct("opening_time", "closing_time", "is_closed"), "timing_id").alias("_t"))
+          .select("_dow", F.col("_t.opening_time").alias("_open"), F.col("_t.closing_time").alias("_close"),
+                  F.col("_t.is_closed").alias("_closed")))
     d = df.withColumn("_dow", weekday_name(F.col(date_col).try_cast("date")))
-    j = d.join(F.broadcast(ct), "_dow", "left")
+    j = d.join(ct, "_dow", "left")
     tm = F.col(time_col)
     closed = F.col("_open").isNull() | F.coalesce(F.col("_closed"), F.lit(True))
     outside = (tm < F.col("_open")) | (tm >= F.col("_close"))
@@ -39,10 +42,11 @@ def slot_flags(existing: DataFrame, req: DataFrame, keys=("dentist_id", "appoint
     """Add ``slot_live`` (a non-cancelled appointment holds the slot) and
     ``slot_any`` (any appointment, cancelled included, holds it).
 
-    One grouped pass over the existing appointments gives one row per used
-    slot; the requests join it on the three-column key.
+    Only appointments in slots that the batch asks for are grouped, one row
+    per slot; the requests join them on the three-column key.
     """
-    used = existing.groupBy(*keys).agg(
+    asked = req.select(*keys).distinct()
+    used = existing.join(asked, list(keys), "left_semi").groupBy(*keys).agg(
         F.max(F.col("status") != "CANCELLED").alias("slot_live"), F.lit(True).alias("slot_any"))
     return (req.join(used, list(keys), "left")
             .withColumn("slot_live", F.coalesce("slot_live", F.lit(False)))

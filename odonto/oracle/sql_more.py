@@ -290,7 +290,7 @@ SELECT seq, 201, NULL, id, {code} FROM ok"""
 BODIES["add_patients"] = f"""
 WITH req AS (
   SELECT c_custkey AS seq, CASE WHEN c_acctbal < -900 THEN ' ' ELSE c_name END AS name,
-         CASE WHEN c_custkey % 13 = 0 THEN '12345' ELSE '0300-' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') END AS phone,
+         CASE WHEN c_custkey % 13 = 0 THEN '12345' ELSE '0300-' || printf('%07d', c_custkey) END AS phone,
          CASE c_custkey % 4 WHEN 0 THEN 'male' WHEN 1 THEN 'Female' WHEN 2 THEN '' ELSE 'x' END AS gender,
          CASE WHEN c_custkey % 17 = 0 THEN '1990-02-30'
               ELSE strftime(DATE '1950-01-01' + CAST(c_custkey * 13 % 20000 AS INT), '%Y-%m-%d') END AS date_of_birth
@@ -398,7 +398,7 @@ FROM h"""
 
 BODIES["add_dentists"] = f"""
 WITH req AS (
-  SELECT s_suppkey AS seq, s_name AS name, '0304-' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') AS phone,
+  SELECT s_suppkey AS seq, s_name AS name, '0304-' || printf('%07d', s_suppkey) AS phone,
          CASE WHEN s_acctbal < 0 THEN '' ELSE 'General Dentistry' END AS specialization
   FROM supplier),
 chk AS (
@@ -485,7 +485,7 @@ chk AS (
   FROM h),
 fin AS (
   SELECT chk.*, CASE WHEN fail0 IS NULL AND any_f AND moves
-                      AND seq <> min(seq) OVER (PARTITION BY cur_dentist, new_date, new_time, fail0 IS NULL AND any_f AND moves)
+                      AND aid <> arg_min(aid, seq) OVER (PARTITION BY cur_dentist, new_date, new_time, fail0 IS NULL AND any_f AND moves)
                      THEN '409|Duplicate entry. This record already exists or the appointment slot is booked.'
                      ELSE fail0 END AS fail
   FROM chk)"""
@@ -577,7 +577,7 @@ WITH req AS (
 v AS (
   SELECT seq, {_req('medicine_name', 120)} AS name, {_req('batch_no', 40)} AS batch, {_req('expiry_date', 10)} AS d10,
          TRY_CAST(CASE WHEN {_truthy('quantity')} THEN quantity ELSE '0' END AS DOUBLE) AS q,
-         TRY_CAST(CASE WHEN {_truthy('low_stock_limit')} THEN low_stock_limit ELSE '10' END AS DOUBLE) AS l
+         TRY_CAST(CASE WHEN coalesce(low_stock_limit, '') <> '' THEN low_stock_limit ELSE '10' END AS DOUBLE) AS l
   FROM req),
 chk AS (
   SELECT seq, CASE
@@ -640,7 +640,7 @@ ok AS (
   WHERE upper(coalesce(caller_role, 'OWNER')) = 'OWNER'
     AND ({_key('staff_user_id')} IN (SELECT staff_user_id FROM staff_permissions)
          OR {_key('staff_user_id')} IN (SELECT user_id FROM users))),
-last AS (SELECT uid, arg_max(bill, seq) AS bill, arg_max(view, seq) AS view, max(seq) AS seq FROM ok GROUP BY uid),
+last AS (SELECT uid, arg_max(bill, seq) AS bill, arg_max(view, seq) AS view, min(seq) AS seq FROM ok GROUP BY uid),
 ins AS (SELECT l.* FROM last l WHERE uid NOT IN (SELECT staff_user_id FROM staff_permissions))
 SELECT sp.permission_id, sp.staff_user_id, coalesce(l.bill, sp.can_manage_billing) AS can_manage_billing,
        coalesce(l.view, sp.can_view_reports) AS can_view_reports

@@ -51,7 +51,10 @@ def unique(t, only=None) -> DataFrame:
     for table, cols in UNIQUE_KEYS:
         if only and (table, cols) not in only:
             continue
-        g = (t[table].groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1))
+        # Texts that differ in case only are the same key, as under the reference's collation.
+        text = {f.name for f in t[table].schema.fields if f.dataType.typeName() == "string"}
+        g = (t[table].groupBy(*[(F.lower(c) if c in text else F.col(c)).alias(f"_{c}") for c in cols])
+             .agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in cols]).filter(F.col("_n") > 1))
         key = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
         out.append(_rows(g, table, "UNIQUE(" + ",".join(cols) + ")", key, F.col("_n")))
     return _union(out)

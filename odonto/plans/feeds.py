@@ -72,13 +72,11 @@ def patients_updated(old: DataFrame, new: DataFrame, ts: Column, changed_only: b
     A diff only sees rows whose values changed (``changed_only``); the
     trigger also fires for updates that change nothing.
     """
-    o = old.select("patient_id", F.col("name").alias("_old_name"), F.col("is_deleted").alias("_old_del"),
-                   F.sha2(F.to_json(F.struct(*[c for c in old.columns if c != "updated_at"])), 256).alias("_h0"))
-    n = new.select("patient_id", "name", "is_deleted",
-                   F.sha2(F.to_json(F.struct(*[c for c in new.columns if c != "updated_at"])), 256).alias("_h1"))
-    j = o.join(n, "patient_id")
+    cols = [c for c in old.columns if c != "updated_at"]
+    o = old.select("patient_id", F.col("name").alias("_old_name"), F.col("is_deleted").alias("_old_del"), F.struct(*cols).alias("_was"))
+    j = o.join(new.select("patient_id", "name", "is_deleted", F.struct(*cols).alias("_is")), "patient_id")
     if changed_only:
-        j = j.filter(F.col("_h0") != F.col("_h1"))
+        j = j.filter(~F.col("_was").eqNullSafe(F.col("_is")))
     action = F.when(~F.col("_old_del") & F.col("is_deleted"), "PATIENT_SOFT_DELETED").otherwise("PATIENT_UPDATED")
     return _audit(j, action, "patients", "patient_id", F.col("_old_name"), F.col("name"), None, ts)
 
@@ -111,9 +109,9 @@ def stamp_updated_at(old: DataFrame, new: DataFrame, key: str, ts: Column,
                      col: str = "updated_at") -> DataFrame:
     """``updated_at`` = ``ts`` on rows whose other values changed."""
     cols = [c for c in new.columns if c != col]
-    o = old.select(key, F.sha2(F.to_json(F.struct(*cols)), 256).alias("_h0"))
+    o = old.select(key, F.struct(*cols).alias("_was"))
     j = new.join(o, key, "left")
-    changed = F.col("_h0").isNull() | (F.col("_h0") != F.sha2(F.to_json(F.struct(*cols)), 256))
+    changed = ~F.col("_was").eqNullSafe(F.struct(*[new[c] for c in cols]))
     return j.withColumn(col, F.when(changed, ts.cast("timestamp")).otherwise(F.col(col))).select(new.columns)
 
 
@@ -130,10 +128,11 @@ def audit_feed(old, new, ts) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def append_audit(audit_logs: DataFrame, rows: DataFrame, order_col: str | None = None) -> DataFrame:
-    """Append audit rows with fresh log ids (after the current maximum)."""
-    if order_col is None:
-        rows = rows.withColumn("_o", F.xxhash64(*AUDIT_COLS))
-        order_col = "_o"
+def append_audit(audit_logs: DataFrame, rows: DataFrame, order_col: str = "_order") -> DataFrame:
+    """Append audit rows with fresh log ids (after the current maximum).
+
+    Ids follow ``order_col``, the arrival order that every job's audit frame
+    carries. Rows of a snapshot diff have none: give them an order first.
+    """
     rows = assign_ids(rows.withColumn("seq", F.col(order_col)), "log_id", max_id(audit_logs, "log_id"))
     return audit_logs.unionByName(rows.select("log_id", *AUDIT_COLS))

@@ -34,6 +34,7 @@ from odonto.plans.views import billing_summary
 from odonto.schemas import PAYMENT_METHODS
 from odonto.session import stage
 
+MSG_FK = "Cannot add or update a child row: a foreign key constraint fails"
 OUTCOME_COLS = ["seq", "status_code", "reason", "record_id", "record_code"]
 
 
@@ -58,8 +59,13 @@ def _date(as_of) -> Column:
 
 
 def _exists(df: DataFrame, key_col: str, probe: DataFrame, probe_key: str, flag: str) -> DataFrame:
-    """Add boolean ``flag``: ``df[key_col]`` is a key of ``probe`` (distinct keys joined)."""
-    keys = probe.select(F.col(probe_key).alias(key_col)).distinct().withColumn(flag, F.lit(True))
+    """Add boolean ``flag``: ``df[key_col]`` is a key of ``probe``.
+
+    The batch's distinct keys look themselves up, so the probed table is only
+    scanned for one column and never deduplicated as a whole.
+    """
+    asked = df.select(key_col).distinct()
+    keys = asked.join(probe.select(F.col(probe_key).alias(key_col)), key_col, "left_semi").withColumn(flag, F.lit(True))
     return df.join(keys, key_col, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
@@ -111,6 +117,7 @@ def book_appointments(t, req: DataFrame, as_of, strict: bool = True, clinic_id:
     active = t.dentists.filter(F.col("is_active"))
     r = _exists(r, "patient_id", live, "patient_id", "_patient_ok")
     r = _exists(r, "dentist_id", active, "dentist_id", "_dentist_ok")
+    r = _exists(r, "created_by_user_id", t.users, "user_id", "_user_ok")
     r = with_clinic_hours(t, r, "date_text", "appointment_time", clinic_id)
     r = slot_flags(t.appointments, r)
     rules = [
@@ -123,10 +130,11 @@ def book_appointments(t, req: DataFrame, as_of, strict: bool = True, clinic_id:
     ]
     if strict:
         rules.append(Rule(~F.col("slot_any"), 409, MSG_DUPLICATE))
+    rules.append(Rule(F.col("_user_ok"), 500, MSG_FK))
     code_c, reason_c = first_failure(rules)
     # A failed pre-check carries its own code (400) through the first rule.
     r = stage(r.withColumn("status_code", code_c).withColumn("reason", reason_c)
-              .drop("_patient_ok", "_dentist_ok", "hours_ok", "hours_reason", "_pre_code", "_pre_reason"))
+              .drop("_patient_ok", "_dentist_ok", "_user_ok", "hours_ok", "hours_reason", "_pre_code", "_pre_reason"))
     passed = r.filter(F.col("status_code").isNull())
     contest = winners(passed)
     losers = contest.filter(~F.col("slot_winner")).select(
@@ -191,6 +199,7 @@ def create_bills(t, req: DataFrame, as_of) -> JobResult:
         pre_code.alias("_pre_code"), pre_reason.alias("_pre_reason"))
     r = _exists(r, "patient_id", t.patients.filter(~F.col("is_deleted")), "patient_id", "_patient_ok")
     r = _exists(r, "treatment_id", t.treatments, "treatment_id", "_treat_ok")
+    r = _exists(r, "created_by_user_id", t.users, "user_id", "_user_ok")
     total = (F.col("subtotal") - F.col("discount_amount"))
     rules = [
         Rule(F.col("_pre_code").isNull(), 400, F.col("_pre_reason")),
@@ -198,6 +207,7 @@ def create_bills(t, req: DataFrame, as_of) -> JobResult:
         Rule(F.col("treatment_id").isNull() | F.col("_treat_ok"), 404, "Treatment not found"),
         Rule(F.col("subtotal").isNotNull() & F.col("discount_amount").isNotNull(), 500,
              "Out of range value for a DECIMAL(10,2) amount"),
+        Rule(F.col("_user_ok"), 500, MSG_FK),
     ]
     code_c, reason_c = first_failure(rules)
     # The pre-check rule carries the pre-check's own status code.
@@ -232,7 +242,8 @@ def add_payments(t, req: DataFrame, as_of) -> JobResult:
     payments update their bill's status (T7) and add PAYMENT_CREATED rows.
     """
     ts = _ts(as_of)
-    acc = billing_access(t, req)
+    acc = billing_access(t, req).withColumn("_uid", caller_id())
+    acc = _exists(acc, "_uid", t.users, "user_id", "_user_ok")
     r_bid, bid = positive_id_rule("bill_id", "bill_id")
     r_amt, amt_n = non_negative_number("paid_amount", "paid_amount")
     r_method, method = required_text_default("payment_method", "CASH", "payment_method", 20)
@@ -248,6 +259,7 @@ def add_payments(t, req: DataFrame, as_of) -> JobResult:
         r_method,
         Rule(to_money(F.col("paid_amount")).isNotNull(), 500, "Out of range value for column 'paid_amount'"),
         Rule(F.upper(method).isin(PAYMENT_METHODS), 500, "Data truncated for column 'payment_method'"),
+        Rule(F.col("_user_ok"), 500, MSG_FK),
     ])
     r = acc.select(
         "seq", caller_id().alias("received_by_user_id"), bid.alias("bill_id"),
@@ -293,9 +305,14 @@ def add_payments(t, req: DataFrame, as_of) -> JobResult:
 
 
 def _exact(c: Column) -> Column:
-    """The amount as given, exactly (DECIMAL(38,10)); blank -> 0."""
+    """The amount as given, exactly (DECIMAL(38,10)); blank -> 0.
+
+    A positive amount too large for the type becomes its largest value, far
+    above any balance, so that it is refused like any other overpayment.
+    """
     from odonto.functions.exprs import js_number, js_trim
     s = js_trim(c)
-    return (F.when(s == "", F.lit(0).cast("decimal(38,10)"))
-            .when(s.rlike("^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"), s.try_cast("decimal(38,10)"))
-            .otherwise(js_number(s).try_cast("decimal(38,10)")))
+    exact = (F.when(s == "", F.lit(0).cast("decimal(38,10)"))
+             .when(s.rlike("^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"), s.try_cast("decimal(38,10)"))
+             .otherwise(js_number(s).try_cast("decimal(38,10)")))
+    return F.coalesce(exact, F.when(js_number(s) > 0, F.lit("9" * 28).cast("decimal(38,10)")))

@@ -18,9 +18,12 @@ def _with_history(t, patients: DataFrame) -> DataFrame:
 
 
 def patients(t, search: str | None = None) -> DataFrame:
-    """Q1: live patients with history, optional search on name/phone/code, by name."""
+    """Q1: live patients with history, optional search on name/phone/code, by name.
+
+    The text is trimmed and cut to 80 characters; a blank one filters nothing.
+    """
     p = live_patients(t)
-    if search:
+    if search := (search or "").strip()[:80]:
         p = p.filter(ilike_any(["name", "phone", "patient_code"], search))
     return _with_history(t, p).orderBy("name", "patient_id")
 
@@ -85,15 +88,17 @@ def bills(t, status: str | None = None, caller: tuple | None = None) -> DataFram
     """Q7: billing summary rows, optional status, newest first.
 
     With ``caller`` = (caller_id, caller_role) the list is gated by billing
-    access (G1): a caller without access gets no rows. The gate is a one-row
-    scalar subquery, so it costs one lookup and no join with the bills.
+    access (G1): a caller without access gets a PermissionError with the
+    refusal's reason, which costs one lookup and no join with the bills.
     """
     b = billing_summary(t)
-    if status:
-        b = b.filter(F.col("status") == status.strip().upper())
+    if status := (status or "").strip():
+        b = b.filter(F.col("status") == status.upper())
     if caller is not None:
         req = t.spark.createDataFrame([caller], "caller_id long, caller_role string")
-        b = b.filter(billing_access(t, req).select("billing_allowed").scalar())
+        verdict = billing_access(t, req).select("billing_allowed", "access_reason").first()
+        if not verdict["billing_allowed"]:
+            raise PermissionError(verdict["access_reason"])
     return b.orderBy(F.col("bill_date").desc(), "bill_id")
 
 
@@ -164,9 +169,7 @@ def hours_for_dates(t, dates: DataFrame, date_col: str = "date", clinic_id: int
         ct = ct.filter(F.col("clinic_id") == clinic_id)
     ct = ct.select("day_of_week", "clinic_id", "opening_time", "closing_time", "is_closed")
     d = dates.withColumn("day_of_week", weekday_name(F.col(date_col)))
-    # One clinic's timetable is at most seven rows: broadcast it. Without a
-    # clinic id the size depends on the clinic count, so AQE decides.
-    out = d.join(F.broadcast(ct) if clinic_id is not None else ct, "day_of_week", "left")
+    out = d.join(ct, "day_of_week", "left")
     return out.select(
         *dates.columns, "day_of_week", "clinic_id",
         F.coalesce(F.col("is_closed"), F.lit(True)).alias("is_closed"),

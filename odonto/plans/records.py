@@ -19,20 +19,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odonto.functions.exprs import (clean_text, code, date_text_ok, is_blank, js_number, normalise_time,
+from odonto.functions.exprs import (clean_text, code, date_text_ok, date_value, is_blank, js_number, normalise_time,
                                     time_text_ok, time_value_ok, to_money)
 from odonto.operators.access import MSG_OWNER_ONLY, owner_only
 from odonto.operators.carry import previous_values
 from odonto.operators.ids import assign_ids, max_id
 from odonto.operators.patch import apply_patch, has, merge_patches, upsert
-from odonto.operators.schedule import MSG_DUPLICATE, winners, with_clinic_hours
+from odonto.operators.schedule import MSG_DUPLICATE, with_clinic_hours
 from odonto.operators.validate import (Rule, date_rules, first_failure, non_negative_number,
                                        optional_text, required_text, required_text_default, time_rules)
-from odonto.plans.jobs import JobResult, _audit_rows, _date, _exists, _outcome, _ts
+from odonto.plans.jobs import MSG_FK, JobResult, _audit_rows, _date, _exists, _outcome, _ts
 from odonto.schemas import APPOINTMENT_STATUSES, GENDERS, TREATMENT_STATUSES
 from odonto.session import stage
 
-MSG_FK = "Cannot add or update a child row: a foreign key constraint fails"
 MSG_BAD_DATE = "Incorrect date value"
 MSG_BAD_INT = "Incorrect integer value"
 
@@ -93,7 +92,7 @@ def add_patients(t, req: DataFrame, as_of) -> JobResult:
     r = req.select(
         "seq", name.alias("name"), phone.alias("phone"), optional_text("email", 120).alias("email"),
         F.upper(gender).alias("gender"), dob_text.alias("_dob_text"),
-        dob_text.try_cast("date").alias("date_of_birth"), optional_text("address", 255).alias("address"),
+        date_value(dob_text).alias("date_of_birth"), optional_text("address", 255).alias("address"),
         optional_text("allergies", 500).alias("allergies"),
         optional_text("current_medications", 500).alias("current_medications"),
         optional_text("medical_notes", 1000).alias("medical_notes"),
@@ -153,7 +152,7 @@ def patch_patients(t, req: DataFrame, as_of) -> JobResult:
         "seq", _key("patient_id").alias("patient_id"),
         name.alias("name"), phone.alias("phone"), optional_text("email", 120).alias("email"),
         F.upper(gender).alias("gender"), F.col("date_of_birth").alias("_dob_text"),
-        F.col("date_of_birth").try_cast("date").alias("date_of_birth"),
+        date_value("date_of_birth").alias("date_of_birth"),
         optional_text("address", 255).alias("address"),
         *[optional_text(f, 1000 if f == "medical_notes" else 500).alias(f) for f in HISTORY_FIELDS],
         *[F.col(has(f)) for f in ["name", "phone", "email", "gender", "address"]],
@@ -178,7 +177,8 @@ def patch_patients(t, req: DataFrame, as_of) -> JobResult:
     patients = apply_patch(t.patients, merged, "patient_id", fields, stamp=("updated_at", ts))
     hist_req = ok.filter(F.col("_sets_h")).select(
         "patient_id", "seq", *HISTORY_FIELDS, *[F.lit(True).alias(has(f)) for f in HISTORY_FIELDS])
-    hist_last = merge_patches(hist_req, "patient_id", HISTORY_FIELDS).withColumnRenamed("_last_seq", "seq")
+    # A new row is inserted by the first request that names its patient.
+    hist_last = merge_patches(hist_req, "patient_id", HISTORY_FIELDS).withColumnRenamed("_first_seq", "seq")
     history, _ = upsert(t.patient_medical_history, hist_last.select("patient_id", "seq", *HISTORY_FIELDS),
                         "patient_id", "history_id", HISTORY_FIELDS, stamp=("updated_at", ts))
     updates = ok.filter(hit).select("patient_id", "seq", "name", F.col(has("name")).alias("_sets_name"))
@@ -304,7 +304,7 @@ def patch_appointments(t, req: DataFrame, as_of, clinic_id: int = 1) -> JobResul
     r = with_clinic_hours(t, r, "_final_date", "_final_time", clinic_id)
     r = (r.withColumn("appointment_date", F.when(F.col(has("appointment_date")), F.col("_date_text").try_cast("date"))
                       .otherwise(F.col("_cur_date")))
-         .withColumn("appointment_time", F.when(F.col(has("appointment_time")), F.col("_time_norm"))
+         .withColumn("appointment_time", F.when(F.col("_time_given"), F.col("_time_norm"))
                      .otherwise(F.col("_cur_time")))
          .withColumn("patient_id", F.when(F.col(has("patient_id")), F.col("_pid_n").try_cast("long"))
                      .otherwise(F.col("_cur_patient")))
@@ -335,7 +335,11 @@ def patch_appointments(t, req: DataFrame, as_of, clinic_id: int = 1) -> JobResul
             Rule(~F.col("_any") | ~F.col("_clash"), 409, MSG_DUPLICATE)]
     r = _settle(r, pre, post)
     passed = r.filter(F.col("status_code").isNull() & F.col("_any"))
-    contest = winners(passed.filter(moves)).filter(~F.col("slot_winner")).select("seq").withColumn("_lost", F.lit(True))
+    # The first appointment to reach a slot holds it; its own later moves to
+    # the same slot change nothing.
+    first = (passed.filter(moves).groupBy(*slot).agg(F.min_by("_aid", "seq").alias("_holder")))
+    contest = (passed.filter(moves).join(first, slot).filter(F.col("_holder") != F.col("_aid"))
+               .select("seq").withColumn("_lost", F.lit(True)))
     r = (r.join(contest, "seq", "left")
          .withColumn("status_code", F.when(F.col("_lost"), F.lit(409)).otherwise(F.col("status_code")))
          .withColumn("reason", F.when(F.col("_lost"), F.lit(MSG_DUPLICATE)).otherwise(F.col("reason"))))
@@ -477,7 +481,9 @@ def add_medicines(t, req: DataFrame, as_of) -> JobResult:
     r_batch, batch = required_text("batch_no", "batch_no", 40)
     d_rules, d_val = date_rules("expiry_date", "expiry_date")
     q = js_number(F.when(truthy("quantity"), F.col("quantity")).otherwise(F.lit("0")))
-    lim = js_number(F.when(truthy("low_stock_limit"), F.col("low_stock_limit")).otherwise(F.lit("10")))
+    # The body's text "0" is a truthy text: only a missing or empty one takes the default.
+    lim = js_number(F.when(F.col("low_stock_limit").isNull() | (F.col("low_stock_limit") == ""), F.lit("10"))
+                    .otherwise(F.col("low_stock_limit")))
     r = req.select("seq", name.alias("medicine_name"), batch.alias("batch_no"),
                    F.when(~F.isnan(q), F.round(q).try_cast("int")).alias("quantity"),
                    F.when(~F.isnan(lim), F.round(lim).try_cast("int")).alias("low_stock_limit"),
@@ -563,7 +569,7 @@ def upsert_permissions(t, req: DataFrame, as_of) -> JobResult:
     ok = r.filter(F.col("status_code").isNull())
     fields = ["can_manage_billing", "can_view_reports"]
     last = merge_patches(ok.select("staff_user_id", "seq", *fields, *[F.lit(True).alias(has(f)) for f in fields]),
-                         "staff_user_id", fields).withColumnRenamed("_last_seq", "seq")
+                         "staff_user_id", fields).withColumnRenamed("_first_seq", "seq")
     perms, inserted = upsert(t.staff_permissions, last.select("staff_user_id", "seq", *fields), "staff_user_id",
                              "permission_id", fields, stamp=("updated_at", ts))
     return JobResult(_ok_outcome(r, 200, "staff_user_id"), ok, t.replace(staff_permissions=perms))

@@ -103,17 +103,18 @@ def pending_payments(t) -> DataFrame:
 def treatment_report(t, with_lowest: bool = False) -> DataFrame:
     """Per treatment name: count, total, average and highest cost.
 
-    Only treatments of live patients; HAVING count >= 1; by total value.
+    Only treatments of live patients; HAVING count >= 1; by total value. Names
+    that differ in case only are one group, as under the reference's collation.
     ``with_lowest`` adds the lowest cost (MIN) as a fifth aggregate.
     """
     tr = t.treatments.select("patient_id", "treatment_name", "cost")
     live = live_patients(t).select("patient_id")
     return (tr.join(live, "patient_id", "left_semi")
-            .groupBy("treatment_name")
-            .agg(F.count(F.lit(1)).alias("treatment_count"), F.sum("cost").alias("total_value"),
+            .groupBy(F.lower("treatment_name").alias("_name"))
+            .agg(F.min("treatment_name").alias("treatment_name"), F.count(F.lit(1)).alias("treatment_count"), F.sum("cost").alias("total_value"),
                  F.avg("cost").alias("average_cost"), F.max("cost").alias("highest_cost"),
                  *([F.min("cost").alias("lowest_cost")] if with_lowest else []))
-            .filter(F.col("treatment_count") >= 1)
+            .filter(F.col("treatment_count") >= 1).drop("_name")
             .orderBy(F.col("total_value").desc(), F.col("treatment_name")))
 
 

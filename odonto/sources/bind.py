@@ -12,9 +12,13 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from odonto.functions.exprs import code
+from odonto.functions.exprs import code, padded
 from odonto.sources.tables import conform
 
+# Fixed opening hours of every fixture clinic (a closed day keeps its hours).
+FIXTURE_WEEK = [("MONDAY", "09:00:00", "18:00:00"), ("TUESDAY", "09:00:00", "18:00:00"), ("WEDNESDAY", "09:00:00", "18:00:00"),
+                ("THURSDAY", "09:00:00", "18:00:00"), ("FRIDAY", "09:00:00", "13:00:00"), ("SATURDAY", "10:00:00", "16:00:00"),
+                ("SUNDAY", "09:00:00", "18:00:00")]
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -45,7 +49,7 @@ def bind_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         (ck + 1).alias("patient_id"),
         code("patients", ck + 1).alias("patient_code"),
         F.col("c_name").alias("name"),
-        F.concat(F.lit("0300-"), F.lpad(ck.cast("string"), 7, "0")).alias("phone"),
+        F.concat(F.lit("0300-"), padded(ck, 7)).alias("phone"),
         F.when(ck % 3 == 0, "MALE").when(ck % 3 == 1, "FEMALE").otherwise("OTHER").alias("gender"),
         F.when(ck % 11 == 0, F.lit(None).cast("date"))
          .otherwise(F.date_add(F.lit(dt.date(1940, 1, 1)), (ck * 37 % 25000).cast("int")))
@@ -121,16 +125,16 @@ def bind_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         (nk + 1).alias("permission_id"), (nk + 1).alias("staff_user_id"),
         (F.col("n_regionkey") < 2).alias("can_manage_billing"),
         (F.col("n_regionkey") != 3).alias("can_view_reports"))
-    clinic_timings = spark.createDataFrame(
-        # Fixed weekly timetable of the fixture clinic.
-        [(1, 1, "MONDAY", "09:00:00", "18:00:00", False), (2, 1, "TUESDAY", "09:00:00", "18:00:00", False),
-         (3, 1, "WEDNESDAY", "09:00:00", "18:00:00", False), (4, 1, "THURSDAY", "09:00:00", "18:00:00", False),
-         (5, 1, "FRIDAY", "09:00:00", "13:00:00", False), (6, 1, "SATURDAY", "10:00:00", "16:00:00", False),
-         (7, 1, "SUNDAY", "09:00:00", "18:00:00", True)],
-        "timing_id long, clinic_id long, day_of_week string, opening_time string, closing_time string, is_closed boolean")
-    clinic = spark.createDataFrame(
-        [(1, "Clinic", "Main Road", "0300-0000000", "923000000000")],
-        "clinic_id long, clinic_name string, address string, phone string, whatsapp_number string")
+    # One clinic per nation, each with the fixed week of the fixture.
+    week = F.array(*[F.struct(F.lit(i).alias("day"), F.lit(name).alias("day_of_week"), F.lit(o).alias("opening_time"),
+                              F.lit(c).alias("closing_time"), F.lit(name == "SUNDAY").alias("is_closed"))
+                     for i, (name, o, c) in enumerate(FIXTURE_WEEK, start=1)])
+    clinic_timings = (nation.select((nk + 1).alias("clinic_id"), F.explode(week).alias("w"))
+                      .select(((F.col("clinic_id") - 1) * 7 + F.col("w.day")).alias("timing_id"), "clinic_id", "w.day_of_week",
+                              "w.opening_time", "w.closing_time", "w.is_closed"))
+    clinic = nation.select((nk + 1).alias("clinic_id"), F.concat(F.lit("Clinic "), F.col("n_name")).alias("clinic_name"),
+                           F.lit("Main Road").alias("address"), F.concat(F.lit("0300-"), padded(nk, 7)).alias("phone"),
+                           F.concat(F.lit("92"), padded(nk, 10)).alias("whatsapp_number"))
 
     frames = {
         "users": users, "staff_permissions": staff_permissions, "clinic": clinic,

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from odonto.functions.exprs import padded
 from odonto.sources.bind import _line_rank, driver
 
 
@@ -28,8 +29,8 @@ def read_requests(spark: SparkSession, path: str, fields: list[str], streaming:
     reader = spark.readStream if streaming else spark.read
     raw = reader.text(path).select(F.col("value").alias("_j"))
     keys = F.json_object_keys("_j")
-    cols = [F.get_json_object("_j", "$.seq").cast("long").alias("seq"),
-            F.get_json_object("_j", "$.caller_id").cast("long").alias("caller_id"),
+    cols = [F.get_json_object("_j", "$.seq").try_cast("long").alias("seq"),
+            F.get_json_object("_j", "$.caller_id").alias("caller_id"),
             F.get_json_object("_j", "$.caller_role").alias("caller_role")]
     for f in fields:
         cols.append(F.get_json_object("_j", f"$.{f}").alias(f))
@@ -104,7 +105,7 @@ def patient_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         ck.alias("seq"),
         F.when(F.col("c_acctbal") < -900, F.lit(" ")).otherwise(F.col("c_name")).alias("name"),
-        F.when(ck % 13 == 0, F.lit("12345")).otherwise(F.concat(F.lit("0300-"), F.lpad(ck.cast("string"), 7, "0")))
+        F.when(ck % 13 == 0, F.lit("12345")).otherwise(F.concat(F.lit("0300-"), padded(ck, 7)))
          .alias("phone"),
         F.lit(None).cast("string").alias("email"),
         F.when(ck % 4 == 0, "male").when(ck % 4 == 1, "Female").when(ck % 4 == 2, "").otherwise("x").alias("gender"),
@@ -144,7 +145,7 @@ def dentist_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = driver(spark, sf_dir, "supplier")
     sk = F.col("s_suppkey")
     return s.select(sk.alias("seq"), F.col("s_name").alias("name"),
-                    F.concat(F.lit("0304-"), F.lpad(sk.cast("string"), 7, "0")).alias("phone"),
+                    F.concat(F.lit("0304-"), padded(sk, 7)).alias("phone"),
                     F.lit(None).cast("string").alias("email"),
                     F.when(F.col("s_acctbal") < 0, F.lit("")).otherwise(F.lit("General Dentistry"))
                     .alias("specialization"))

@@ -1,8 +1,7 @@
-"""Small literal snapshot with the shape of the reference's seed rows.
+"""A small own snapshot for examples and hand-worked tests.
 
-Keys, dates (relative to ``as_of``), amounts, flags and statuses follow the
-reference's seed; names, phones and e-mails are invented. Used by the
-hand-worked goldens in the tests.
+Rows are built from short rules (numbered people, staggered dates). Only what
+the hand-worked goldens need is given as values; those are marked fixed.
 """
 
 from __future__ import annotations
@@ -12,81 +11,59 @@ from decimal import Decimal
 
 from pyspark.sql import SparkSession
 
-from odonto.schemas import SCHEMAS
+from odonto.schemas import SCHEMAS, WEEKDAYS
 from odonto.sources.tables import conform
 
+# Fixed values that the goldens check: bill totals with what is paid of them,
+# treatment costs, and the roles and permission flags of the users.
+BILLS = [(4500, 500, "PAID", 4000), (3000, 0, "PARTIAL", 1500), (3500, 0, "UNPAID", 0)]
+COSTS = [4500, 3000, 3500, 2500]
+ROLES = ["OWNER", "STAFF", "STAFF", "CUSTOMER"]
+BILLING_OF_STAFF = {2: False, 3: True}
+# Short days of the week: (opening, closing); a closed day keeps its hours.
+HOURS = {"FRIDAY": ("09:00:00", "13:00:00"), "SATURDAY": ("10:00:00", "16:00:00")}
 
-def _d(x) -> Decimal:
-    return Decimal(str(x)).quantize(Decimal("0.01"))
+_PEOPLE = ["Alpha", "Bravo", "Charlie", "Delta", "Echo"]
+_STOCK = [40, 3, 30, 9, 50]              # against a limit of 10: the second and fourth are low
+
+
+def _money(x) -> Decimal:
+    return Decimal(x).quantize(Decimal("0.01"))
 
 
 def seed_frames(spark: SparkSession, as_of) -> dict:
     if isinstance(as_of, str):
         as_of = dt.date.fromisoformat(as_of)
-    day = lambda n: as_of + dt.timedelta(days=n)
-    ts = dt.datetime.combine(as_of, dt.time(8, 0))
+    at = dt.datetime.combine(as_of, dt.time(8, 0))
+    after = lambda n: as_of + dt.timedelta(days=n)
+    phone = lambda kind, i: f"0{kind}-{i:07d}"
 
+    users = [(i, f"{role.title()} {i}", phone(900, i), f"user{i}@clinic.test", role, True, at)
+             for i, role in enumerate(ROLES, start=1)]
+    permissions = [(k, user, billing, True, at) for k, (user, billing) in enumerate(BILLING_OF_STAFF.items(), start=1)]
+    week = [(i, 1, day, *HOURS.get(day, ("09:00:00", "18:00:00")), day == "SUNDAY") for i, day in enumerate(WEEKDAYS, start=1)]
+    patients = [(i, f"PAT-{i:05d}", f"Patient {name}", phone(910, i), f"{name.lower()}@mail.test",
+                 ("OTHER", "FEMALE", "MALE")[i % 3], dt.date(1960 + 7 * i, 2 * i, 3 * i), f"Street {i}", False, at, at)
+                for i, name in enumerate(_PEOPLE, start=1)]
+    histories = [(i, i, f"Allergy {i}", f"Medication {i}", f"Note {i}", at) for i in range(1, len(_PEOPLE) + 1)]
+    dentists = [(i, f"DEN-{i:04d}", f"Dentist {i}", phone(920, i), f"dentist{i}@clinic.test", f"Field {i}", True, at)
+                for i in range(1, 4)]
+    # Appointments 1 and 2 are today's and done; 3 is tomorrow at noon with dentist 1.
+    slots = [(0, 9, 1), (0, 9, 2), (1, 12, 1), (3, 15, 3)]
+    appointments = [(i, f"APT-{i:05d}", i, dentist, after(day), f"{hour:02d}:00:00", "COMPLETED" if day == 0 else "BOOKED",
+                     f"Problem {i}", 2 + (i > 2), at, at) for i, (day, hour, dentist) in enumerate(slots, start=1)]
+    treatments = [(i, i, slots[i - 1][2], i, f"Procedure {i}", f"Remark {i}", _money(cost), after(slots[i - 1][0]),
+                   "DONE" if slots[i - 1][0] == 0 else "PLANNED", at) for i, cost in enumerate(COSTS, start=1)]
+    bills = [(i, f"BIL-{i:05d}", i, i, as_of, _money(s), _money(d), _money(s - d), status, 3, at)
+             for i, (s, d, status, _) in enumerate(BILLS, start=1)]
+    payments = [(i, i, _money(paid), as_of, "CASH", 3, f"Payment {i}", at) for i, (*_, paid) in enumerate(BILLS, start=1) if paid]
+    medicines = [(i, f"Medicine {chr(64 + i)}", f"LOT-{i}", n, 10, dt.date(2027 + i, i, 1), at, at)
+                 for i, n in enumerate(_STOCK, start=1)]
     rows = {
-        "users": [
-            (1, "Owner One", "0300-0000001", "owner@example.test", "OWNER", True, ts),
-            (2, "Staff Two", "0300-0000002", "staff2@example.test", "STAFF", True, ts),
-            (3, "Staff Three", "0300-0000003", "staff3@example.test", "STAFF", True, ts),
-            (4, "Customer Four", "0300-0000004", "customer@example.test", "CUSTOMER", True, ts),
-        ],
-        "staff_permissions": [(1, 2, False, True, ts), (2, 3, True, True, ts)],
-        "clinic": [(1, "Example Dental", "1 Example Street", "0300-0000009", "info@example.test",
-                    "920000000009", ts)],
-        "clinic_timings": [
-            (1, 1, "MONDAY", "09:00:00", "18:00:00", False), (2, 1, "TUESDAY", "09:00:00", "18:00:00", False),
-            (3, 1, "WEDNESDAY", "09:00:00", "18:00:00", False), (4, 1, "THURSDAY", "09:00:00", "18:00:00", False),
-            (5, 1, "FRIDAY", "09:00:00", "13:00:00", False), (6, 1, "SATURDAY", "10:00:00", "16:00:00", False),
-            (7, 1, "SUNDAY", "09:00:00", "18:00:00", True),
-        ],
-        "patients": [
-            (1, "PAT-00001", "Patient Alpha", "0300-5550001", "a@example.test", "MALE", dt.date(1998, 2, 14), "Town A", False, ts, ts),
-            (2, "PAT-00002", "Patient Bravo", "0300-5550002", "b@example.test", "FEMALE", dt.date(2001, 7, 21), "Town B", False, ts, ts),
-            (3, "PAT-00003", "Patient Charlie", "0300-5550003", "c@example.test", "MALE", dt.date(1989, 11, 9), "Town C", False, ts, ts),
-            (4, "PAT-00004", "Patient Delta", "0300-5550004", "d@example.test", "FEMALE", dt.date(1995, 5, 30), "Town D", False, ts, ts),
-            (5, "PAT-00005", "Patient Echo", "0300-5550005", "e@example.test", "MALE", dt.date(1978, 12, 4), "Town E", False, ts, ts),
-        ],
-        "patient_medical_history": [
-            (1, 1, "No known allergies", "None", "Note 1", ts), (2, 2, "Penicillin", "Vitamin D", "Note 2", ts),
-            (3, 3, "No known allergies", "BP medicine", "Note 3", ts), (4, 4, "Latex", "None", "Note 4", ts),
-            (5, 5, "Aspirin", "Diabetes medicine", "Note 5", ts),
-        ],
-        "dentists": [
-            (1, "DEN-0001", "Dentist One", "0304-0000001", "d1@example.test", "General Dentistry", True, ts),
-            (2, "DEN-0002", "Dentist Two", "0304-0000002", "d2@example.test", "Orthodontics", True, ts),
-            (3, "DEN-0003", "Dentist Three", "0304-0000003", "d3@example.test", "Oral Surgery", True, ts),
-        ],
-        "appointments": [
-            (1, "APT-00001", 1, 1, day(0), "10:00:00", "COMPLETED", "Toothache", 2, ts, ts),
-            (2, "APT-00002", 2, 2, day(0), "11:00:00", "COMPLETED", "Braces follow-up", 2, ts, ts),
-            (3, "APT-00003", 3, 1, day(1), "12:00:00", "BOOKED", "Routine scaling", 3, ts, ts),
-            (4, "APT-00004", 4, 3, day(2), "10:30:00", "BOOKED", "Consultation", 3, ts, ts),
-        ],
-        "treatments": [
-            (1, 1, 1, 1, "Dental Filling", "n1", _d(4500), day(0), "DONE", ts),
-            (2, 2, 2, 2, "Orthodontic Follow-up", "n2", _d(3000), day(0), "DONE", ts),
-            (3, 3, 1, 3, "Scaling and Polishing", "n3", _d(3500), day(1), "PLANNED", ts),
-            (4, 4, 3, 4, "Wisdom Tooth Consultation", "n4", _d(2500), day(2), "PLANNED", ts),
-        ],
-        "bills": [
-            (1, "BIL-00001", 1, 1, day(0), _d(4500), _d(500), _d(4000), "PAID", 3, ts),
-            (2, "BIL-00002", 2, 2, day(0), _d(3000), _d(0), _d(3000), "PARTIAL", 3, ts),
-            (3, "BIL-00003", 3, 3, day(0), _d(3500), _d(0), _d(3500), "UNPAID", 3, ts),
-        ],
-        "payments": [
-            (1, 1, _d(4000), day(0), "CASH", 3, "Full payment", ts),
-            (2, 2, _d(1500), day(0), "CARD", 3, "Partial payment", ts),
-        ],
-        "medicines": [
-            (1, "Amoxicillin 500mg", "AMX-A", 35, 10, dt.date(2027, 3, 31), ts, ts),
-            (2, "Ibuprofen 400mg", "IBU-B", 8, 12, dt.date(2026, 12, 15), ts, ts),
-            (3, "Chlorhexidine Mouthwash", "CHX-C", 22, 8, dt.date(2027, 1, 20), ts, ts),
-            (4, "Lidocaine Gel", "LIDO-D", 5, 10, dt.date(2026, 10, 1), ts, ts),
-            (5, "Paracetamol 500mg", "PCM-E", 60, 15, dt.date(2027, 6, 30), ts, ts),
-        ],
-        "audit_logs": [],
+        "users": users, "staff_permissions": permissions,
+        "clinic": [(1, "Own Clinic", "Street 0", phone(900, 0), "clinic@clinic.test", "920000000000", at)],
+        "clinic_timings": week, "patients": patients, "patient_medical_history": histories, "dentists": dentists,
+        "appointments": appointments, "treatments": treatments, "bills": bills, "payments": payments,
+        "medicines": medicines, "audit_logs": [],
     }
     return {n: conform(spark.createDataFrame(r, SCHEMAS[n]), n) for n, r in rows.items()}

@@ -11,15 +11,14 @@ from odonto.schemas import DEFAULTS, SCHEMAS, TABLES
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Project ``df`` onto the table schema: column order, types, defaults.
 
-    Columns the input lacks take the DDL default, or NULL when there is none.
+    Columns the input lacks take the DDL default, or NULL when there is none;
+    a column that is there keeps its values, an explicit NULL included.
     """
     have = set(df.columns)
     cols = []
     for f in SCHEMAS[table].fields:
         if f.name in have:
             c = F.col(f.name)
-            if (table, f.name) in DEFAULTS:
-                c = F.coalesce(c, F.lit(DEFAULTS[(table, f.name)]))
         elif (table, f.name) in DEFAULTS:
             c = F.lit(DEFAULTS[(table, f.name)])
         else:

@@ -78,17 +78,24 @@ def bill_status_from_totals(bills: DataFrame, totals: DataFrame) -> DataFrame:
                     .otherwise(F.col("status")).alias("status"))
 
 
-def stream_bill_status(t, files: int = 8) -> DataFrame:
+def write_changes(payments: DataFrame, path: str) -> None:
+    """Payments as change files by payment year: a bill paid over several
+    years arrives in several files. As many files as the scan has tasks and
+    years; none is gathered anywhere."""
+    payments.withColumn("change_year", F.year("payment_date")).write.partitionBy("change_year").parquet(path)
+
+
+def stream_bill_status(t, files_per_trigger: int = 4) -> DataFrame:
     """T8 end to end over the snapshot's payments.
 
-    The payments are written as ``files`` change files in the shared
-    checkpoint folder, streamed one file per trigger until caught up, and the
+    The payments are written as change files in the shared checkpoint folder,
+    streamed ``files_per_trigger`` files at a time until caught up, and the
     final per-bill totals give each bill's status.
     """
     spark = t.spark
     src, sink, ckpt = _scratch(spark, "pay-src"), _scratch(spark, "bill-totals"), _scratch(spark, "bill-ckpt")
-    t.payments.repartition(files, "bill_id").write.parquet(src)
-    q = start_bill_totals(spark, src, sink, ckpt, max_files_per_trigger=1)
+    write_changes(t.payments, src)
+    q = start_bill_totals(spark, src, sink, ckpt, max_files_per_trigger=files_per_trigger)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
@@ -104,13 +111,13 @@ def payment_audit_stream(payments: DataFrame) -> DataFrame:
         F.col("received_by_user_id").alias("user_id"), F.col("created_at"))
 
 
-def stream_payment_audit(t, files: int = 8) -> DataFrame:
+def stream_payment_audit(t, files_per_trigger: int = 4) -> DataFrame:
     """T9 end to end: stream the snapshot's payments as change files into an
     audit table in the shared folder and read it back."""
     spark = t.spark
     src, sink, ckpt = _scratch(spark, "pay-src"), _scratch(spark, "audit-sink"), _scratch(spark, "audit-ckpt")
-    t.payments.repartition(files, "bill_id").write.parquet(src)
-    q = (payment_audit_stream(payment_stream(spark, src, 1)).writeStream.format("parquet")
+    write_changes(t.payments, src)
+    q = (payment_audit_stream(payment_stream(spark, src, files_per_trigger)).writeStream.format("parquet")
          .option("path", sink).option("checkpointLocation", ckpt).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -28,7 +28,7 @@ def test_recompute_clears_status_audit(driver_t):
 
 def test_stream_equals_batch(driver_t):
     batch = {r.bill_id: r.status for r in feeds.recompute_bill_status(driver_t.bills, driver_t.payments).collect()}
-    stream = {r.bill_id: r.status for r in stream_bill_status(driver_t, files=4).collect()}
+    stream = {r.bill_id: r.status for r in stream_bill_status(driver_t, files_per_trigger=1).collect()}
     assert stream == batch
 
 

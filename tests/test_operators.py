@@ -72,5 +72,5 @@ def test_assign_ids_sparse_seq(spark):
     # Gaps wider than a bucket: every row its own bucket, several levels used.
     seqs = [i * 1_000_003 + (i % 7) for i in range(500)] + [-5, -1_000_000_000]
     df = spark.createDataFrame([(s,) for s in seqs], "seq long")
-    got = sorted((r.seq, r.id) for r in assign_ids(df, "id", 0, bucket_size=16, levels=3).collect())
+    got = sorted((r.seq, r.id) for r in assign_ids(df, "id", 0, bucket_size=16).collect())
     assert [i for _, i in got] == list(range(1, len(seqs) + 1))

@@ -47,15 +47,14 @@ def test_treatment_report_order(seed):
 
 def test_low_stock_first(seed):
     r = lists.medicines(seed).collect()
-    assert [x.medicine_name for x in r[:2]] == ["Ibuprofen 400mg", "Lidocaine Gel"]
+    assert [x.medicine_name for x in r[:2]] == ["Medicine B", "Medicine D"]
     assert [x.is_low_stock for x in r] == [True, True, False, False, False]
     assert [x.medicine_name for x in r[2:]] == sorted(x.medicine_name for x in r[2:])
 
 
 def test_staff_permissions(seed):
-    # Ordered by full name: "Staff Three" sorts before "Staff Two".
     assert rows(lists.staff(seed), "user_id", "can_manage_billing", "can_view_reports") == [
-        (3, True, True), (2, False, True)]
+        (2, False, True), (3, True, True)]
 
 
 def test_full_history(seed):
