@@ -30,6 +30,9 @@ their text; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +52,19 @@ def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
     return i * base + F.greatest(F.lit(i) - short, F.lit(0)), base + F.when(F.lit(i) >= short, 1).otherwise(0)
 
 
-def _entries(line: Column, m: Column, edits: int) -> list[Column]:
-    """Every (key, index, probe, inner, outer) of a line of m characters.
+@dataclass
+class _Entry:
+    """One key of a line: where it holds, and what an entry tells besides."""
+    holds: Column
+    key: Column
+    index: bool
+    delta: int
+    inner: Column
+    outer: Column
+
+
+def _entries(line: Column, m: Column, edits: int) -> list[_Entry]:
+    """Every key of a line of m characters.
 
     ``index``: the key is one of the line's own segments. Equal lengths are
     probed at the same places, so those entries are both. ``inner`` and
@@ -65,8 +79,8 @@ def _entries(line: Column, m: Column, edits: int) -> list[Column]:
             low, high = max(-i, delta - (edits - i)), min(i, delta + (edits - i))
             for shift in range(low, high + 1):
                 at = begin + shift
-                own = delta == 0 and shift == 0
                 key = F.xxhash64(n, F.lit(i), F.substring(line, at + 1, size))
+                inner = outer = F.lit(0).cast("long")
                 if edits == 1:
                     rest = n - size
                     half = F.floor(rest / 2).cast("int")
@@ -75,17 +89,10 @@ def _entries(line: Column, m: Column, edits: int) -> list[Column]:
                     else:            # the rest precedes it
                         near, far = F.substring(line, at - half + 1, half), F.substring(line, F.lit(1), rest - half)
                     inner, outer = F.xxhash64(near), F.xxhash64(far)
-                else:
-                    inner = outer = F.lit(0).cast("long")
-                entry = F.struct(key.alias("key"), F.lit(own).alias("index"), F.lit(delta).alias("delta"), inner.alias("inner"), outer.alias("outer"))
-                out.append(F.when(n > edits, entry))
+                out.append(_Entry(n > edits, key, delta == 0 and shift == 0, delta, inner, outer))
     return out
 
 
-def _keys_only(line: Column, m: Column, edits: int) -> Column:
-    return F.filter(F.array(*[e.getField("key") for e in _entries(line, m, edits)]), lambda x: x.isNotNull())
-
-
 def edit_within(a: Column, b: Column, edits: int) -> Column:
     """Whether two strings are within ``edits`` edits (insert, delete,
     replace).
@@ -146,10 +153,16 @@ def occurrences(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): hashes of different lines within ``edits`` edits of each other.
     ``lines`` has (line, h, m), equal lines any number of times."""
-    keys = lines.select("h", F.explode(_keys_only(F.col("line"), F.col("m"), edits)).alias("key"))
+    entries = _entries(F.col("line"), F.col("m"), edits)
+    own = F.filter(F.array(*[F.when(e.holds, e.key) for e in entries]), lambda x: x.isNotNull())
+    keys = lines.select("h", F.explode(own).alias("key"))
     live = stage(keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("key"), "keys")
-    entries = F.filter(F.array(*_entries(F.col("line"), F.col("m"), edits)), lambda e: e.isNotNull())
-    each = lines.select("h", F.explode(entries).alias("e")).select("h", "e.*").filter(key_bitmap(live, "key")(F.col("key")))
+    # Few lines have any live key; only theirs are told in full.
+    passes = key_bitmap(live, "key")
+    some = lines.filter(reduce(lambda a, b: a | b, [F.coalesce(e.holds & passes(e.key), F.lit(False)) for e in entries]))
+    full = F.filter(F.array(*[F.when(e.holds, F.struct(e.key.alias("key"), F.lit(e.index).alias("index"), F.lit(e.delta).alias("delta"),
+                                                       e.inner.alias("inner"), e.outer.alias("outer"))) for e in entries]), lambda x: x.isNotNull())
+    each = some.select("h", F.explode(full).alias("e")).select("h", "e.*").filter(passes(F.col("key")))
     found = stage(each.distinct().join(live, "key", "left_semi"), "entries")
     index = found.filter("index").select("key", F.col("h").alias("a"), F.col("inner").alias("ia"), F.col("outer").alias("oa"))
     probe = found.select("key", F.col("h").alias("b"), "delta", F.col("inner").alias("ib"), F.col("outer").alias("ob"))
