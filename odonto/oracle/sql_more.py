@@ -764,3 +764,56 @@ BODIES["stock_labels"] = """
 SELECT medicine_id, medicine_name, quantity, low_stock_limit,
        CASE WHEN quantity <= low_stock_limit THEN 'LOW' ELSE 'OK' END AS stock_label
 FROM medicines"""
+
+
+# --- written rows -----------------------------------------------------------
+BODIES["soft_delete_patients_result"] = """
+WITH asked AS (SELECT DISTINCT o_custkey + 1 AS patient_id FROM orders)
+SELECT patient_id, is_deleted OR patient_id IN (SELECT patient_id FROM asked) AS is_deleted,
+       patient_id IN (SELECT patient_id FROM asked) AS touched
+FROM patients"""
+
+BODIES["add_dentists_result"] = """
+WITH good AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) + (SELECT max(dentist_id) FROM dentists) AS id
+              FROM supplier WHERE s_acctbal >= 0)
+SELECT dentist_id, dentist_code, name, phone, specialization, is_active FROM dentists
+UNION ALL
+SELECT id, printf('DEN-%04d', id), s_name, '0304-' || printf('%07d', s_suppkey), 'General Dentistry', true FROM good"""
+
+BODIES["patch_dentists_result"] = """
+SELECT dentist_id,
+       CASE WHEN s_nationkey % 5 <> 4 AND s_nationkey % 3 = 0 THEN upper(name) ELSE name END AS name, specialization,
+       CASE WHEN s_nationkey % 5 <> 4 AND s_nationkey % 2 = 0 THEN s_acctbal > 0 ELSE is_active END AS is_active
+FROM dentists JOIN supplier ON s_suppkey + 1 = dentist_id"""
+
+BODIES["cancel_appointments_result"] = """
+WITH asked AS (SELECT DISTINCT (event_id * 31) % (SELECT count(*) FROM events) + 1 AS aid FROM events)
+SELECT appointment_id, CASE WHEN aid IS NULL THEN status ELSE 'CANCELLED' END AS status, aid IS NOT NULL AS touched
+FROM appointments LEFT JOIN asked ON aid = appointment_id"""
+
+BODIES["add_medicines_result"] = """
+WITH good AS (SELECT *, row_number() OVER (ORDER BY p_partkey) + (SELECT max(medicine_id) FROM medicines) AS id
+              FROM part WHERE p_size >= 5)
+SELECT medicine_id, medicine_name, batch_no, quantity, low_stock_limit, expiry_date FROM medicines
+UNION ALL
+SELECT id, p_name, p_brand, CAST(p_size - 5 AS INT), CASE WHEN p_size % 4 = 0 THEN 0 ELSE CAST(p_size % 20 AS INT) END,
+       DATE '2026-01-01' + CAST(p_partkey % 720 AS INT)
+FROM good"""
+
+BODIES["book_appointments_result"] = _book(True).split(")\nSELECT seq, CAST(split_part")[0] + """)
+SELECT id AS appointment_id, printf('APT-%05d', id) AS appointment_code, pid AS patient_id, did AS dentist_id,
+       d AS appointment_date, tm AS appointment_time, 'BOOKED' AS status
+FROM won JOIN passed USING (seq)"""
+
+BODIES["create_bills_result"] = BILLS_PREFIX + """
+SELECT id AS bill_id, printf('BIL-%05d', id) AS bill_code, pid AS patient_id, CASE WHEN has_tid THEN tid END AS treatment_id,
+       CAST(sub_m AS DOUBLE) AS subtotal, CAST(dis_m AS DOUBLE) AS discount_amount, CAST(sub_m - dis_m AS DOUBLE) AS total_amount,
+       'UNPAID' AS status, cid AS created_by_user_id
+FROM ok JOIN chk USING (seq)"""
+
+BODIES["patch_clinic_result"] = """
+WITH last AS (SELECT * FROM region WHERE r_regionkey <> 2 ORDER BY r_regionkey DESC LIMIT 1)
+SELECT clinic_id, CASE clinic_id WHEN 1 THEN (SELECT r_name FROM last) ELSE clinic_name END AS clinic_name,
+       'Main Road' AS address, CASE clinic_id WHEN 1 THEN '0300-0000000' ELSE phone END AS phone,
+       CASE clinic_id WHEN 1 THEN '923000000000' ELSE whatsapp_number END AS whatsapp_number
+FROM clinic"""

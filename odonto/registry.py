@@ -203,8 +203,8 @@ def _q(t, spark, d):
 def _q(t, spark, d):
     db = reports.dashboard(t, AS_OF, 8)
     return db.select("today_appointments", "total_patients", "pending_payments", "monthly_income",
-                     F.size("recent_activity").alias("recent_count"),
-                     F.col("recent_activity")[0]["log_id"].alias("latest_log_id"))
+                     F.concat_ws(" ", F.transform("recent_activity", lambda x: F.concat_ws(":", x["log_id"], x["action_type"], x["record_id"])))
+                     .alias("recent"))
 
 
 @register("daily_report")

@@ -155,6 +155,56 @@ def _q(t, spark, d):
     return snap.staff_permissions.select("permission_id", "staff_user_id", "can_manage_billing", "can_view_reports")
 
 
+# --- written rows ------------------------------------------------------------
+
+@register("soft_delete_patients_result")
+def _q(t, spark, d):
+    snap = records.soft_delete_patients(t, rq.patient_delete_requests(spark, d), _as_of()).snapshot
+    return snap.patients.select("patient_id", "is_deleted", F.col("updated_at").isNotNull().alias("touched"))
+
+
+@register("add_dentists_result")
+def _q(t, spark, d):
+    snap = records.add_dentists(t, rq.dentist_requests(spark, d), _as_of()).snapshot
+    return snap.dentists.select("dentist_id", "dentist_code", "name", "phone", "specialization", "is_active")
+
+
+@register("patch_dentists_result")
+def _q(t, spark, d):
+    snap = records.patch_dentists(t, rq.dentist_patch_requests(spark, d), _as_of()).snapshot
+    return snap.dentists.select("dentist_id", "name", "specialization", "is_active")
+
+
+@register("cancel_appointments_result")
+def _q(t, spark, d):
+    snap = records.cancel_appointments(t, rq.appointment_cancel_requests(spark, d), _as_of()).snapshot
+    return snap.appointments.select("appointment_id", "status", F.col("updated_at").isNotNull().alias("touched"))
+
+
+@register("add_medicines_result")
+def _q(t, spark, d):
+    snap = records.add_medicines(t, rq.medicine_requests(spark, d), _as_of()).snapshot
+    return snap.medicines.select("medicine_id", "medicine_name", "batch_no", "quantity", "low_stock_limit", "expiry_date")
+
+
+@register("book_appointments_result")
+def _q(t, spark, d):
+    return jobs.book_appointments(t, rq.booking_requests(spark, d), _as_of(), strict=True).accepted.select(
+        "appointment_id", "appointment_code", "patient_id", "dentist_id", "appointment_date", "appointment_time", "status")
+
+
+@register("create_bills_result")
+def _q(t, spark, d):
+    return jobs.create_bills(t, rq.bill_requests(spark, d), _as_of()).accepted.select(
+        "bill_id", "bill_code", "patient_id", "treatment_id", "subtotal", "discount_amount", "total_amount", "status", "created_by_user_id")
+
+
+@register("patch_clinic_result")
+def _q(t, spark, d):
+    return records.patch_clinic(t, rq.clinic_requests(spark, d), _as_of()).snapshot.clinic.select(
+        "clinic_id", "clinic_name", "address", "phone", "whatsapp_number")
+
+
 # --- change feeds -----------------------------------------------------------
 from odonto.plans import feeds  # noqa: E402
 

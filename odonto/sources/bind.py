@@ -75,7 +75,8 @@ def bind_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.when(F.col("event_type") == "purchase", "COMPLETED")
          .when(F.col("event_type") == "error", "CANCELLED").otherwise("BOOKED").alias("status"),
         F.col("event_type").alias("problem_description"),
-        (uk % 25 + 1).alias("created_by_user_id"))
+        # One creator in 26 is no user: a foreign-key violation for the audit.
+        (uk % 26 + 1).alias("created_by_user_id"))
     ranked = _line_rank(lineitem)
     ok = F.col("l_orderkey")
     treatments = (ranked.join(orders, F.col("o_orderkey") == ok)
@@ -104,11 +105,13 @@ def bind_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.col("l_extendedprice").cast("decimal(10,2)").alias("paid_amount"),
         F.col("l_shipdate").cast("date").alias("payment_date"),
         F.when(F.col("l_returnflag") == "A", "CASH").when(F.col("l_returnflag") == "R", "CARD")
+         .when(F.col("l_linenumber") == 7, "CHEQUE")      # outside the domain, for the audit
          .otherwise("BANK_TRANSFER").alias("payment_method"))
     pk = F.col("p_partkey")
     medicines = part.select(
         (pk + 1).alias("medicine_id"), F.col("p_name").alias("medicine_name"),
-        F.col("p_brand").alias("batch_no"), F.col("p_size").alias("quantity"),
+        # Some batches are missing and some stocks negative, for the audits.
+        F.when(pk % 97 != 0, F.col("p_brand")).alias("batch_no"), (F.col("p_size") - 3).alias("quantity"),
         F.lit(10).alias("low_stock_limit"),
         F.date_add(F.lit(dt.date(2026, 1, 1)), (pk % 720).cast("int")).alias("expiry_date"))
     audit_logs = events.select(
