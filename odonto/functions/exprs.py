@@ -98,16 +98,17 @@ def is_blank(c) -> Column:
 
 # Number literal forms that JS ``Number()`` accepts (after trimming).
 _JS_DECIMAL = "^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|Infinity)$"
-_JS_RADIX = (("^0[xX][0-9a-fA-F]+$", 16), ("^0[bB][01]+$", 2), ("^0[oO][0-7]+$", 8))
+_JS_RADIX = "^0([xX][0-9a-fA-F]+|[bB][01]+|[oO][0-7]+)$"
 
 
-def _radix_value(s: Column, base: int) -> Column:
+def _radix_value(s: Column) -> Column:
     """Value of a prefixed integer text as a double, however many digits it
-    has: the leading digits exactly, the others as a power of the base."""
-    lead = {16: 12, 8: 16, 2: 48}[base]
-    digits = F.regexp_replace(F.regexp_replace(s, "^0[xXbBoO]", ""), "^0+", "")
-    head = F.conv(F.concat(F.lit("0"), F.substring(digits, 1, lead)), base, 10).cast("double")
-    return head * F.pow(F.lit(float(base)), F.greatest(F.length(digits) - lead, F.lit(0)).cast("double"))
+    has: a fold over the digits, which also keeps the generated code small."""
+    kind = F.lower(F.substring(s, 2, 1))
+    base = F.when(kind == "x", 16.0).when(kind == "b", 2.0).otherwise(8.0)
+    digits = F.split(F.lower(F.substr(s, F.lit(3))), "")
+    value = lambda c: (F.call_function("instr", F.lit("0123456789abcdef"), c) - 1).cast("double")
+    return F.aggregate(digits, F.lit(0.0), lambda total, c: total * base + value(c))
 
 
 def js_number(c) -> Column:
@@ -121,8 +122,7 @@ def js_number(c) -> Column:
     out = (F.when(s.isNull(), F.lit(float("nan")))
            .when(s == "", F.lit(0.0))
            .when(s.rlike(_JS_DECIMAL), s.try_cast("double")))
-    for pattern, base in _JS_RADIX:
-        out = out.when(s.rlike(pattern), _radix_value(s, base))
+    out = out.when(s.rlike(_JS_RADIX), _radix_value(s))
     return F.coalesce(out.otherwise(F.lit(float("nan"))), F.lit(float("nan")))
 
 
