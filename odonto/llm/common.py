@@ -71,6 +71,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Bound the bytes of an Arrow batch in this session, so that batches of
+    long texts fill neither a Python worker nor the JVM's direct memory. A
+    session that has a bound of its own keeps it."""
+    name, usual = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, most)
+
+
 def is_remainder(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``, is ``remainder``
     (false for a null id)."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odonto.llm import fingerprints, lines, mixing, neardup, packing, quality, repeats, rules, toxicity, warc
-from odonto.llm.common import is_remainder
+from odonto.llm.common import bound_batches, is_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -23,6 +23,7 @@ def register(fn):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
