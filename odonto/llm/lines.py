@@ -11,10 +11,11 @@ lines stay.
    another holds one of the other's segments unchanged, at a place that the
    lengths bound. Segment keys (length, segment, text) are looked up by the
    substrings that can match them, for each length in reach.
-3. Keys that only one class has are dropped with a bitmap of bounded size, so
-   only candidates are joined. With one edit allowed, the part beside the
-   matching segment is itself unchanged in its inner or outer half, which the
-   join tests too.
+3. Keys that only one class has are dropped with a bitmap of bounded size.
+   The keys of what is left take a further unchanged piece: the longest part
+   beside the pieces is cut into one segment more than it can hold edits. A
+   key that more than ``CROWD`` lines share is cut again, until few share it
+   or nothing is left to cut, so candidates are told apart before they meet.
 4. Candidates are verified by a banded bit-parallel edit distance: one word
    of 2 * EDITS + 1 diagonals per number of edits, shifted along the line.
 5. Later classes of verified links and later places of equal lines go; the
@@ -38,6 +39,8 @@ from odonto.llm.common import SPACE_CHARS, let, stage
 
 EDITS = 1
 MIN_CHARS = 20
+PIECE = 24
+CROWD = 64
 LAST_ID = (1 << 63) - 1
 
 
@@ -49,41 +52,78 @@ def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
     return i * base + F.greatest(F.lit(i) - short, F.lit(0)), base + F.when(F.lit(i) >= short, 1).otherwise(0)
 
 
-def _entries(line: Column, m: Column, edits: int) -> list[Column]:
-    """Every (key, index, probe, inner, outer) of a line of m characters.
+def _shifts(i: int, delta: int, edits: int) -> tuple[int, int]:
+    """Least and largest shift of segment i between lines whose lengths differ
+    by delta: i edits lie before the segment, the others after it."""
+    return max(-i, delta - (edits - i)), min(i, delta + (edits - i))
 
-    ``index``: the key is one of the line's own segments. Equal lengths are
-    probed at the same places, so those entries are both. ``inner`` and
-    ``outer`` hash the halves of the rest that border the segment and the
-    line's end, with the lengths they have in the indexed line.
+
+def _entries(lines: DataFrame, edits: int) -> DataFrame:
+    """(h, line, m, key, i, delta, shift) of every segment key of (line, h, m).
+
+    A key hashes at most ``PIECE`` characters of segment i of a line of
+    m - delta characters, looked up ``shift`` places to the right. With delta
+    and shift 0 it is the line's own.
     """
-    out = []
-    for delta in range(edits + 1):
-        n = m - delta
-        for i in range(edits + 1):
+    m, out, windows = F.col("m"), [], {}
+    for i in range(edits + 1):
+        start = F.greatest(_segment(m, i, edits)[0] - 2 * edits, F.lit(0))
+        windows[f"_w{i}"] = F.substring("line", start + 1, F.lit(PIECE + 4 * edits))
+        for delta in range(edits + 1):
+            n = m - delta
             begin, size = _segment(n, i, edits)
-            low, high = max(-i, delta - (edits - i)), min(i, delta + (edits - i))
+            low, high = _shifts(i, delta, edits)
             for shift in range(low, high + 1):
-                at = begin + shift
-                own = delta == 0 and shift == 0
-                key = F.xxhash64(n, F.lit(i), F.substring(line, at + 1, size))
-                if edits == 1:
-                    rest = n - size
-                    half = F.floor(rest / 2).cast("int")
-                    if i == 0:       # the rest follows the segment
-                        near, far = F.substring(line, at + size + 1, half), F.substring(line, m - (rest - half) + 1, rest - half)
-                    else:            # the rest precedes it
-                        near, far = F.substring(line, at - half + 1, half), F.substring(line, F.lit(1), rest - half)
-                    inner, outer = F.xxhash64(near), F.xxhash64(far)
-                else:
-                    inner = outer = F.lit(0).cast("long")
-                entry = F.struct(key.alias("key"), F.lit(own).alias("index"), F.lit(delta).alias("delta"), inner.alias("inner"), outer.alias("outer"))
-                out.append(F.when(n > edits, entry))
-    return out
+                key = F.xxhash64(n, F.lit(i), F.substring(F.col(f"_w{i}"), begin + shift - start + 1, F.least(size, F.lit(PIECE))))
+                out.append(F.struct(F.when(n > edits, key).alias("key"), F.lit(i).alias("i"), F.lit(delta).alias("delta"), F.lit(shift).alias("shift")))
+    return (lines.withColumns(windows).select("h", "line", "m", F.explode(F.array(*out)).alias("e"))
+            .select("h", "line", "m", "e.*").filter("key is not null"))
+
 
+def _regions(*parts: Column) -> Column:
+    """Parts of a line in which edits remain, the longest first: length and
+    edits, begin in the indexed line, begin in this one, excess of length."""
+    return F.sort_array(F.filter(F.array(*parts), lambda r: r["e"] > 0), asc=False)
 
-def _keys_only(line: Column, m: Column, edits: int) -> Column:
-    return F.filter(F.array(*[e.getField("key") for e in _entries(line, m, edits)]), lambda x: x.isNotNull())
+
+def _region(length: Column, e: Column, at: Column, here: Column, delta: Column) -> Column:
+    return F.struct(length.cast("int").alias("n"), e.cast("int").alias("e"), at.cast("int").alias("at"), here.cast("int").alias("here"), delta.cast("int").alias("delta"))
+
+
+def _opened(entries: DataFrame, edits: int) -> DataFrame:
+    """(h, line, key, index, delta, regions) of segment keys: the whole
+    segment is hashed, and the parts beside it are what remains."""
+    n, i, shift = F.col("m") - F.col("delta"), F.col("i"), F.col("shift")
+    base, longer = F.floor(n / (edits + 1)).cast("int"), (n % (edits + 1)).cast("int")
+    short = (edits + 1) - longer
+    begin = i * base + F.greatest(i - short, F.lit(0))
+    size = base + F.when(i >= short, 1).otherwise(0)
+    left = _region(begin, i, F.lit(0), F.lit(0), shift)
+    right = _region(n - begin - size, edits - i, begin + size, begin + size + shift, F.col("delta") - shift)
+    return entries.select("h", "line", F.xxhash64("key", F.substring(F.col("line"), begin + shift + 1, size)).alias("key"),
+                          ((F.col("delta") == 0) & (shift == 0)).alias("index"), "delta", _regions(left, right).alias("regions"))
+
+
+def _split(opened: DataFrame, edits: int) -> DataFrame:
+    """The entries with one more unchanged piece in the key: that of the
+    longest region with e edits, cut into e + 1 segments. Regions too short
+    to cut stay as they are."""
+    choices = [F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i in range(edits + 1) for s in range(-i, i + 1)]
+    r, i, shift = F.col("regions")[0], F.col("c.i"), F.col("c.s")
+    whole = r["n"] <= r["e"]
+    fits = (i <= r["e"]) & (shift >= r["delta"] - (r["e"] - i)) & (shift <= r["delta"] + (r["e"] - i))
+    base, longer = F.floor(r["n"] / (r["e"] + 1)).cast("int"), r["n"] % (r["e"] + 1)
+    short = r["e"] + 1 - longer
+    begin = i * base + F.greatest(i - short, F.lit(0))
+    size = base + F.when(i >= short, 1).otherwise(0)
+    left = _region(begin, i, r["at"], r["here"], shift)
+    right = _region(r["n"] - begin - size, r["e"] - i, r["at"] + begin + size, r["here"] + begin + size + shift, r["delta"] - shift)
+    rest = F.slice("regions", 2, edits + 1)
+    each = opened.withColumn("c", F.explode(F.array(*choices))).filter((whole & (i == 0)) | (~whole & fits))
+    return each.select("h", "line",
+                       F.when(whole, F.col("key")).otherwise(F.xxhash64("key", i, F.substring(F.col("line"), r["here"] + begin + shift + 1, size))).alias("key"),
+                       (F.col("index") & (whole | (shift == 0))).alias("index"), "delta",
+                       F.when(whole, F.col("regions")).otherwise(F.sort_array(F.concat(rest, _regions(left, right)), asc=False)).alias("regions"))
 
 
 def edit_within(a: Column, b: Column, edits: int) -> Column:
@@ -143,20 +183,50 @@ def occurrences(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             .withColumn("h", F.xxhash64("line")))
 
 
-def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a, b): hashes of different lines within ``edits`` edits of each other.
-    ``lines`` has (line, h, m), equal lines any number of times."""
-    keys = lines.select("h", F.explode(_keys_only(F.col("line"), F.col("m"), edits)).alias("key"))
-    live = stage(keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("key"), "keys")
-    entries = F.filter(F.array(*_entries(F.col("line"), F.col("m"), edits)), lambda e: e.isNotNull())
-    each = lines.select("h", F.explode(entries).alias("e")).select("h", "e.*").filter(key_bitmap(live, "key")(F.col("key")))
-    found = stage(each.distinct().join(live, "key", "left_semi"), "entries")
-    index = found.filter("index").select("key", F.col("h").alias("a"), F.col("inner").alias("ia"), F.col("outer").alias("oa"))
-    probe = found.select("key", F.col("h").alias("b"), "delta", F.col("inner").alias("ib"), F.col("outer").alias("ob"))
+def _candidates(entries: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the keys of at most ``crowd`` entries, and the other
+    keys that have pairs. ``entries`` has (h, key, index, delta)."""
+    sizes = stage(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("low"), F.max("h").alias("high"), F.bool_or("index").alias("own"))
+                  .filter("own and low < high").select("key", "n"), "sizes")
+    found = entries.join(sizes.filter(F.col("n") <= crowd).select("key"), "key", "left_semi")
+    index = found.filter("index").select("key", F.col("h").alias("a"))
+    probe = found.select("key", F.col("h").alias("b"), "delta")
     # Lines of equal length find each other twice; one order is enough.
     once = (F.col("a") != F.col("b")) & ((F.col("delta") > 0) | (F.col("a") < F.col("b")))
-    beside = (F.col("ia") == F.col("ib")) | (F.col("oa") == F.col("ob"))
-    pairs = stage(index.join(probe, "key").filter(once & beside).select("a", "b").distinct(), "pairs")
+    return index.join(probe, "key").filter(once).select("a", "b").distinct(), sizes.filter(F.col("n") > crowd).select("key")
+
+
+def _pairs(lines: DataFrame, edits: int, crowd: int) -> DataFrame:
+    """(a, b): different lines that share the pieces of a key."""
+    keys = _entries(lines, edits).select("h", "key", ((F.col("delta") == 0) & (F.col("shift") == 0)).alias("index"))
+    live = stage(keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.bool_or("index").alias("own"))
+                 .filter("own and low < high").select("key"), "keys")
+    some = key_bitmap(live, "key")
+    entries = _split(_opened(_entries(lines, edits).filter(some(F.col("key"))), edits), edits)
+    plain, crowded = _candidates(stage(entries.select("h", "key", "index", "delta").distinct(), "entries"), crowd)
+    out = stage(plain, "pairs")
+    crowded = stage(crowded, "crowded")
+    if crowded.isEmpty():
+        return out
+    # A key that many lines share takes one more piece of them, until few
+    # share it or nothing is left to cut; the regions shrink in every round.
+    wanted = key_bitmap(crowded, "key")
+    rows = entries.filter(wanted(F.col("key"))).distinct()
+    while not crowded.isEmpty():
+        rows = stage(rows.join(crowded, "key", "left_semi"), "open")
+        first = F.col("regions")[0]
+        last = rows.filter(first["n"] <= first["e"])
+        final, _ = _candidates(last.select("h", "key", "index", "delta").distinct(), LAST_ID)
+        rows = stage(_split(rows.filter(first["n"] > first["e"]), edits).distinct(), "split")
+        plain, crowded = _candidates(rows.select("h", "key", "index", "delta").distinct(), crowd)
+        out, crowded = stage(out.unionByName(plain).unionByName(final).distinct(), "pairs"), stage(crowded, "crowded")
+    return out
+
+
+def links(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
+    """(a, b): hashes of different lines within ``edits`` edits of each other.
+    ``lines`` has (line, h, m), equal lines any number of times."""
+    pairs = _pairs(lines, edits, crowd)
     wanted = stage(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "wanted")
     texts = stage(lines.filter(key_bitmap(wanted, "h")(F.col("h"))).select("h", "line").join(wanted, "h", "left_semi")
                   .groupBy("h").agg(F.min("line").alias("line")), "lines")

@@ -76,3 +76,17 @@ def test_odd_rows_and_columns(docs_of, odd, empty):
     assert out.columns == df.columns
     rows = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert rows == {1: (line, len(line)), 2: (line[::-1], len(line)), 5: ("short", 5), 6: ("short", 5), 7: (None, 0)}
+
+
+def test_crowded_keys_are_cut(docs_of):
+    rng = random.Random(3)
+    head = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    tails = ["".join(rng.choice("0123456789") for _ in range(12)) for _ in range(150)]
+    tails += [mutated(rng, t, rng.randrange(1, 4)) for t in tails[:50]]
+    rows = [(i, head + t) for i, t in enumerate(tails)]
+    df = lines.occurrences(lines._rows(docs_of(rows), "doc_id", "text")).select("line", "h", "m")
+    text = {r.h: r.line for r in df.collect()}
+    want = {frozenset((a, b)) for a in text for b in text if a < b and abs(len(text[a]) - len(text[b])) <= 2 and distance(text[a][85:], text[b][85:]) <= 2}
+    pairs = {frozenset((r.a, r.b)) for r in lines._pairs(df, 2, 16).collect()}
+    # Lines of one template no longer all meet in pairs.
+    assert want <= pairs and len(pairs) < 20 * len(text)
