@@ -3,8 +3,10 @@ functions only).
 
 A line (trimmed) of at least ``MIN_CHARS`` characters is removed if an equal
 line, or one within ``EDITS`` edits, stands earlier in the corpus: in a
-document with a smaller id, or above it in the same one. Shorter and blank
-lines stay.
+document with a smaller id, or above it in the same one. A shorter line of at
+least ``equal_chars`` characters is removed if an equal one stands earlier;
+that is ``MIN_CHARS`` unless given, and the query and the pipeline give
+``EQUAL_CHARS``. Other short lines and blank lines stay.
 
 1. Equal lines form classes; a grouped minimum finds each one's first place.
 2. Each line is split into EDITS + 1 segments. A line within EDITS edits of
@@ -37,8 +39,9 @@ from pyspark.sql import functions as F
 from odonto.llm.bitmaps import key_bitmap
 from odonto.llm.common import SPACE_CHARS, let, stage
 
-EDITS = 1
+EDITS = 2
 MIN_CHARS = 20
+EQUAL_CHARS = 1
 PIECE = 24
 CROWD = 64
 LAST_ID = (1 << 63) - 1
@@ -235,12 +238,12 @@ def links(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame
     return both.filter(edit_within(F.col("x"), F.col("y"), edits)).select("a", "b")
 
 
-def removals(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def removals(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
     """(doc, version, places, n_equal, n_near): the lines each document loses."""
-    lines = occurrences(rows, min_chars)
+    lines = occurrences(rows, min(min_chars, max(min_chars if equal_chars is None else equal_chars, 1)))
     place = F.struct("doc", "version", "place")
     classes = stage(lines.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    pair = stage(links(lines.select("line", "h", "m"), edits), "links")
+    pair = stage(links(lines.filter(F.col("m") >= min_chars).select("line", "h", "m"), edits), "links")
     one = classes.select(F.col("h").alias("a"), F.col("first").alias("fa"))
     two = classes.select(F.col("h").alias("b"), F.col("first").alias("fb"))
     later = (pair.join(one, "a").join(two, "b")
@@ -257,7 +260,7 @@ def removals(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
-                text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+                text_col: str = "text", keep: list[str] | None = None, equal_chars: int | None = None) -> DataFrame:
     """(doc_id, n_lines, n_equal, n_near, n_removed, kept_text) of every row,
     and the input columns named in ``keep`` as a struct ``row``.
 
@@ -267,7 +270,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in keep or [id_col]]).alias("row")
     full = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"), row)
-    lost = stage(removals(_rows(docs, id_col, text_col), edits, min_chars), "lost")
+    lost = stage(removals(_rows(docs, id_col, text_col), edits, min_chars, equal_chars), "lost")
     passes = key_bitmap(lost, "doc")(F.col("doc"))
     some = full.filter(passes).join(lost, ["doc", "version"], "left")
     none = full.filter(~passes).withColumns({"places": F.lit(None).cast("array<int>"), "n_equal": F.lit(None).cast("long"), "n_near": F.lit(None).cast("long")})

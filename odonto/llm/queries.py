@@ -92,5 +92,5 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that every document loses to equal or near earlier lines."""
-    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"), equal_chars=lines.EQUAL_CHARS)
     return found.select("doc_id", "n_lines", "n_equal", "n_near", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

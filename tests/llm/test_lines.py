@@ -90,3 +90,12 @@ def test_crowded_keys_are_cut(docs_of):
     pairs = {frozenset((r.a, r.b)) for r in lines._pairs(df, 2, 16).collect()}
     # Lines of one template no longer all meet in pairs.
     assert want <= pairs and len(pairs) < 20 * len(text)
+
+
+def test_query_removes_two_edits_and_short_equal_lines(spark, docs_of, tmp_path):
+    from odonto.llm import queries
+    line = "all rights are reserved by the publisher, page 17 of the yearly report"
+    rows = [(1, line + "\nMenu"), (2, line.replace("17", "42") + "\n Menu\n\nMenus"), (3, line.replace("17", "4203") + "\n\n")]
+    docs_of(rows, clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_lines, r.n_equal, r.n_near) for r in got} == {1: (2, 0, 0), 2: (3, 1, 1), 3: (1, 0, 1)}
