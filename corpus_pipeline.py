@@ -15,6 +15,8 @@ from odonto.llm import lines, mixing, neardup, packing, rules
 from odonto.llm.common import stage
 
 TOKENIZER = "word_bpe_49k.json"
+#: Near duplicates share four fifths of their shingles or more.
+PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +30,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (operator 6)."""
-    return neardup.distinct_documents(docs)
+    """One document of each near-duplicate group, at 80 % of shared shingles
+    (operator 6)."""
+    return neardup.distinct_documents(docs, percent=PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

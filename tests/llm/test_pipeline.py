@@ -54,3 +54,20 @@ def test_entry_works_without_this_subpackage(tmp_path):
     shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pending_payments' in q and 'pipeline' not in q and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, timeout=120)
+
+
+def test_near_dedup_links_at_four_fifths(spark, docs_of):
+    def shared(a, b):
+        x, y = ({tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    words = [f"w{i}" for i in range(104)]
+    other = [f"v{i}" for i in range(104)]
+    pairs = []
+    for base, changed in ((words, 10), (other, 15)):
+        copy = base[:-changed] + [f"{w}x" for w in base[-changed:]]
+        pairs.append((" ".join(base), " ".join(copy)))
+    (a, b), (c, d) = pairs
+    assert 0.8 < shared(a, b) < 0.85 and 0.7 < shared(c, d) < 0.8
+    out = corpus_pipeline.near_dedup(spark, docs_of([(1, a), (2, b), (3, c), (4, d)], clash=False), "")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
