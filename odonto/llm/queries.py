@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odonto.llm import fingerprints, lines, mixing, neardup, packing, quality, repeats, rules, toxicity, warc
+from odonto.llm import fingerprints, lines, mixing, neardup, packing, quality, radix, repeats, rules, toxicity, warc
 from odonto.llm.common import bound_batches, is_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that every document loses to equal or near earlier lines."""
     found = lines.dedup_lines(table(spark, sf_dir, "documents"), equal_chars=lines.EQUAL_CHARS)
     return found.select("doc_id", "n_lines", "n_equal", "n_near", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document and the row that stays."""
+    return radix.equal_texts(table(spark, sf_dir, "documents"))
