@@ -41,3 +41,34 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
 FROM d JOIN g USING (t)
 """
+
+SQL["op13_filter_audit"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+firsts AS (SELECT t, min(doc_id) AS low FROM d GROUP BY t),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+             + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > low)::INT AS bits,
+             coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+      FROM d JOIN firsts USING (t) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, bits),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+s AS (SELECT f AS path, bit AS used, 0 AS before, f, bit, 1 AS step FROM f
+      UNION ALL
+      SELECT path || f.f, used + f.bit, used, f.f, f.bit, step + 1 FROM s JOIN f ON used & f.bit = 0),
+o AS (SELECT path AS filter_order FROM s WHERE step = 5),
+r AS (SELECT part, path, step, f,
+             sum(CASE WHEN bits & used = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN bits & before = 0 AND bits & bit > 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN bits & before > 0 AND bits & bit > 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN bits = bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN bits & before = 0 AND bits & bit > 0 THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN bits & before = 0 AND bits & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM c CROSS JOIN s GROUP BY part, path, step, f),
+steps AS (SELECT part, filter_order, r.step, f AS filter, kept, removed, redundant, unique_fails, good_lost, toxic_lost
+          FROM o JOIN r ON starts_with(filter_order, path))
+SELECT part, filter_order, step::INT AS step, filter, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM steps
+"""

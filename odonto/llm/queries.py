@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odonto.llm import fingerprints, lines, mixing, neardup, packing, quality, radix, repeats, rules, toxicity, warc
+from odonto.llm import audit, fingerprints, lines, mixing, neardup, packing, quality, radix, repeats, rules, toxicity, warc
 from odonto.llm.common import bound_batches, is_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document and the row that stays."""
     return radix.equal_texts(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step of every order of the five filters removes, per language."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
