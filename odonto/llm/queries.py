@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odonto.llm import audit, fingerprints, lines, mixing, neardup, packing, quality, radix, repeats, rules, toxicity, warc
+from odonto.llm import audit, fingerprints, lines, mixing, neardup, packing, quality, radix, repeats, rules, spelling, toxicity, warc
 from odonto.llm.common import bound_batches, is_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,9 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each step of every order of the five filters removes, per language."""
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word that documents hold five times or more."""
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
