@@ -36,8 +36,8 @@ from odonto.llm.bitmaps import key_bitmap
 from odonto.llm.common import stage
 
 #: Bytes of the first slice, and how much wider each next one is.
-FIRST = 64
-GROWTH = 16
+FIRST = 128
+GROWTH = 32
 #: Spark's longest binary value.
 MOST = (1 << 31) - 1
 
