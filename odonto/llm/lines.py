@@ -9,18 +9,24 @@ that is ``MIN_CHARS`` unless given, and the query and the pipeline give
 ``EQUAL_CHARS``. Other short lines and blank lines stay.
 
 1. Equal lines form classes; a grouped minimum finds each one's first place.
-2. Each line is split into EDITS + 1 segments. A line within EDITS edits of
-   another holds one of the other's segments unchanged, at a place that the
-   lengths bound. Segment keys (length, segment, text) are looked up by the
-   substrings that can match them, for each length in reach.
-3. Keys that only one class has are dropped with a bitmap of bounded size.
-   The keys of what is left take a further unchanged piece: the longest part
-   beside the pieces is cut into one segment more than it can hold edits. A
-   key that more than ``CROWD`` lines share is cut again, until few share it
-   or nothing is left to cut, so candidates are told apart before they meet.
-4. Candidates are verified by a banded bit-parallel edit distance: one word
-   of 2 * EDITS + 1 diagonals per number of edits, shifted along the line.
-5. Later classes of verified links and later places of equal lines go; the
+   From here on a class counts once.
+2. Each line is split into EDITS + 1 segments. EDITS edits touch at most EDITS
+   segments, so another line near it holds the rest unchanged, shifted by no
+   more than the edits before it (or after it, counted from the right end).
+   A key hashes untouched segments with a length class; lines look up the
+   indexed keys of a class by the substrings at each possible shift. Lengths
+   fall into classes wider than EDITS, so a line belongs to one or two.
+3. Keys of one class of lines only are dropped with a bitmap of bounded size.
+   In a key of at most ``CROWD`` lines those that can match meet in pairs. In
+   a larger key every line meets the earliest one only. Lines that are still
+   undecided there are split again with their companions into more segments
+   (``_levels``), all but EDITS of which must agree, so that far fewer share a
+   key. What the last level leaves undecided meets block by block inside
+   tasks, which emit removed lines, not pairs.
+4. Pairs lose their common prefix and suffix and are verified by a banded
+   bit-parallel edit distance: one word of 2 * EDITS + 1 diagonals per number
+   of edits, shifted along the line until no diagonal lives.
+5. Later classes of verified pairs and later places of equal lines go; the
    documents that lose lines are rebuilt, all others pass from the scan.
 
 Lines are compared by 64-bit hashes.
@@ -33,6 +39,11 @@ their text; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from itertools import combinations, product
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,91 +53,88 @@ from odonto.llm.common import SPACE_CHARS, let, stage
 EDITS = 2
 MIN_CHARS = 20
 EQUAL_CHARS = 1
-PIECE = 24
-CROWD = 64
+CROWD = 16
+#: Lines of a block where what is left undecided meets inside tasks.
+BLOCK = 64
+#: Keys of a line at the deepest level of segments, at most.
+MOST_KEYS = 600
 LAST_ID = (1 << 63) - 1
+FIRST = ["doc", "version", "place"]
+
+
+def _length_classes(m: Column, edits: int) -> tuple[Column, Column]:
+    """Least lengths of the classes of m and of m - edits. A class is a power
+    of two wide, more than ``edits`` and about a thirtieth of its lengths, so
+    no line near one of length m falls into a third class."""
+    least = 1 << edits.bit_length()
+
+    def bottom(n: Column) -> Column:
+        bits = F.length(F.bin(n))
+        width = F.greatest(F.lit(least), F.call_function("shiftleft", F.lit(1), F.greatest(bits - 6, F.lit(0))))
+        return (n - n % width).cast("int")
+
+    return bottom(m), bottom(F.greatest(m - edits, F.lit(0)))
+
+
+def _choices(edits: int, k: int) -> Iterator[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """(touched, shifts): each choice of ``edits`` touched segments of k, with
+    every shift of the runs of segments before, between and after them. Run j
+    has j edits before it and the others after it."""
+    for touched in combinations(range(k), edits):
+        ends = (-1, *touched, k)
+        spans = [min(j, edits - j) if ends[j + 1] - ends[j] > 1 else 0 for j in range(edits + 1)]
+        for shifts in product(*[range(-x, x + 1) for x in spans]):
+            yield touched, shifts
+
+
+def _key(line: Column, m: Column, low: Column, k: int, touched: list[Column], shifts: list[Column]) -> Column:
+    """Hash of the untouched segments of a line of a length class that begins
+    at ``low``. Runs up to the middle are placed from the left end, the others
+    from the right one; what the division leaves lies between them."""
+    size, edits = F.floor(low / k).cast("int"), len(touched)
+    ends = [F.lit(-1), *touched, F.lit(k)]
+    runs = []
+    for j, shift in enumerate(shifts):
+        first, stop = ends[j] + 1, ends[j + 1]
+        at = first * size if 2 * j <= edits else m - (F.lit(k) - first) * size
+        runs.append(F.substring(line, (at + shift + 1).cast("int"), ((stop - first) * size).cast("int")))
+    return F.xxhash64(F.lit(k), low, *touched, *runs)
+
+
+def _levels(edits: int) -> list[int]:
+    """Numbers of segments: edits + 1, twice that, then three times the last
+    while a line has no more than ``MOST_KEYS`` keys."""
+    out = [edits + 1]
+    while comb(k := out[-1] * (2 if len(out) == 1 else 3), edits) <= MOST_KEYS and sum(1 for _ in _choices(edits, k)) <= MOST_KEYS:
+        out.append(k)
+        if edits == 0 or len(out) == 4:
+            break
+    return out
 
 
-def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(begin, length) of segment i of a line of n characters: even lengths,
-    the last ones longer by one where n doesn't divide."""
-    base, longer = F.floor(n / (edits + 1)).cast("int"), (n % (edits + 1)).cast("int")
-    short = (edits + 1) - longer
-    return i * base + F.greatest(F.lit(i) - short, F.lit(0)), base + F.when(F.lit(i) >= short, 1).otherwise(0)
-
+def _first_keys(line: Column, m: Column, edits: int) -> Column:
+    """Keys of the first level; null where both length classes are the same.
+    ``_own`` tells which are indexed."""
+    low, lower = _length_classes(m, edits)
+    ints = lambda xs: [F.lit(x) for x in xs]
+    return F.array(*[F.when(F.lit(c is low) | (lower != low), _key(line, m, c, edits + 1, ints(t), ints(s)))
+                     for c in (low, lower) for t, s in _choices(edits, edits + 1)])
 
-def _shifts(i: int, delta: int, edits: int) -> tuple[int, int]:
-    """Least and largest shift of segment i between lines whose lengths differ
-    by delta: i edits lie before the segment, the others after it."""
-    return max(-i, delta - (edits - i)), min(i, delta + (edits - i))
 
+def _own(edits: int) -> Column:
+    return F.array(*[F.lit(not any(s)) for _ in range(2) for _, s in _choices(edits, edits + 1)])
 
-def _entries(lines: DataFrame, edits: int) -> DataFrame:
-    """(h, line, m, key, i, delta, shift) of every segment key of (line, h, m).
 
-    A key hashes at most ``PIECE`` characters of segment i of a line of
-    m - delta characters, looked up ``shift`` places to the right. With delta
-    and shift 0 it is the line's own.
-    """
-    m, out, windows = F.col("m"), [], {}
-    for i in range(edits + 1):
-        start = F.greatest(_segment(m, i, edits)[0] - 2 * edits, F.lit(0))
-        windows[f"_w{i}"] = F.substring("line", start + 1, F.lit(PIECE + 4 * edits))
-        for delta in range(edits + 1):
-            n = m - delta
-            begin, size = _segment(n, i, edits)
-            low, high = _shifts(i, delta, edits)
-            for shift in range(low, high + 1):
-                key = F.xxhash64(n, F.lit(i), F.substring(F.col(f"_w{i}"), begin + shift - start + 1, F.least(size, F.lit(PIECE))))
-                out.append(F.struct(F.when(n > edits, key).alias("key"), F.lit(i).alias("i"), F.lit(delta).alias("delta"), F.lit(shift).alias("shift")))
-    return (lines.withColumns(windows).select("h", "line", "m", F.explode(F.array(*out)).alias("e"))
-            .select("h", "line", "m", "e.*").filter("key is not null"))
-
-
-def _regions(*parts: Column) -> Column:
-    """Parts of a line in which edits remain, the longest first: length and
-    edits, begin in the indexed line, begin in this one, excess of length."""
-    return F.sort_array(F.filter(F.array(*parts), lambda r: r["e"] > 0), asc=False)
-
-
-def _region(length: Column, e: Column, at: Column, here: Column, delta: Column) -> Column:
-    return F.struct(length.cast("int").alias("n"), e.cast("int").alias("e"), at.cast("int").alias("at"), here.cast("int").alias("here"), delta.cast("int").alias("delta"))
-
-
-def _opened(entries: DataFrame, edits: int) -> DataFrame:
-    """(h, line, key, index, delta, regions) of segment keys: the whole
-    segment is hashed, and the parts beside it are what remains."""
-    n, i, shift = F.col("m") - F.col("delta"), F.col("i"), F.col("shift")
-    base, longer = F.floor(n / (edits + 1)).cast("int"), (n % (edits + 1)).cast("int")
-    short = (edits + 1) - longer
-    begin = i * base + F.greatest(i - short, F.lit(0))
-    size = base + F.when(i >= short, 1).otherwise(0)
-    left = _region(begin, i, F.lit(0), F.lit(0), shift)
-    right = _region(n - begin - size, edits - i, begin + size, begin + size + shift, F.col("delta") - shift)
-    return entries.select("h", "line", F.xxhash64("key", F.substring(F.col("line"), begin + shift + 1, size)).alias("key"),
-                          ((F.col("delta") == 0) & (shift == 0)).alias("index"), "delta", _regions(left, right).alias("regions"))
-
-
-def _split(opened: DataFrame, edits: int) -> DataFrame:
-    """The entries with one more unchanged piece in the key: that of the
-    longest region with e edits, cut into e + 1 segments. Regions too short
-    to cut stay as they are."""
-    choices = [F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i in range(edits + 1) for s in range(-i, i + 1)]
-    r, i, shift = F.col("regions")[0], F.col("c.i"), F.col("c.s")
-    whole = r["n"] <= r["e"]
-    fits = (i <= r["e"]) & (shift >= r["delta"] - (r["e"] - i)) & (shift <= r["delta"] + (r["e"] - i))
-    base, longer = F.floor(r["n"] / (r["e"] + 1)).cast("int"), r["n"] % (r["e"] + 1)
-    short = r["e"] + 1 - longer
-    begin = i * base + F.greatest(i - short, F.lit(0))
-    size = base + F.when(i >= short, 1).otherwise(0)
-    left = _region(begin, i, r["at"], r["here"], shift)
-    right = _region(r["n"] - begin - size, r["e"] - i, r["at"] + begin + size, r["here"] + begin + size + shift, r["delta"] - shift)
-    rest = F.slice("regions", 2, edits + 1)
-    each = opened.withColumn("c", F.explode(F.array(*choices))).filter((whole & (i == 0)) | (~whole & fits))
-    return each.select("h", "line",
-                       F.when(whole, F.col("key")).otherwise(F.xxhash64("key", i, F.substring(F.col("line"), r["here"] + begin + shift + 1, size))).alias("key"),
-                       (F.col("index") & (whole | (shift == 0))).alias("index"), "delta",
-                       F.when(whole, F.col("regions")).otherwise(F.sort_array(F.concat(rest, _regions(left, right)), asc=False)).alias("regions"))
+def _keys(lines: DataFrame, edits: int, k: int) -> DataFrame:
+    """(key, own, ...) of every key of the lines (line, m, ...) at k segments;
+    ``own`` if the line itself is indexed by it."""
+    choices = json.dumps([{"t": t, "s": s} for t, s in _choices(edits, k)])
+    each = F.explode(F.from_json(F.lit(choices), "array<struct<t array<int>, s array<int>>>"))
+    low, lower = _length_classes(F.col("m"), edits)
+    at = [F.col("c.t")[j] for j in range(edits)], [F.col("c.s")[j] for j in range(edits + 1)]
+    return (lines.withColumn("low", F.explode(F.array_distinct(F.array(low, lower)))).withColumn("c", each)
+            .withColumns({"key": _key(F.col("line"), F.col("m"), F.col("low"), k, *at), "own": ~F.exists("c.s", lambda s: s != 0)})
+            .drop("line", "low", "c"))
 
 
 def edit_within(a: Column, b: Column, edits: int) -> Column:
@@ -160,7 +168,8 @@ def edit_within(a: Column, b: Column, edits: int) -> Column:
                     new.append(own.bitwiseAND(mm).bitwiseOR(was).bitwiseOR(right(was)).bitwiseOR(left(new[-1])))
                 return F.struct(*[w.alias(f"r{e}") for e, w in enumerate(new)])
 
-            return let(match, words)
+            # A pair none of whose diagonals lives stays apart.
+            return F.when(r[f"r{edits}"] == 0, r).otherwise(let(match, words))
 
         first = F.struct(*[F.lit(s).cast("long").alias(f"r{e}") for e, s in enumerate(start)])
         end = F.aggregate(F.sequence(F.lit(0), F.size(cb) - 1), first, step)
@@ -186,77 +195,114 @@ def occurrences(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             .withColumn("h", F.xxhash64("line")))
 
 
-def _candidates(entries: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of the keys of at most ``crowd`` entries, and the other
-    keys that have pairs. ``entries`` has (h, key, index, delta)."""
-    sizes = stage(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("low"), F.max("h").alias("high"), F.bool_or("index").alias("own"))
-                  .filter("own and low < high").select("key", "n"), "sizes")
-    found = entries.join(sizes.filter(F.col("n") <= crowd).select("key"), "key", "left_semi")
-    index = found.filter("index").select("key", F.col("h").alias("a"))
-    probe = found.select("key", F.col("h").alias("b"), "delta")
-    # Lines of equal length find each other twice; one order is enough.
-    once = (F.col("a") != F.col("b")) & ((F.col("delta") > 0) | (F.col("a") < F.col("b")))
-    return index.join(probe, "key").filter(once).select("a", "b").distinct(), sizes.filter(F.col("n") > crowd).select("key")
-
-
-def _pairs(lines: DataFrame, edits: int, crowd: int) -> DataFrame:
-    """(a, b): different lines that share the pieces of a key."""
-    keys = _entries(lines, edits).select("h", "key", ((F.col("delta") == 0) & (F.col("shift") == 0)).alias("index"))
-    live = stage(keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.bool_or("index").alias("own"))
+def trimmed(a: Column, b: Column, most: int = 1 << 13) -> Column:
+    """Struct (a, b) of two strings without their common suffix and their
+    common prefix (of up to 2 * ``most`` characters each), which leaves their
+    edit distance as it is."""
+    steps = []
+    while most:
+        steps.append(F.lit(most))
+        most //= 2
+
+    def cut(v: Column) -> Column:
+        shorter = F.least(F.char_length(v["a"]), F.char_length(v["b"]))
+        alike = lambda at, n: (at + n <= shorter) & (F.substring(v["a"], at + 1, n) == F.substring(v["b"], at + 1, n))
+        same = F.aggregate(F.array(*steps), F.lit(0), lambda at, n: at + F.when(alike(at, n), n).otherwise(F.lit(0)))
+        rest = lambda at, x: F.reverse(F.substring(x, at + 1, F.char_length(x)))
+        return let(same, lambda at: F.struct(rest(at, v["a"]).alias("a"), rest(at, v["b"]).alias("b")))
+
+    return let(let(F.struct(a.alias("a"), b.alias("b")), cut), cut)
+
+
+def _near(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(h): the later lines of the pairs (early, late) within ``edits``."""
+    one = texts.select(F.col("h").alias("early"), F.col("line").alias("x"))
+    two = texts.select(F.col("h").alias("late"), F.col("line").alias("y"))
+    both = stage(pairs.join(one, "early").join(two, "late").select("late", "x", "y"), "compared")
+    close = let(trimmed(F.col("x"), F.col("y")), lambda v: edit_within(v["a"], v["b"], edits))
+    return both.filter(close).select(F.col("late").alias("h")).distinct()
+
+
+def _meetings(entries: DataFrame, edits: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (early, late) that meet in the keys of staged entries (key, h, m,
+    first, own, open), and the entries of crowded keys with the key's earliest
+    line ``pivot``. Only open lines are looked for as the later of a pair."""
+    sizes = stage(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("first", "h")).alias("pivot"), F.bool_or("own").alias("own"), F.bool_or("open").alias("open"))
+                  .filter("n > 1 and own and open").select("key", "n", F.col("pivot.h").alias("pivot")), "sizes")
+    few = entries.join(sizes.filter(F.col("n") <= crowd).select("key"), "key")
+    many = stage(entries.join(sizes.filter(F.col("n") > crowd).select("key", "pivot"), "key"), "crowded")
+    index = few.filter("own").select("key", F.struct("first", "h", "m", "open").alias("a"))
+    probe = few.select("key", F.struct("first", "h", "m", "open").alias("b"))
+    # One of two equally early lines is enough: all hashes differ.
+    two = (index.join(probe, "key").filter((F.col("a.h") != F.col("b.h")) & (F.abs(F.col("a.m") - F.col("b.m")) <= edits))
+           .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("b.open")
+           .select(F.col("a.h").alias("early"), F.col("b.h").alias("late")))
+    star = many.filter("open and h != pivot").select(F.col("pivot").alias("early"), F.col("h").alias("late"))
+    return stage(two.unionByName(star).distinct(), "pairs"), many
+
+
+def _left_over(many: DataFrame, texts: DataFrame, edits: int, block: int) -> DataFrame:
+    """(h): open lines of crowded keys that are near an earlier line of their
+    key. Each meets the blocks of its key inside tasks."""
+    sizes = many.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", F.ceil(F.col("n") / block).alias("blocks"))
+    told = many.join(texts.select("h", "line"), "h")
+    blocks = (told.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")))
+              .groupBy("key", "block").agg(F.collect_list(F.struct("first", "h", "line")).alias("others")))
+    mine = told.filter("open").join(sizes, "key").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    found = F.exists("others", lambda o: F.when(o["first"] < F.col("first"), edit_within(o["line"], F.col("line"), edits)).otherwise(F.lit(False)))
+    return stage(mine.select("key", "block", "h", "first", "line"), "meeting").join(stage(blocks, "blocks"), ["key", "block"]).filter(found).select("h").distinct()
+
+
+def near_lines(classes: DataFrame, texts_of, edits: int = EDITS, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+    """(h) of the lines of staged classes (h, first, m, keys) that are within
+    ``edits`` of an earlier one. ``texts_of`` gives (h, first, m, line) of a
+    staged table (h, first, m)."""
+    keyed = classes.select("h", "first", "m", F.explode(F.filter(F.arrays_zip(F.col("keys").alias("key"), _own(edits).alias("own")), lambda e: e["key"].isNotNull())).alias("e"))
+    keys = keyed.select("h", "e.*")
+    live = stage(keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.bool_or("own").alias("own"))
                  .filter("own and low < high").select("key"), "keys")
-    some = key_bitmap(live, "key")
-    entries = _split(_opened(_entries(lines, edits).filter(some(F.col("key"))), edits), edits)
-    plain, crowded = _candidates(stage(entries.select("h", "key", "index", "delta").distinct(), "entries"), crowd)
-    out = stage(plain, "pairs")
-    crowded = stage(crowded, "crowded")
-    if crowded.isEmpty():
-        return out
-    # A key that many lines share takes one more piece of them, until few
-    # share it or nothing is left to cut; the regions shrink in every round.
-    wanted = key_bitmap(crowded, "key")
-    rows = entries.filter(wanted(F.col("key"))).distinct()
-    while not crowded.isEmpty():
-        rows = stage(rows.join(crowded, "key", "left_semi"), "open")
-        first = F.col("regions")[0]
-        last = rows.filter(first["n"] <= first["e"])
-        final, _ = _candidates(last.select("h", "key", "index", "delta").distinct(), LAST_ID)
-        rows = stage(_split(rows.filter(first["n"] > first["e"]), edits).distinct(), "split")
-        plain, crowded = _candidates(rows.select("h", "key", "index", "delta").distinct(), crowd)
-        out, crowded = stage(out.unionByName(plain).unionByName(final).distinct(), "pairs"), stage(crowded, "crowded")
-    return out
-
-
-def links(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
-    """(a, b): hashes of different lines within ``edits`` edits of each other.
-    ``lines`` has (line, h, m), equal lines any number of times."""
-    pairs = _pairs(lines, edits, crowd)
-    wanted = stage(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "wanted")
-    texts = stage(lines.filter(key_bitmap(wanted, "h")(F.col("h"))).select("h", "line").join(wanted, "h", "left_semi")
-                  .groupBy("h").agg(F.min("line").alias("line")), "lines")
-    both = (pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
-            .join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b"))
-    return both.filter(edit_within(F.col("x"), F.col("y"), edits)).select("a", "b")
-
-
-def removals(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
+    entries = stage(keyed.select("h", "first", "m", "e.*").filter(key_bitmap(live, "key")(F.col("key"))).join(live, "key", "left_semi")
+                    .groupBy("key", "h", "first", "m").agg(F.bool_or("own").alias("own")).withColumn("open", F.lit(True)), "entries")
+    pairs, many = _meetings(entries, edits, crowd)
+    wanted = pairs.select(F.col("early").alias("h")).unionByName(pairs.select(F.col("late").alias("h"))).unionByName(many.select("h")).distinct()
+    texts = stage(texts_of(stage(classes.select("h", "first", "m").join(wanted, "h", "left_semi"), "wanted")), "lines")
+    near, levels = stage(_near(pairs, texts, edits), "near"), _levels(edits)[1:]
+    while not many.isEmpty():
+        undecided = many.join(near.withColumn("is_near", F.lit(True)), "h", "left").withColumn("open", F.col("open") & F.col("is_near").isNull()).drop("is_near")
+        undecided = stage(undecided, "undecided")
+        keys = undecided.filter("open and h != pivot").select("key").distinct()
+        undecided = stage(undecided.join(keys, "key", "left_semi"), "undecided")
+        if not levels:
+            return near.unionByName(_left_over(undecided, texts, edits, block)).distinct()
+        lines = texts.join(undecided.groupBy("h").agg(F.bool_or(F.col("open") & (F.col("h") != F.col("pivot"))).alias("open")), "h")
+        more = _keys(stage(lines, "open"), edits, levels.pop(0))
+        entries = stage(more.groupBy("key", "h", "first", "m", "open").agg(F.bool_or("own").alias("own")), "entries")
+        pairs, many = _meetings(entries, edits, crowd)
+        near = stage(near.unionByName(_near(pairs, texts, edits)).distinct(), "near")
+    return near
+
+
+def removals(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, equal_chars: int | None = None, crowd: int = CROWD) -> DataFrame:
     """(doc, version, places, n_equal, n_near): the lines each document loses."""
     lines = occurrences(rows, min(min_chars, max(min_chars if equal_chars is None else equal_chars, 1)))
-    place = F.struct("doc", "version", "place")
-    classes = stage(lines.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    pair = stage(links(lines.filter(F.col("m") >= min_chars).select("line", "h", "m"), edits), "links")
-    one = classes.select(F.col("h").alias("a"), F.col("first").alias("fa"))
-    two = classes.select(F.col("h").alias("b"), F.col("first").alias("fb"))
-    later = (pair.join(one, "a").join(two, "b")
-             .select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
-             .withColumn("near", F.lit(True)))
-    loses = (classes.join(later, "h", "left").withColumn("near", F.coalesce("near", F.lit(False)))
-             .filter("near or n > 1").select("h", "first", "near"))
-    gone = (lines.select("doc", "version", "place", "h").join(loses, "h")
-            .withColumn("equal", place != F.col("first")).filter("equal or near"))
-    return gone.groupBy("doc", "version").agg(
-        F.array_distinct(F.collect_list("place")).alias("places"),
-        F.countDistinct(F.when(F.col("equal"), F.col("place"))).alias("n_equal"),
-        F.countDistinct(F.when(~F.col("equal"), F.col("place"))).alias("n_near"))
+    keys = F.when(F.col("m") >= min_chars, _first_keys(F.col("line"), F.col("m"), edits))
+    told = stage(lines.select(*FIRST, "h", "m", keys.alias("keys")), "places")
+    classes = stage(told.groupBy("h").agg(F.min(F.struct(*FIRST, "m", "keys")).alias("x"), F.count(F.lit(1)).alias("n"))
+                    .select("h", "n", F.struct(*[f"x.{c}" for c in FIRST]).alias("first"), "x.m", "x.keys"), "classes")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        found = lines.filter(key_bitmap(wanted, "h")(F.col("h"))).select(F.struct(*FIRST).alias("first"), "h", "m", "line")
+        return found.join(wanted, ["h", "first", "m"], "left_semi").dropDuplicates(["h"])
+
+    near = near_lines(classes.filter("keys is not null"), texts_of, edits, crowd).withColumn("near", F.lit(True))
+    loses = stage(classes.select("h", "first", "n").join(near, "h", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+                  .filter("near or n > 1").select("h", "first", "near"), "loses")
+    place = F.struct(*FIRST)
+    gone = told.select(*FIRST, "h").join(loses, "h").withColumn("equal", place != F.col("first")).filter("equal or near")
+    lost = gone.groupBy("doc", "version").agg(F.collect_set(F.struct("place", "equal")).alias("x"))
+    n_equal = F.size(F.filter("x", lambda p: p["equal"])).cast("long")
+    return lost.select("doc", "version", F.transform("x", lambda p: p["place"]).alias("places"), n_equal.alias("n_equal"),
+                       (F.size("x") - n_equal).cast("long").alias("n_near"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id",

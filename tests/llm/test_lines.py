@@ -78,18 +78,54 @@ def test_odd_rows_and_columns(docs_of, odd, empty):
     assert rows == {1: (line, len(line)), 2: (line[::-1], len(line)), 5: ("short", 5), 6: ("short", 5), 7: (None, 0)}
 
 
-def test_crowded_keys_are_cut(docs_of):
+def test_crowded_keys_are_cut(docs_of, monkeypatch):
     rng = random.Random(3)
     head = "".join(rng.choice("abcdefgh ") for _ in range(90))
     tails = ["".join(rng.choice("0123456789") for _ in range(12)) for _ in range(150)]
     tails += [mutated(rng, t, rng.randrange(1, 4)) for t in tails[:50]]
     rows = [(i, head + t) for i, t in enumerate(tails)]
-    df = lines.occurrences(lines._rows(docs_of(rows), "doc_id", "text")).select("line", "h", "m")
-    text = {r.h: r.line for r in df.collect()}
-    want = {frozenset((a, b)) for a in text for b in text if a < b and abs(len(text[a]) - len(text[b])) <= 2 and distance(text[a][85:], text[b][85:]) <= 2}
-    pairs = {frozenset((r.a, r.b)) for r in lines._pairs(df, 2, 16).collect()}
-    # Lines of one template no longer all meet in pairs.
-    assert want <= pairs and len(pairs) < 20 * len(text)
+    met, meetings = [], lines._meetings
+    monkeypatch.setattr(lines, "_meetings", lambda *a: (met.append(x := meetings(*a)), x)[1])
+    near = {i for i, t in enumerate(tails) if any(distance(t, u) <= 2 for u in tails[:i])}
+    for most in (600, 40):         # all levels of segments; blocks after the second
+        monkeypatch.setattr(lines, "MOST_KEYS", most)
+        got = {r.doc_id for r in lines.dedup_lines(docs_of(rows)).collect() if r.n_removed}
+        assert got == near
+    pairs = met[0][0].count()
+    assert 0 < pairs < 4 * len(tails)
+
+
+def test_one_template_meets_its_earliest_line(docs_of):
+    rows = [(i, f"a template line with the place {a}, and another one {b}, and a long end that never changes") for i, (a, b) in
+            enumerate((a, b) for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst")]
+    got = {r.doc_id: r.n_near for r in lines.dedup_lines(docs_of(rows)).collect()}
+    assert got == {i: int(i > 0) for i, _ in rows}
+
+
+def test_edits_of_all_kinds_and_numbers(docs_of):
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abc") for _ in range(n)) for n in (20, 21, 31, 32, 33, 63, 64, 65, 127, 128, 129, 300)]
+    rows = [(i, "\n".join(mutated(rng, rng.choice(base), rng.randrange(0, 4)) for _ in range(4))) for i in range(45)]
+    rows += [(100, "a" * 40 + "\n" + "a" * 42 + "\n" + "a" * 45 + "\n" + "ab" * 20), (101, "a" * 41 + "b\n" + "ba" * 20)]
+    for edits in (1, 2, 3):
+        got = {r.doc_id: (r.n_removed, r.kept_text) for r in lines.dedup_lines(docs_of(rows), edits=edits).collect()}
+        assert got == brute(rows, edits)
+
+
+def test_trimmed_pairs_keep_their_distance(spark):
+    rng = random.Random(6)
+    pairs = [("", ""), ("a", "a"), ("ab" * 9000, "ab" * 9000 + "c"), ("x" * 20000, "x" * 20000)]
+    for _ in range(120):
+        a = "".join(rng.choice("abé") for _ in range(rng.randrange(0, 40)))
+        pairs.append((a, mutated(rng, a, rng.randrange(0, 4))))
+    df = spark.createDataFrame(pairs, "x string, y string").withColumn("t", lines.trimmed(F.col("x"), F.col("y")))
+    for r in df.collect():
+        a, b = r.t
+        if len(r.x) < 100:
+            assert not (a and b) or (a[0] != b[0] and a[-1] != b[-1])
+            assert distance(r.x, r.y) == distance(a, b)
+        else:
+            assert len(b) - len(a) == len(r.y) - len(r.x) and len(a) < len(r.x) / 4
 
 
 def test_query_removes_two_edits_and_short_equal_lines(spark, docs_of, tmp_path):
