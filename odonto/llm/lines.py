@@ -19,10 +19,11 @@ that is ``MIN_CHARS`` unless given, and the query and the pipeline give
 3. Keys of one class of lines only are dropped with a bitmap of bounded size.
    In a key of at most ``CROWD`` lines those that can match meet in pairs. In
    a larger key every line meets the earliest one only. Lines that are still
-   undecided there are split again with their companions into more segments
+   undecided there meet the others block by block inside tasks, which emit
+   removed lines, not pairs. In a key of more than ``MEET`` lines they are
+   first split again, with their companions, into more segments
    (``_levels``), all but EDITS of which must agree, so that far fewer share a
-   key. What the last level leaves undecided meets block by block inside
-   tasks, which emit removed lines, not pairs.
+   key.
 4. Pairs lose their common prefix and suffix and are verified by a banded
    bit-parallel edit distance: one word of 2 * EDITS + 1 diagonals per number
    of edits, shifted along the line until no diagonal lives.
@@ -40,7 +41,7 @@ their text; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, product
 from math import comb
 
@@ -54,10 +55,13 @@ EDITS = 2
 MIN_CHARS = 20
 EQUAL_CHARS = 1
 CROWD = 16
-#: Lines of a block where what is left undecided meets inside tasks.
+#: Undecided lines of a key of at most so many lines meet the others inside
+#: tasks, in blocks; splitting them further would cost more.
+MEET = 512
 BLOCK = 64
 #: Keys of a line at the deepest level of segments, at most.
 MOST_KEYS = 600
+LONGEST = (1 << 31) - 1
 LAST_ID = (1 << 63) - 1
 FIRST = ["doc", "version", "place"]
 
@@ -87,18 +91,19 @@ def _choices(edits: int, k: int) -> Iterator[tuple[tuple[int, ...], tuple[int, .
             yield touched, shifts
 
 
-def _key(line: Column, m: Column, low: Column, k: int, touched: list[Column], shifts: list[Column]) -> Column:
-    """Hash of the untouched segments of a line of a length class that begins
-    at ``low``. Runs up to the middle are placed from the left end, the others
-    from the right one; what the division leaves lies between them."""
-    size, edits = F.floor(low / k).cast("int"), len(touched)
-    ends = [F.lit(-1), *touched, F.lit(k)]
-    runs = []
+def _key(k: int, low: Column, size: Column, m: Column, line: Column, touched: list, shifts: list) -> Column:
+    """Hash of the untouched segments, ``size`` long, of a line of a length
+    class that begins at ``low``. Runs up to the middle are placed from the
+    left end, the others from the right one; what the division leaves lies
+    between them."""
+    ends, runs = [-1, *touched, k], []
     for j, shift in enumerate(shifts):
         first, stop = ends[j] + 1, ends[j + 1]
-        at = first * size if 2 * j <= edits else m - (F.lit(k) - first) * size
-        runs.append(F.substring(line, (at + shift + 1).cast("int"), ((stop - first) * size).cast("int")))
-    return F.xxhash64(F.lit(k), low, *touched, *runs)
+        if isinstance(first, int) and isinstance(stop, int) and first == stop:
+            continue
+        at = size * first if 2 * j <= len(touched) else m - size * (k - first)
+        runs.append(F.substring(line, at + shift + 1, size * (stop - first)))
+    return F.xxhash64(F.lit(k), low, *[F.lit(t) for t in touched], *runs)
 
 
 def _levels(edits: int) -> list[int]:
@@ -112,13 +117,18 @@ def _levels(edits: int) -> list[int]:
     return out
 
 
-def _first_keys(line: Column, m: Column, edits: int) -> Column:
-    """Keys of the first level; null where both length classes are the same.
-    ``_own`` tells which are indexed."""
+def _first_keys(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """The lines (line, m, ...) with the array ``keys`` of the first level,
+    null where both length classes are the same and for lines under
+    ``min_chars``; ``_own`` tells which are indexed."""
+    k, m, line = edits + 1, F.col("m"), F.col("line")
     low, lower = _length_classes(m, edits)
-    ints = lambda xs: [F.lit(x) for x in xs]
-    return F.array(*[F.when(F.lit(c is low) | (lower != low), _key(line, m, c, edits + 1, ints(t), ints(s)))
-                     for c in (low, lower) for t, s in _choices(edits, edits + 1)])
+    ready = lines.withColumns({"low": low, "lower": lower})
+    ready = ready.withColumns({"size": F.floor(F.col("low") / k).cast("int"), "less": F.floor(F.col("lower") / k).cast("int")})
+    keys = lambda c, size: [_key(k, F.col(c), F.col(size), m, line, t, s) for t, s in _choices(edits, k)]
+    one, two = F.array(*keys("low", "size")), F.array(*keys("lower", "less"))
+    both = F.when(F.col("lower") == F.col("low"), one).otherwise(F.concat(one, two))
+    return ready.withColumn("keys", F.when(m >= min_chars, both)).drop("low", "lower", "size", "less")
 
 
 def _own(edits: int) -> Column:
@@ -131,18 +141,20 @@ def _keys(lines: DataFrame, edits: int, k: int) -> DataFrame:
     choices = json.dumps([{"t": t, "s": s} for t, s in _choices(edits, k)])
     each = F.explode(F.from_json(F.lit(choices), "array<struct<t array<int>, s array<int>>>"))
     low, lower = _length_classes(F.col("m"), edits)
-    at = [F.col("c.t")[j] for j in range(edits)], [F.col("c.s")[j] for j in range(edits + 1)]
-    return (lines.withColumn("low", F.explode(F.array_distinct(F.array(low, lower)))).withColumn("c", each)
-            .withColumns({"key": _key(F.col("line"), F.col("m"), F.col("low"), k, *at), "own": ~F.exists("c.s", lambda s: s != 0)})
-            .drop("line", "low", "c"))
+    touched, shifts = [F.col("c.t")[j] for j in range(edits)], [F.col("c.s")[j] for j in range(edits + 1)]
+    split = (lines.withColumn("low", F.explode(F.array_distinct(F.array(low, lower)))).withColumn("size", F.floor(F.col("low") / k).cast("int"))
+             .withColumn("c", each))
+    return (split.withColumns({"key": _key(k, F.col("low"), F.col("size"), F.col("m"), F.col("line"), touched, shifts),
+                               "own": ~F.exists("c.s", lambda s: s != 0)}).drop("line", "low", "size", "c"))
 
 
-def edit_within(a: Column, b: Column, edits: int) -> Column:
+def edit_within(a: Column, b: Column, edits: int, stride: int = 16) -> Column:
     """Whether two strings are within ``edits`` edits (insert, delete,
     replace).
 
     Bit o + edits of word e says that the first j characters of b and the
     first j + o of a match with at most e edits; a step reads one of b's.
+    Steps are taken ``stride`` at a time, and none once no diagonal lives.
     """
     full = (1 << (2 * edits + 1)) - 1
     left = lambda x: F.call_function("shiftleft", x, F.lit(1)).bitwiseAND(full)
@@ -151,35 +163,38 @@ def edit_within(a: Column, b: Column, edits: int) -> Column:
     for _ in range(edits):
         start.append((start[-1] | start[-1] << 1) & full)
 
-    def run(x: Column) -> Column:
-        ca, cb = x["a"], x["b"]
-
-        def step(r: Column, j: Column) -> Column:
-            c = F.get(cb, j)
-            match = F.lit(0).cast("long")
+    def words(r: Column, match: Column) -> Column:
+        new = [r["r0"].bitwiseAND(match)]
+        for e in range(1, edits + 1):
+            was, own = r[f"r{e - 1}"], r[f"r{e}"]
+            new.append(own.bitwiseAND(match).bitwiseOR(was).bitwiseOR(right(was)).bitwiseOR(left(new[-1])))
+        return F.struct(*[w.alias(f"r{e}") for e, w in enumerate(new)])
+
+    def steps(r: Column, x: Column, k: Column) -> Column:
+        """The words after the k-th stride. ``near`` holds the characters of a
+        that its steps look at, from place ``at`` on."""
+        at = F.greatest(k * stride - edits, F.lit(0))
+        part = F.struct(F.substring(x["b"], k * stride + 1, F.lit(stride)).alias("b"),
+                        F.substring(x["a"], at + 1, F.lit(stride + 2 * edits)).alias("near"), (k * stride - at).alias("lag"))
+
+        def step(s: Column, y: Column, j: Column) -> Column:
+            c, bits = F.substring(y["b"], j + 1, F.lit(1)), F.lit(0).cast("long")
             for o in range(-edits, edits + 1):
-                same = F.coalesce(F.get(ca, j + o) == c, F.lit(False))
-                match = match + F.when(same, F.lit(1 << (o + edits)).cast("long")).otherwise(F.lit(0).cast("long"))
+                place = y["lag"] + j + o
+                same = (place >= 0) & (F.substring(y["near"], place + 1, F.lit(1)) == c)
+                bits = bits + F.when(same, F.lit(1 << (o + edits)).cast("long")).otherwise(F.lit(0).cast("long"))
+            return let(bits, lambda match: words(s, match))
 
-            def words(mm: Column) -> Column:
-                new = [r["r0"].bitwiseAND(mm)]
-                for e in range(1, edits + 1):
-                    was, own = r[f"r{e - 1}"], r[f"r{e}"]
-                    new.append(own.bitwiseAND(mm).bitwiseOR(was).bitwiseOR(right(was)).bitwiseOR(left(new[-1])))
-                return F.struct(*[w.alias(f"r{e}") for e, w in enumerate(new)])
-
-            # A pair none of whose diagonals lives stays apart.
-            return F.when(r[f"r{edits}"] == 0, r).otherwise(let(match, words))
+        return let(part, lambda y: F.aggregate(F.sequence(F.lit(0), F.char_length(y["b"]) - 1), r, lambda s, j: step(s, y, j)))
 
+    def run(x: Column) -> Column:
         first = F.struct(*[F.lit(s).cast("long").alias(f"r{e}") for e, s in enumerate(start)])
-        end = F.aggregate(F.sequence(F.lit(0), F.size(cb) - 1), first, step)
-        at = (F.size(ca) - F.size(cb) + edits).cast("int")
-        last = F.call_function("shiftright", end[f"r{edits}"], F.greatest(at, F.lit(0))).bitwiseAND(1) == 1
-        return (F.when(F.abs(F.size(ca) - F.size(cb)) > edits, F.lit(False))
-                .when(F.size(cb) == 0, F.lit(True)).otherwise(last))
+        strides = F.sequence(F.lit(0), F.floor((x["m"] - 1) / stride).cast("int"))
+        end = F.aggregate(strides, first, lambda r, k: F.when(r[f"r{edits}"] == 0, r).otherwise(steps(r, x, k)))
+        last = F.call_function("shiftright", end[f"r{edits}"], (x["n"] - x["m"] + edits).cast("int")).bitwiseAND(1) == 1
+        return F.when(F.abs(x["n"] - x["m"]) > edits, F.lit(False)).when(x["m"] == 0, F.lit(True)).otherwise(last)
 
-    chars = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ""))
-    return let(F.struct(chars(a).alias("a"), chars(b).alias("b")), run)
+    return let(F.struct(a.alias("a"), b.alias("b"), F.char_length(a).alias("n"), F.char_length(b).alias("m")), run)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -205,32 +220,36 @@ def trimmed(a: Column, b: Column, most: int = 1 << 13) -> Column:
         most //= 2
 
     def cut(v: Column) -> Column:
-        shorter = F.least(F.char_length(v["a"]), F.char_length(v["b"]))
-        alike = lambda at, n: (at + n <= shorter) & (F.substring(v["a"], at + 1, n) == F.substring(v["b"], at + 1, n))
-        same = F.aggregate(F.array(*steps), F.lit(0), lambda at, n: at + F.when(alike(at, n), n).otherwise(F.lit(0)))
-        rest = lambda at, x: F.reverse(F.substring(x, at + 1, F.char_length(x)))
+        alike = lambda at, n: F.substring(v["a"], at + 1, n) == F.substring(v["b"], at + 1, n)
+        longest = lambda shorter: F.aggregate(F.array(*steps), F.lit(0), lambda at, n: F.when(at + n > shorter, at)
+                                              .when(alike(at, n), at + n).otherwise(at))
+        same = let(F.least(F.char_length(v["a"]), F.char_length(v["b"])), longest)
+        rest = lambda at, x: F.reverse(F.substring(x, at + 1, F.lit(LONGEST)))
         return let(same, lambda at: F.struct(rest(at, v["a"]).alias("a"), rest(at, v["b"]).alias("b")))
 
     return let(let(F.struct(a.alias("a"), b.alias("b")), cut), cut)
 
 
+def _close(a: Column, b: Column, edits: int) -> Column:
+    return let(trimmed(a, b), lambda v: edit_within(v["a"], v["b"], edits))
+
+
 def _near(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """(h): the later lines of the pairs (early, late) within ``edits``."""
     one = texts.select(F.col("h").alias("early"), F.col("line").alias("x"))
     two = texts.select(F.col("h").alias("late"), F.col("line").alias("y"))
     both = stage(pairs.join(one, "early").join(two, "late").select("late", "x", "y"), "compared")
-    close = let(trimmed(F.col("x"), F.col("y")), lambda v: edit_within(v["a"], v["b"], edits))
-    return both.filter(close).select(F.col("late").alias("h")).distinct()
+    return both.filter(_close(F.col("x"), F.col("y"), edits)).select(F.col("late").alias("h")).distinct()
 
 
 def _meetings(entries: DataFrame, edits: int, crowd: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (early, late) that meet in the keys of staged entries (key, h, m,
     first, own, open), and the entries of crowded keys with the key's earliest
-    line ``pivot``. Only open lines are looked for as the later of a pair."""
+    line ``pivot`` and its size ``n``. Only open lines are looked for as the later of a pair."""
     sizes = stage(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("first", "h")).alias("pivot"), F.bool_or("own").alias("own"), F.bool_or("open").alias("open"))
                   .filter("n > 1 and own and open").select("key", "n", F.col("pivot.h").alias("pivot")), "sizes")
     few = entries.join(sizes.filter(F.col("n") <= crowd).select("key"), "key")
-    many = stage(entries.join(sizes.filter(F.col("n") > crowd).select("key", "pivot"), "key"), "crowded")
+    many = stage(entries.join(sizes.filter(F.col("n") > crowd), "key"), "crowded")
     index = few.filter("own").select("key", F.struct("first", "h", "m", "open").alias("a"))
     probe = few.select("key", F.struct("first", "h", "m", "open").alias("b"))
     # One of two equally early lines is enough: all hashes differ.
@@ -241,27 +260,47 @@ def _meetings(entries: DataFrame, edits: int, crowd: int) -> tuple[DataFrame, Da
     return stage(two.unionByName(star).distinct(), "pairs"), many
 
 
-def _left_over(many: DataFrame, texts: DataFrame, edits: int, block: int) -> DataFrame:
-    """(h): open lines of crowded keys that are near an earlier line of their
-    key. Each meets the blocks of its key inside tasks."""
-    sizes = many.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", F.ceil(F.col("n") / block).alias("blocks"))
-    told = many.join(texts.select("h", "line"), "h")
-    blocks = (told.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")))
-              .groupBy("key", "block").agg(F.collect_list(F.struct("first", "h", "line")).alias("others")))
-    mine = told.filter("open").join(sizes, "key").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    found = F.exists("others", lambda o: F.when(o["first"] < F.col("first"), edit_within(o["line"], F.col("line"), edits)).otherwise(F.lit(False)))
-    return stage(mine.select("key", "block", "h", "first", "line"), "meeting").join(stage(blocks, "blocks"), ["key", "block"]).filter(found).select("h").distinct()
+def sketch(line: Column, stride: int = 64) -> Column:
+    """64 parities of the hashed pairs of neighbouring characters. An edit
+    takes away at most two pairs and brings two, so lines within n edits have
+    sketches that differ in at most 4 * n bits."""
+    one = F.expr("shiftleft(1L, 0)")
+
+    def turned(bits: Column, part: Column) -> Column:
+        bit = lambda j: F.call_function("shiftleft", one, F.xxhash64(F.substring(part, j, F.lit(2))).bitwiseAND(63).cast("int"))
+        pairs = F.when(F.char_length(part) > 1, F.sequence(F.lit(1), F.char_length(part) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(pairs, bits, lambda x, j: x.bitwiseXOR(bit(j)))
+
+    strides = F.sequence(F.lit(0), F.floor(F.char_length(line) / stride).cast("int"))
+    return F.aggregate(strides, F.lit(0).cast("long"), lambda x, k: let(F.substring(line, k * stride + 1, F.lit(stride + 1)), lambda part: turned(x, part)))
 
 
-def near_lines(classes: DataFrame, texts_of, edits: int = EDITS, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+def _met(many: DataFrame, texts: DataFrame, edits: int, block: int) -> DataFrame:
+    """(h): open lines of crowded keys that are near an earlier line of their
+    key. Each meets the blocks of its key inside tasks."""
+    mine = stage(many.select("h").distinct().join(texts.select("h", "line"), "h").withColumn("sketch", sketch(F.col("line"))), "sketches")
+    told = many.join(mine, "h").select("key", "h", "first", "m", "open", "line", "sketch", F.ceil(F.col("n") / block).alias("blocks"))
+    blocks = (told.groupBy("key", F.pmod(F.xxhash64("h"), F.col("blocks")).alias("block"))
+              .agg(F.collect_list(F.struct("first", "m", "sketch", "line")).alias("others")))
+    late = told.filter("open").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    alike = lambda o: F.bit_count(o["sketch"].bitwiseXOR(F.col("sketch"))) <= 4 * edits
+    fits = lambda o: (F.abs(o["m"] - F.col("m")) <= edits) & alike(o) & (o["first"] < F.col("first"))
+    found = F.exists("others", lambda o: F.when(fits(o), _close(o["line"], F.col("line"), edits)).otherwise(F.lit(False)))
+    return (stage(late.select("key", "block", "h", "first", "m", "sketch", "line"), "meeting").join(stage(blocks, "blocks"), ["key", "block"])
+            .filter(found).select("h").distinct())
+
+
+def near_lines(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], edits: int = EDITS, crowd: int = CROWD,
+               meet: int = MEET, block: int = BLOCK) -> DataFrame:
     """(h) of the lines of staged classes (h, first, m, keys) that are within
     ``edits`` of an earlier one. ``texts_of`` gives (h, first, m, line) of a
     staged table (h, first, m)."""
-    keyed = classes.select("h", "first", "m", F.explode(F.filter(F.arrays_zip(F.col("keys").alias("key"), _own(edits).alias("own")), lambda e: e["key"].isNotNull())).alias("e"))
-    keys = keyed.select("h", "e.*")
+    keyed = (classes.select("h", "first", "m", F.posexplode("keys").alias("i", "key"))
+             .withColumn("own", F.element_at(_own(edits), F.col("i") + 1)).drop("i"))
+    keys = keyed.select("h", "key", "own")
     live = stage(keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.bool_or("own").alias("own"))
                  .filter("own and low < high").select("key"), "keys")
-    entries = stage(keyed.select("h", "first", "m", "e.*").filter(key_bitmap(live, "key")(F.col("key"))).join(live, "key", "left_semi")
+    entries = stage(keyed.filter(key_bitmap(live, "key")(F.col("key"))).join(live, "key", "left_semi")
                     .groupBy("key", "h", "first", "m").agg(F.bool_or("own").alias("own")).withColumn("open", F.lit(True)), "entries")
     pairs, many = _meetings(entries, edits, crowd)
     wanted = pairs.select(F.col("early").alias("h")).unionByName(pairs.select(F.col("late").alias("h"))).unionByName(many.select("h")).distinct()
@@ -272,21 +311,24 @@ def near_lines(classes: DataFrame, texts_of, edits: int = EDITS, crowd: int = CR
         undecided = stage(undecided, "undecided")
         keys = undecided.filter("open and h != pivot").select("key").distinct()
         undecided = stage(undecided.join(keys, "key", "left_semi"), "undecided")
-        if not levels:
-            return near.unionByName(_left_over(undecided, texts, edits, block)).distinct()
-        lines = texts.join(undecided.groupBy("h").agg(F.bool_or(F.col("open") & (F.col("h") != F.col("pivot"))).alias("open")), "h")
-        more = _keys(stage(lines, "open"), edits, levels.pop(0))
+        small = F.col("n") <= meet if levels else F.lit(True)
+        near = stage(near.unionByName(_met(undecided.filter(small), texts, edits, block)).distinct(), "near")
+        large = undecided.filter(~small)
+        if large.isEmpty():
+            break
+        lines = texts.join(large.groupBy("h").agg(F.bool_or(F.col("open") & (F.col("h") != F.col("pivot"))).alias("open")), "h")
+        # A line has hundreds of keys now: deal the lines out evenly first.
+        more = _keys(stage(lines, "open").repartition("h"), edits, levels.pop(0))
         entries = stage(more.groupBy("key", "h", "first", "m", "open").agg(F.bool_or("own").alias("own")), "entries")
         pairs, many = _meetings(entries, edits, crowd)
         near = stage(near.unionByName(_near(pairs, texts, edits)).distinct(), "near")
     return near
 
 
-def removals(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, equal_chars: int | None = None, crowd: int = CROWD) -> DataFrame:
+def removals(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, equal_chars: int | None = None, **sizes: int) -> DataFrame:
     """(doc, version, places, n_equal, n_near): the lines each document loses."""
     lines = occurrences(rows, min(min_chars, max(min_chars if equal_chars is None else equal_chars, 1)))
-    keys = F.when(F.col("m") >= min_chars, _first_keys(F.col("line"), F.col("m"), edits))
-    told = stage(lines.select(*FIRST, "h", "m", keys.alias("keys")), "places")
+    told = stage(_first_keys(lines, edits, min_chars).select(*FIRST, "h", "m", "keys"), "places")
     classes = stage(told.groupBy("h").agg(F.min(F.struct(*FIRST, "m", "keys")).alias("x"), F.count(F.lit(1)).alias("n"))
                     .select("h", "n", F.struct(*[f"x.{c}" for c in FIRST]).alias("first"), "x.m", "x.keys"), "classes")
 
@@ -294,7 +336,7 @@ def removals(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, eq
         found = lines.filter(key_bitmap(wanted, "h")(F.col("h"))).select(F.struct(*FIRST).alias("first"), "h", "m", "line")
         return found.join(wanted, ["h", "first", "m"], "left_semi").dropDuplicates(["h"])
 
-    near = near_lines(classes.filter("keys is not null"), texts_of, edits, crowd).withColumn("near", F.lit(True))
+    near = near_lines(classes.filter("keys is not null"), texts_of, edits, **sizes).withColumn("near", F.lit(True))
     loses = stage(classes.select("h", "first", "n").join(near, "h", "left").withColumn("near", F.coalesce("near", F.lit(False)))
                   .filter("near or n > 1").select("h", "first", "near"), "loses")
     place = F.struct(*FIRST)

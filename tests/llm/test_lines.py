@@ -87,10 +87,11 @@ def test_crowded_keys_are_cut(docs_of, monkeypatch):
     met, meetings = [], lines._meetings
     monkeypatch.setattr(lines, "_meetings", lambda *a: (met.append(x := meetings(*a)), x)[1])
     near = {i for i, t in enumerate(tails) if any(distance(t, u) <= 2 for u in tails[:i])}
-    for most in (600, 40):         # all levels of segments; blocks after the second
+    # Blocks at once; blocks after two levels of segments; after all levels.
+    for meet, most in ((512, 600), (8, 40), (8, 600)):
         monkeypatch.setattr(lines, "MOST_KEYS", most)
-        got = {r.doc_id for r in lines.dedup_lines(docs_of(rows)).collect() if r.n_removed}
-        assert got == near
+        rows_ = lines._rows(docs_of(rows), "doc_id", "text")
+        assert {r.doc for r in lines.removals(rows_, meet=meet, block=16).collect()} == near
     pairs = met[0][0].count()
     assert 0 < pairs < 4 * len(tails)
 
@@ -128,6 +129,17 @@ def test_trimmed_pairs_keep_their_distance(spark):
             assert len(b) - len(a) == len(r.y) - len(r.x) and len(a) < len(r.x) / 4
 
 
+def test_sketches_differ_little(spark):
+    rng = random.Random(8)
+    pairs = [("", "a"), ("a", "ab"), ("é" * 64, "é" * 65), ("é" * 65, "é" * 66)]
+    for _ in range(120):
+        a = "".join(rng.choice("abcdefgé ") for _ in range(rng.randrange(0, 200)))
+        pairs.append((a, mutated(rng, a, 2)))
+    df = spark.createDataFrame(pairs, "x string, y string")
+    found = df.select(F.bit_count(lines.sketch(F.col("x")).bitwiseXOR(lines.sketch(F.col("y")))).alias("n")).collect()
+    assert all(r.n <= 8 for r in found) and any(r.n for r in found)
+
+
 def test_query_removes_two_edits_and_short_equal_lines(spark, docs_of, tmp_path):
     from odonto.llm import queries
     line = "all rights are reserved by the publisher, page 17 of the yearly report"
