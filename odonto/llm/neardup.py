@@ -35,8 +35,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from odonto.llm.bitmaps import key_bitmap
 from odonto.llm.common import ship_by_value, stage, task_count
-from odonto.llm.shingles import WordHashes, key_filter, mix64, windows
+from odonto.llm.shingles import WordHashes, has_keys, key_filter, mix64, windows
 
 ship_by_value(__name__)
 
@@ -141,7 +142,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         import zstandard
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for pdf in batches:
-            pdf = pdf[common.value.has(pdf["node"].to_numpy().view(np.uint64))]
+            pdf = pdf[has_keys(common.value, pdf["node"].to_numpy().view(np.uint64))]
             yield pd.DataFrame({"node": pdf["node"], "data": [squeeze(t) for t in pdf["text"]]})
 
     found = (docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
@@ -331,34 +332,28 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
                          F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def distinct_documents(docs: DataFrame, **options) -> DataFrame:
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each near-duplicate group, with the input's columns: that of
-    the smallest id. Rows that share that id stay once; rows with a null id
+    the smallest id. Rows equal in id and text are one document, of which one
+    row stays (the one with the least hash); rows that share an id but not the
+    text are documents of their own, numbered by a hash. Rows with a null id
     or without words stay as they are."""
-    found = stage(near_duplicates(docs, **options), "groups")
-    # Ids that go, and ids whose rows must be thinned to one, are few columns
-    # of integers; the texts stay in the scan unless their id is one of them.
-    drop = stage(found.filter("not kept").select(F.col("doc_id").alias("_id")).distinct(), "drop")
-    many = stage(found.filter("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id"), "many")
-    common = docs.sparkSession.sparkContext.broadcast((key_filter(drop, "_id"), key_filter(many, "_id")))
-
-    @F.pandas_udf("int")
-    def marks(doc: pd.Series) -> pd.Series:
-        """1: the id may go; 2: the id may have several rows."""
-        key = doc.fillna(0).to_numpy(np.int64).view(np.uint64)
-        some = doc.notna().to_numpy()
-        return pd.Series((common.value[0].has(key) & some).astype("int32") + 2 * (common.value[1].has(key) & some))
-
-    marked = docs.withColumn("_mark", marks(F.col("doc_id")))
-    clear = marked.filter("_mark = 0")
-    rest = marked.filter("_mark <> 0").join(drop, F.col("doc_id") == F.col("_id"), "left_anti")
-    one = rest.filter("_mark < 2")
-    # Of the rows that share an id, the one with the least text hash stays.
-    several = rest.filter("_mark >= 2").join(many, F.col("doc_id") == F.col("_id"), "left").withColumn("_key", F.xxhash64("text"))
-    single = several.filter("_id is null").drop("_id", "_key")
-    words = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")) != ""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    thinned = (several.filter(F.col("_id").isNotNull() & words).groupBy("_id").agg(F.min_by(row, "_key").alias("_row")).select("_row.*"))
-    blank = several.filter(F.col("_id").isNotNull() & ~words).drop("_id", "_key")
-    out = clear.unionByName(one).unionByName(single).unionByName(blank).drop("_mark")
-    return out.unionByName(thinned.select(*out.columns)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    ids = docs.filter(own.isNotNull()).select(own.alias("_id"), F.xxhash64(text).alias("_text"))
+    several = ids.groupBy("_id").agg(F.min("_text").alias("a"), F.max("_text").alias("b")).filter("a < b").select("_id")
+    unlike = key_bitmap(stage(several, "several"), "_id")(own)
+    marked = docs.withColumn("_node", F.when(own.isNotNull() & unlike, F.xxhash64(own, text)).otherwise(own))
+    found = stage(near_duplicates(marked, id_col="_node", text_col=text_col, **options), "groups")
+    # Nodes that go, and nodes of which several equal rows stay, are columns of
+    # integers; a text stays in the scan unless its node may be one of them.
+    gone = stage(found.filter("not kept").select(F.col("doc_id").alias("_node")).distinct(), "gone")
+    again = stage(found.filter("doc_id is not null and n_shingles > 0 and kept").groupBy(F.col("doc_id").alias("_node")).count()
+                  .filter("count > 1").select("_node"), "again")
+    node = F.coalesce("_node", F.lit(0).cast("long"))
+    seen = F.col("_node").isNotNull() & (key_bitmap(gone, "_node")(node) | key_bitmap(again, "_node")(node))
+    rest = marked.filter(seen).join(gone, "_node", "left_anti")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    once = (rest.join(again, "_node", "left_semi").groupBy("_node")
+            .agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("_row")).select("_row.*"))
+    single = rest.join(again, "_node", "left_anti").select(*cols)
+    return marked.filter(~seen).select(*cols).unionByName(single).unionByName(once)

@@ -30,7 +30,6 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +37,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from odonto.llm.bitmaps import key_bitmap
 from odonto.llm.common import ship_by_value, stage
-from odonto.llm.shingles import KeyFilter, WordHashes, key_filter, sliding_argmin, windows
+from odonto.llm.shingles import KeyFilter, WordHashes, has_keys, key_filter, sliding_argmin, windows
 
 ship_by_value(__name__)
 
@@ -48,39 +48,39 @@ SEED_WORDS = 5
 LAST_ID = (1 << 63) - 1
 #: Words hashed at once in a task.
 BATCH_WORDS = 1 << 18
-#: A window's start carries 16 bits of its text's hash above this bit, which
-#: tells rows that share an id apart.
-VERSION_BIT = 40
 
 
 def _ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("long").alias("doc"),
-                       F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-
-
-def version(text: bytes) -> int:
-    return (zlib.crc32(text) & 0xFFFF) << VERSION_BIT
-
-
-def hashed(batches: Iterator[pd.DataFrame], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(codes, doc, version and position, is a window's start) of the words of
+    """(doc, version, text): version tells rows that share an id apart, by a
+    64-bit hash of their text; it is 0 for ids of one row (and null in no
+    row), so that it takes no room."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    d = docs.select(F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("long").alias("doc"), text.alias("text"))
+    several = stage(d.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc"), "shared-ids")
+    # The bitmap may let other ids pass too: any version does for them.
+    shared = key_bitmap(several, "doc")(F.col("doc"))
+    return d.select("doc", F.when(shared, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("version"), "text")
+
+
+def hashed(batches: Iterator[pd.DataFrame], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes, doc, version, position, is a window's start) of the words of
     many texts laid end to end."""
     of = WordHashes().of_words
 
     def joined(ids: list[tuple[int, int]], parts: list[np.ndarray]):
         n = np.array([len(p) for p in parts])
-        doc, mark = np.repeat(np.array(ids, np.int64), n, axis=0).T
+        doc, version = np.repeat(np.array(ids, np.int64), n, axis=0).T
         end = np.repeat(np.cumsum(n), n)
         codes = np.concatenate(parts)
         at = np.arange(len(codes))
-        return codes, doc, mark + at - np.repeat(np.cumsum(n) - n, n), at + length <= end
+        return codes, doc, version, at - np.repeat(np.cumsum(n) - n, n), at + length <= end
 
     for pdf in batches:
         ids, parts, words = [], [], 0
-        for i, text in zip(pdf["doc"], pdf["text"], strict=True):
+        for i, v, text in zip(pdf["doc"], pdf["version"], pdf["text"], strict=True):
             w = text.split()
             if len(w) >= length:
-                ids.append((i, version(text)))
+                ids.append((i, v))
                 parts.append(of(w))
                 words += len(w)
             if words >= BATCH_WORDS:
@@ -100,7 +100,7 @@ def shared_anchors(docs: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS
     """(anchor): anchors in two documents or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for codes, doc, _, start in hashed(batches, length):
+        for codes, doc, _, _, start in hashed(batches, length):
             seeds, at = anchors(codes, length, seed)
             at = at[start[:len(at)]]
             at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
@@ -116,19 +116,20 @@ def shared_anchors(docs: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS
 
 
 def candidate_windows(docs: DataFrame, shared: KeyFilter, length: int = LENGTH, seed: int = SEED_WORDS) -> DataFrame:
-    """(window, doc, start) of the windows on anchors that pass the filter."""
+    """(window, doc, version, start) of the windows on anchors that pass the
+    filter."""
     common = docs.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         passing = common.value
-        for codes, doc, position, start in hashed(batches, length):
+        for codes, doc, version, position, start in hashed(batches, length):
             seeds, at = anchors(codes, length, seed)
             begin = np.flatnonzero(start[:len(at)])
-            begin = begin[passing.has(seeds[at[begin]])]
+            begin = begin[has_keys(passing, seeds[at[begin]])]
             yield pd.DataFrame({"window": windows(codes, length)[begin].view(np.int64), "doc": doc[begin],
-                                "start": position[begin]})
+                                "version": version[begin], "start": position[begin].astype(np.int32)})
 
-    return docs.mapInPandas(run, "window long, doc long, start long")
+    return docs.mapInPandas(run, "window long, doc long, version long, start int")
 
 
 def covered(n_words: int, starts: np.ndarray, length: int) -> np.ndarray:
@@ -146,12 +147,12 @@ def passages(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def repeat_starts(docs: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS) -> DataFrame:
-    """(doc, starts): where the repeated windows of a document begin."""
+    """(doc, version, starts): where the repeated windows of a document begin."""
     shared = stage(shared_anchors(docs, length, seed), "anchors")
     found = stage(candidate_windows(docs, key_filter(shared, "anchor"), length, seed), "windows")
     first = found.groupBy("window").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     later = found.join(first.select("window", "first"), "window").filter("doc > first")
-    return later.groupBy("doc").agg(F.array_distinct(F.collect_list("start")).alias("starts"))
+    return later.groupBy("doc", "version").agg(F.array_distinct(F.collect_list("start")).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS, id_col: str = "doc_id",
@@ -164,7 +165,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS
 
     @F.pandas_udf("boolean")
     def may_repeat(doc: pd.Series) -> pd.Series:
-        return pd.Series(repeating.value.has(doc.to_numpy().view(np.uint64)))
+        return pd.Series(has_keys(repeating.value, doc.to_numpy().view(np.uint64)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -173,9 +174,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS
                 words = text.split()
                 n, gone = len(words), []
                 if at is not None and len(at):
-                    at = np.asarray(at, np.int64)
-                    at = at[at >> VERSION_BIT == version(text) >> VERSION_BIT]
-                    mask = covered(n, at & ((1 << VERSION_BIT) - 1), length)
+                    mask = covered(n, np.asarray(at, np.int64), length)
                     gone = passages(mask)
                     words = [w for w, m in zip(words, mask, strict=True) if not m]
                 kept = b" ".join(words)
@@ -184,8 +183,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS
             yield pd.DataFrame(out, columns=["doc", "n_words", "n_removed", "kept_sha256", "passages", "kept_text"][:6 if with_text else 5])
 
     marked = d.withColumn("_may", may_repeat("doc"))
-    some = marked.filter("_may").select("doc", "text").join(starts, "doc", "left").select("doc", "text", "starts")
-    none = marked.filter("not _may").select("doc", "text", F.lit(None).cast("array<long>").alias("starts"))
+    some = marked.filter("_may").select("doc", "version", "text").join(starts, ["doc", "version"], "left").select("doc", "text", "starts")
+    none = marked.filter("not _may").select("doc", "text", F.lit(None).cast("array<int>").alias("starts"))
     found = some.unionByName(none).mapInPandas(run, "doc long, n_words long, n_removed long, kept_sha256 string, passages array<array<int>>"
                                                + (", kept_text string" if with_text else ""))
     doc_id: Column = F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id")

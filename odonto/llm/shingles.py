@@ -65,18 +65,17 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-class KeyFilter:
-    """Bits of 64-bit keys: says no only to keys it was not built from."""
+#: Bits of 64-bit keys in words of 64, and how many bits there are. Plain
+#: arrays, so that a worker reads a broadcast one without this package.
+KeyFilter = tuple[np.ndarray, int]
 
-    def __init__(self, words: np.ndarray, bits: int):
-        self.words, self.bits = words, bits
 
-    def __contains__(self, key: int) -> bool:
-        return bool(self.has(np.array([key], np.uint64))[0])
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        at = mix64(keys) & np.uint64(self.bits - 1)
-        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+def has_keys(found: KeyFilter, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in the filter: false only for keys that it was not
+    built from."""
+    words, bits = found
+    at = mix64(keys) & np.uint64(bits - 1)
+    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
 def key_filter(keys: DataFrame, column: str, per_key: int = 32, most_bits: int = 1 << 30) -> KeyFilter:
@@ -102,4 +101,4 @@ def key_filter(keys: DataFrame, column: str, per_key: int = 32, most_bits: int =
              .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
     words = np.zeros(bits >> 6, np.uint64)
     words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return KeyFilter(words, bits)
+    return words, bits

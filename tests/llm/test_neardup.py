@@ -1,10 +1,15 @@
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 
 from odonto.llm import neardup
 from odonto.llm.shingles import WordHashes
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def brute(rows):
     def grams(text):
@@ -86,3 +91,39 @@ def test_distinct_documents(docs_of):
     out = neardup.distinct_documents(df)
     assert out.columns == df.columns
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in out.collect()) == [-1, 1, 4, 5]
+
+
+def test_unlike_texts_of_one_id_all_stay(docs_of):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    df = docs_of([(4, a), (4, b), (4, b), (5, b + " x"), (6, a), (7, "no words of the others in this one"), (None, a)])
+    out = neardup.distinct_documents(df, percent=80)
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(got) == 4 and (None, a) in got and (7, "no words of the others in this one") in got
+    assert sum(t.startswith("a0") for _, t in got) == 2 and sum(t.startswith("b0") for _, t in got) == 1
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Operators 4, 6, 11, 12 and 13 in a session whose workers can't import it."""
+    code = f"""
+import sys; sys.path.insert(0, {ROOT!r})
+from odonto.session import build_session
+from odonto.llm import audit, neardup, radix, repeats, spelling
+from pyspark.sql import functions as F
+spark = build_session("local[2]", 2, extra={{"spark.checkpoint.dir": {str(tmp_path / "ckpt")!r}}})
+def found(_):
+    import importlib.util
+    return importlib.util.find_spec("odonto") is not None
+assert not any(spark.sparkContext.parallelize([1, 2], 2).map(found).collect())
+text = " ".join(f"running{{chr(97 + i)}}" for i in range(20))
+d = spark.createDataFrame([(1, text, "en"), (2, text, "en"), (3, text + " " + text, None)], "doc_id long, text string, lang string")
+labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+assert {{r.doc_id: r.n_removed for r in repeats.remove_repeats(d).collect()}} == {{1: 0, 2: 20, 3: 40}}
+assert sum(r.kept for r in neardup.near_duplicates(d).collect()) == 2
+assert neardup.distinct_documents(d).count() == 2 and radix.distinct_documents(d).count() == 2
+assert spelling.variants(spelling.vocabulary(d, 2, drop=0)).count() == 20
+assert audit.audit(d, labels).count() == 1200
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert out.returncode == 0, out.stderr[-3000:]

@@ -62,3 +62,11 @@ def test_sliding_argmin():
     x = np.array([5, 3, 3, 9, 1, 1, 7], np.uint64)
     assert sliding_argmin(x, 3).tolist() == [1, 1, 4, 4, 4]
     assert sliding_argmin(x, 9).tolist() == []
+
+
+def test_many_unlike_texts_under_one_id(docs_of):
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [" ".join([f"w{rng.randrange(10 ** 6)}" for _ in range(rng.choice((1, 90)))] + [passage] * rng.choice((0, 1, 5))) for _ in range(500)]
+    rows = [(rng.choice((None, None, 3, 4)), t) for t in texts]
+    assert result(docs_of(rows)) == brute(rows, 13)
