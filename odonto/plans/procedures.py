@@ -10,25 +10,26 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from odonto.functions.exprs import substring_pattern
 
-SEARCH_COLS = ["patient_id", "patient_code", "name", "phone", "email", "gender"]
-REPORT_COLS = ["appointment_code", "patient_name", "patient_phone", "dentist_name", "appointment_time", "status"]
-
 
 def search_patient(t, text: str, prefix: str = "") -> DataFrame:
-    """Q3 by SQL: live patients with any of three texts like the parameter."""
+    """Q3 by SQL: live patients with code, name or phone like the parameter."""
     t.register_views(prefix)
-    hits = t.spark.sql(f"FROM {prefix}patients SELECT * WHERE NOT is_deleted AND "
-                       "exists(array(patient_code, name, phone), x -> x ILIKE :pattern)", args={"pattern": substring_pattern(text)})
-    return hits.select(*SEARCH_COLS).orderBy("name", "patient_id")
+    return t.spark.sql(f"""
+        SELECT patient_id, patient_code, name, phone, email, gender
+        FROM {prefix}patients
+        WHERE is_deleted = FALSE AND (patient_code ILIKE :pattern OR name ILIKE :pattern OR phone ILIKE :pattern)
+        ORDER BY name, patient_id""", args={"pattern": substring_pattern(text)})
 
 
 def daily_appointment_report(t, date, prefix: str = "") -> DataFrame:
     """R7 by SQL: the day's appointments by time (view over view)."""
     t.register_views(prefix)
     day = dt.date.fromisoformat(date) if isinstance(date, str) else date
-    rows = t.spark.sql(f"FROM {prefix}appointment_details_view SELECT * WHERE appointment_date BETWEEN :day AND :day", args={"day": day})
-    return rows.select(*[F.col(c) for c in REPORT_COLS]).orderBy("appointment_time", "appointment_code")
+    return t.spark.sql(f"""
+        SELECT appointment_code, patient_name, patient_phone, dentist_name, appointment_time, status
+        FROM {prefix}appointment_details_view
+        WHERE appointment_date = :day
+        ORDER BY appointment_time, appointment_code""", args={"day": day})

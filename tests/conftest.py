@@ -1,4 +1,3 @@
-import datetime as dt
 import os
 import sys
 import tempfile
@@ -7,8 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF001 = "/root/testdata/sf0.001"
-AS_OF = dt.date(2026, 12, 2)   # a Wednesday
+from clinic_constants import AS_OF, SF001  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import AS_OF
+from clinic_constants import AS_OF
 from odonto.functions.exprs import age, code
 from odonto.plans import audits, lists, views
 from odonto.plans.jobs import add_payments, book_appointments

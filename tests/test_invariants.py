@@ -1,7 +1,7 @@
 """Invariants of the jobs, feeds and streams on the driver's sf0.001 tables."""
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from clinic_constants import SF001
 from odonto.plans import audits, feeds, jobs
 from odonto.sources import requests as rq
 from odonto.sources.io import persist_snapshot

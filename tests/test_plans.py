@@ -1,7 +1,7 @@
 """Physical-plan properties that matter at scale."""
 import pytest
 
-from conftest import SF001
+from clinic_constants import SF001
 
 
 def plan(df):

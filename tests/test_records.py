@@ -3,7 +3,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import AS_OF
+from clinic_constants import AS_OF
 from odonto.plans import audits, feeds, records
 
 APPT = ("seq long, appointment_id string, patient_id string, has_patient_id boolean, dentist_id string, "

@@ -3,7 +3,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from conftest import AS_OF
+from clinic_constants import AS_OF
 from odonto.plans import lists, reports, views
 
 

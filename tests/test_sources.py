@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from conftest import AS_OF
+from clinic_constants import AS_OF
 from odonto.plans import lists, procedures
 from odonto.sources import io
 from odonto.sources.tables import Clinic
