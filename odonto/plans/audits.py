@@ -51,10 +51,17 @@ def unique(t, only=None) -> DataFrame:
     for table, cols in UNIQUE_KEYS:
         if only and (table, cols) not in only:
             continue
-        # Texts that differ in case only are the same key, as under the reference's collation.
+        # Texts that differ in case only are the same key, as under the
+        # reference's collation; the key is told by its least spelling.
         text = {f.name for f in t[table].schema.fields if f.dataType.typeName() == "string"}
-        g = (t[table].groupBy(*[(F.lower(c) if c in text else F.col(c)).alias(f"_{c}") for c in cols])
-             .agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in cols]).filter(F.col("_n") > 1))
+        keys = [(F.lower(c) if c in text else F.col(c)).alias(f"_{c}") for c in cols]
+        g = t[table].groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+        if text & set(cols):
+            # The least spelling, looked up for the keys that are held twice only.
+            rows = t[table].select(*keys, *cols).join(g, [f"_{c}" for c in cols])
+            g = rows.groupBy(*[f"_{c}" for c in cols]).agg(F.max("_n").alias("_n"), *[F.min(c).alias(c) for c in cols])
+        else:
+            g = g.withColumnsRenamed({f"_{c}": c for c in cols})
         key = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
         out.append(_rows(g, table, "UNIQUE(" + ",".join(cols) + ")", key, F.col("_n")))
     return _union(out)

@@ -112,7 +112,8 @@ def book_appointments(t, req: DataFrame, as_of, strict: bool = True, clinic_id:
         date_v.alias("date_text"), time_v.alias("appointment_time"),
         optional_text("problem_description", 500).alias("problem_description"),
         pre_code.alias("_pre_code"), pre_reason.alias("_pre_reason"))
-    r = r.withColumn("appointment_date", F.col("date_text").try_cast("date"))
+    # Read the batch once: every probe below starts from the parsed requests.
+    r = stage(r.withColumn("appointment_date", F.col("date_text").try_cast("date")))
     live = t.patients.filter(~F.col("is_deleted"))
     active = t.dentists.filter(F.col("is_active"))
     r = _exists(r, "patient_id", live, "patient_id", "_patient_ok")
@@ -197,6 +198,7 @@ def create_bills(t, req: DataFrame, as_of) -> JobResult:
         F.when(F.col("_has_tid") & pos_id(F.col("_tid_n")), F.col("_tid_n").cast("long")).alias("treatment_id"),
         F.col("_sub_m").alias("subtotal"), F.col("_dis_m").alias("discount_amount"),
         pre_code.alias("_pre_code"), pre_reason.alias("_pre_reason"))
+    r = stage(r)
     r = _exists(r, "patient_id", t.patients.filter(~F.col("is_deleted")), "patient_id", "_patient_ok")
     r = _exists(r, "treatment_id", t.treatments, "treatment_id", "_treat_ok")
     r = _exists(r, "created_by_user_id", t.users, "user_id", "_user_ok")
@@ -242,32 +244,32 @@ def add_payments(t, req: DataFrame, as_of) -> JobResult:
     payments update their bill's status (T7) and add PAYMENT_CREATED rows.
     """
     ts = _ts(as_of)
-    acc = billing_access(t, req).withColumn("_uid", caller_id())
-    acc = _exists(acc, "_uid", t.users, "user_id", "_user_ok")
     r_bid, bid = positive_id_rule("bill_id", "bill_id")
     r_amt, amt_n = non_negative_number("paid_amount", "paid_amount")
     r_method, method = required_text_default("payment_method", "CASH", "payment_method", 20)
-    pre = [
-        Rule(F.col("billing_allowed"), 403, F.col("access_reason")),
-        r_bid, r_amt,
-        Rule(amt_n > 0, 400, "paid_amount must be greater than zero"),
-    ]
-    pre_code, pre_reason = first_failure(pre)
+    body_code, body_reason = first_failure([r_bid, r_amt, Rule(amt_n > 0, 400, "paid_amount must be greater than zero")])
     # Read only when the insert is built, after the balance check: these
     # refuse the payment without consuming any balance.
-    ins_code, ins_reason = first_failure([
+    row_code, row_reason = first_failure([
         r_method,
         Rule(to_money(F.col("paid_amount")).isNotNull(), 500, "Out of range value for column 'paid_amount'"),
         Rule(F.upper(method).isin(PAYMENT_METHODS), 500, "Data truncated for column 'payment_method'"),
-        Rule(F.col("_user_ok"), 500, MSG_FK),
     ])
-    r = acc.select(
-        "seq", caller_id().alias("received_by_user_id"), bid.alias("bill_id"),
+    # Read the batch once: every probe below starts from the parsed requests.
+    r = stage(req.select(
+        "seq", "caller_id", "caller_role", caller_id().alias("received_by_user_id"), bid.alias("bill_id"),
         to_money(F.col("paid_amount")).alias("paid_amount"),
         _exact(F.col("paid_amount")).alias("amount_raw"),
         F.upper(method).alias("payment_method"), optional_text("notes", 255).alias("notes"),
-        pre_code.alias("_pre_code"), pre_reason.alias("_pre_reason"),
-        ins_code.alias("_ins_code"), ins_reason.alias("_ins_reason"))
+        body_code.alias("_body_code"), body_reason.alias("_body_reason"),
+        row_code.alias("_row_code"), row_reason.alias("_row_reason")))
+    r = _exists(billing_access(t, r), "received_by_user_id", t.users, "user_id", "_user_ok")
+    pre_code, pre_reason = first_failure([Rule(F.col("billing_allowed"), 403, F.col("access_reason"))])
+    ins_code, ins_reason = first_failure([Rule(F.col("_user_ok"), 500, MSG_FK)])
+    r = r.select(
+        "seq", "received_by_user_id", "bill_id", "paid_amount", "amount_raw", "payment_method", "notes",
+        F.coalesce(pre_code, "_body_code").alias("_pre_code"), F.when(pre_code.isNotNull(), pre_reason).otherwise(F.col("_body_reason")).alias("_pre_reason"),
+        F.coalesce("_row_code", ins_code).alias("_ins_code"), F.when(F.col("_row_code").isNotNull(), F.col("_row_reason")).otherwise(ins_reason).alias("_ins_reason"))
     # One join gives both the bill's existence and its balance before the batch.
     bs = billing_summary(t).select("bill_id", F.col("remaining_balance").alias("remaining"))
     r = r.join(bs, "bill_id", "left").withColumn("_bill_ok", F.col("remaining").isNotNull())

@@ -33,11 +33,15 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def payment_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Payment change files (Parquet, payments schema) under ``path`` as a stream."""
+def payment_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None,
+                   bytes_per_trigger: int | None = None) -> DataFrame:
+    """Payment change files (Parquet, payments schema) under ``path`` as a
+    stream; a trigger takes as much as one of the two bounds allows, or all."""
     r = spark.readStream.schema(SCHEMAS["payments"])
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
+    elif bytes_per_trigger:
+        r = r.option("maxBytesPerTrigger", bytes_per_trigger)
     return r.parquet(path)
 
 
@@ -48,7 +52,7 @@ def running_totals(payments: DataFrame) -> DataFrame:
 
 
 def start_bill_totals(spark: SparkSession, source_path: str, sink_path: str, checkpoint: str,
-                      max_files_per_trigger: int | None = None, available_now: bool = True):
+                      available_now: bool = True, **per_trigger: int | None):
     """Start T8: stream running totals into an append-only update log at ``sink_path``."""
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") == "":
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -56,7 +60,7 @@ def start_bill_totals(spark: SparkSession, source_path: str, sink_path: str, che
     def write_batch(df: DataFrame, batch_id: int):
         df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(sink_path)
 
-    q = (running_totals(payment_stream(spark, source_path, max_files_per_trigger))
+    q = (running_totals(payment_stream(spark, source_path, **per_trigger))
          .writeStream.outputMode("update").option("checkpointLocation", checkpoint)
          .foreachBatch(write_batch))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
@@ -85,17 +89,18 @@ def write_changes(payments: DataFrame, path: str) -> None:
     payments.withColumn("change_year", F.year("payment_date")).write.partitionBy("change_year").parquet(path)
 
 
-def stream_bill_status(t, files_per_trigger: int = 4) -> DataFrame:
+def stream_bill_status(t, **per_trigger: int | None) -> DataFrame:
     """T8 end to end over the snapshot's payments.
 
     The payments are written as change files in the shared checkpoint folder,
-    streamed ``files_per_trigger`` files at a time until caught up, and the
-    final per-bill totals give each bill's status.
+    streamed until caught up (in one trigger, unless ``files_per_trigger`` or
+    ``bytes_per_trigger`` bounds it), and the final per-bill totals give each
+    bill's status.
     """
     spark = t.spark
     src, sink, ckpt = _scratch(spark, "pay-src"), _scratch(spark, "bill-totals"), _scratch(spark, "bill-ckpt")
     write_changes(t.payments, src)
-    q = start_bill_totals(spark, src, sink, ckpt, max_files_per_trigger=files_per_trigger)
+    q = start_bill_totals(spark, src, sink, ckpt, **per_trigger)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
@@ -111,13 +116,13 @@ def payment_audit_stream(payments: DataFrame) -> DataFrame:
         F.col("received_by_user_id").alias("user_id"), F.col("created_at"))
 
 
-def stream_payment_audit(t, files_per_trigger: int = 4) -> DataFrame:
+def stream_payment_audit(t, **per_trigger: int | None) -> DataFrame:
     """T9 end to end: stream the snapshot's payments as change files into an
     audit table in the shared folder and read it back."""
     spark = t.spark
     src, sink, ckpt = _scratch(spark, "pay-src"), _scratch(spark, "audit-sink"), _scratch(spark, "audit-ckpt")
     write_changes(t.payments, src)
-    q = (payment_audit_stream(payment_stream(spark, src, files_per_trigger)).writeStream.format("parquet")
+    q = (payment_audit_stream(payment_stream(spark, src, **per_trigger)).writeStream.format("parquet")
          .option("path", sink).option("checkpointLocation", ckpt).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
