@@ -303,8 +303,10 @@ def near_lines(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], e
     entries = stage(keyed.filter(key_bitmap(live, "key")(F.col("key"))).join(live, "key", "left_semi")
                     .groupBy("key", "h", "first", "m").agg(F.bool_or("own").alias("own")).withColumn("open", F.lit(True)), "entries")
     pairs, many = _meetings(entries, edits, crowd)
-    wanted = pairs.select(F.col("early").alias("h")).unionByName(pairs.select(F.col("late").alias("h"))).unionByName(many.select("h")).distinct()
-    texts = stage(texts_of(stage(classes.select("h", "first", "m").join(wanted, "h", "left_semi"), "wanted")), "lines")
+    met = pairs.select(F.col("early").alias("h")).unionByName(pairs.select(F.col("late").alias("h"))).unionByName(many.select("h"))
+    wanted = stage(met.distinct(), "met")
+    wanted = classes.select("h", "first", "m").filter(key_bitmap(wanted, "h")(F.col("h"))).join(wanted, "h", "left_semi")
+    texts = stage(texts_of(stage(wanted, "wanted")), "lines")
     near, levels = stage(_near(pairs, texts, edits), "near"), _levels(edits)[1:]
     while not many.isEmpty():
         undecided = many.join(near.withColumn("is_near", F.lit(True)), "h", "left").withColumn("open", F.col("open") & F.col("is_near").isNull()).drop("is_near")
