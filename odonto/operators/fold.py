@@ -9,11 +9,17 @@ Plan:
   1. One grouped pass (map-side partial sums) finds the bills whose whole
      batch fits their balance; every payment of those bills is accepted with
      no ordering work at all. That is the usual case.
-  2. The remaining (contended) bills are hash-partitioned by bill and sorted
-     by (bill, seq) inside each partition; a ``mapInPandas`` pass walks the
-     sorted stream in Arrow batches carrying only (bill, balance) between
-     rows, so no bill's payments are ever gathered in memory, however many
-     there are.
+  2. The other (contended) bills of at most ``BLOCK`` payments are dealt by
+     bill, sorted by (bill, seq) and walked as a stream.
+  3. Payments of larger bills are sorted by (bill, seq) over all tasks, so a
+     bill spans several, and cut into blocks of ``BLOCK``. A block knows what it needs at most and
+     its least amount.
+  4. One row per block then meets the others of its bill, in order, carrying
+     only (bill, balance). A block that fits the balance is accepted whole, one
+     whose least amount exceeds it is refused whole. Only the others are
+     walked, as arrays: what exceeds the balance now is refused at any later
+     turn too, and the rest is accepted up to the first payment that no longer
+     fits.
 Amounts travel as integer cents so the fold is exact.
 """
 
@@ -28,11 +34,69 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The function below runs in Python workers. Ship it by value, so a worker
+from odonto.session import stage
+
+# The functions below run in Python workers. Ship them by value, so a worker
 # does not need this package on its path (numpy and pandas are enough).
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+BLOCK = 4096
+BLOCK_SCHEMA = ("bill_id long, first_seq long, remaining_cents long, most long, least long, seq array<long>, raw_key array<long>, "
+                "cents array<long>, method_ok array<boolean>")
 FOLD_SCHEMA = "seq long, accepted boolean, over_balance boolean"
+BLOCKS_SCHEMA = "seq array<long>, accepted array<boolean>, over_balance array<boolean>"
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of one bill of payments sorted by (bill, seq), a row per block."""
+    for pdf in batches:
+        bills = pdf["bill_id"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, bills[1:] != bills[:-1]]) if len(pdf) else np.zeros(0, int)
+        rows = []
+        for lo, hi in zip(cuts, np.r_[cuts[1:], len(pdf)], strict=True):
+            for i in range(lo, hi, BLOCK):
+                part = pdf.iloc[i:min(i + BLOCK, hi)]
+                raw, cents = part["raw_key"].to_numpy(), part["amount_cents"].to_numpy()
+                # A raw key is twice the cents, plus 1 for a part of a cent.
+                most = np.maximum((raw + 1) // 2, cents).sum()
+                rows.append((bills[i], part["seq"].iloc[0], part["remaining_cents"].iloc[0], most, raw.min(), part["seq"].to_numpy(), raw,
+                             cents, part["method_ok"].to_numpy()))
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
+
+
+def _walk(raw: np.ndarray, cents: np.ndarray, ok: np.ndarray, left: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(accepted, over the balance, balance left) of payments in order."""
+    accepted, over = np.zeros(len(raw), bool), np.ones(len(raw), bool)
+    at = np.flatnonzero(raw <= 2 * left)
+    while len(at):
+        spent = np.where(ok[at], cents[at], 0)
+        fits = raw[at] <= 2 * (left - (np.cumsum(spent) - spent))
+        k = len(at) if fits.all() else int(fits.argmin())
+        over[at[:k]], accepted[at[:k]] = False, ok[at[:k]]
+        left -= int(spent[:k].sum())
+        at = at[k + 1:]
+        at = at[raw[at] <= 2 * left]
+    return accepted, over, left
+
+
+def _fold_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bill, left = None, 0
+    for pdf in batches:
+        rows = []
+        for b, start, most, least, seq, raw, cents, ok in zip(*(pdf[c] for c in (
+                "bill_id", "remaining_cents", "most", "least", "seq", "raw_key", "cents", "method_ok")), strict=True):
+            if b != bill:
+                bill, left = b, int(start)
+            ok = np.asarray(ok, bool)
+            if most <= left:
+                left -= int(np.asarray(cents)[ok].sum())
+                rows.append((seq, ok, np.zeros(len(ok), bool)))
+            elif least > 2 * left:
+                rows.append((seq, np.zeros(len(ok), bool), np.ones(len(ok), bool)))
+            else:
+                accepted, over, left = _walk(np.asarray(raw), np.asarray(cents), ok, left)
+                rows.append((seq, accepted, over))
+        yield pd.DataFrame(rows, columns=["seq", "accepted", "over_balance"])
 
 
 def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,13 +149,22 @@ def fold_payments(cands: DataFrame, balances: DataFrame | None = None) -> DataFr
     need = F.greatest(F.ceil(F.col("amount_raw") * 100).cast("long"), F.col("amount_cents"))
     per_bill = c.groupBy("bill_id").agg(F.sum(need).alias("_need"),
                                         F.min(F.col("method_ok").cast("int")).alias("_all_ok"),
-                                        F.first("remaining_cents").alias("_rem"))
-    easy = per_bill.filter((F.col("_all_ok") == 1) & (F.col("_need") <= F.col("_rem"))).select("bill_id")
-
-    fast = c.join(easy, "bill_id", "left_semi").select(
+                                        F.first("remaining_cents").alias("_rem"), F.count(F.lit(1)).alias("_n"))
+    hard = per_bill.filter((F.col("_all_ok") == 0) | (F.col("_need") > F.col("_rem"))).select("bill_id", "_n")
+    fast = c.join(hard, "bill_id", "left_anti").select(
         "seq", F.lit(True).alias("accepted"), F.lit(False).alias("over_balance"))
-    slow_in = (c.join(easy, "bill_id", "left_anti")
-               .select("bill_id", "seq", "raw_key", "amount_cents", "method_ok", "remaining_cents")
-               .repartition("bill_id").sortWithinPartitions("bill_id", "seq"))
-    slow = slow_in.mapInPandas(_fold_batches, FOLD_SCHEMA)
+
+    def contended(bills: DataFrame) -> DataFrame:
+        return (c.join(bills, "bill_id", "left_semi")
+                .select("bill_id", "seq", "raw_key", "amount_cents", "method_ok", "remaining_cents"))
+
+    slow = (contended(hard.filter(F.col("_n") <= BLOCK)).repartition("bill_id").sortWithinPartitions("bill_id", "seq")
+            .mapInPandas(_fold_batches, FOLD_SCHEMA))
+    large = hard.filter(F.col("_n") > BLOCK)
+    if not large.isEmpty():
+        # Staged, as sorting by range reads its rows twice.
+        rows = stage(contended(large)).repartitionByRange("bill_id", "seq").sortWithinPartitions("bill_id", "seq")
+        blocks = rows.mapInPandas(_blocks, BLOCK_SCHEMA).repartition("bill_id").sortWithinPartitions("bill_id", "first_seq")
+        slow = slow.unionByName(blocks.mapInPandas(_fold_blocks, BLOCKS_SCHEMA)
+                                .select(F.explode(F.arrays_zip("seq", "accepted", "over_balance")).alias("x")).select("x.*"))
     return cands.join(fast.unionByName(slow).unionByName(never), "seq")
