@@ -13,6 +13,15 @@ MSG_SLOT_TAKEN = "This dentist already has an appointment in this slot"
 MSG_DUPLICATE = "Duplicate entry. This record already exists or the appointment slot is booked."
 
 
+def day_hours(t, clinic_id: int = 1) -> DataFrame:
+    """The clinic's timetable, one row per weekday (the lowest timing id)."""
+    return (t.clinic_timings.filter(F.col("clinic_id") == clinic_id)
+            .groupBy(F.col("day_of_week").alias("_dow"))
+            .agg(F.min_by(F.struct("opening_time", "closing_time", "is_closed"), "timing_id").alias("_t"))
+            .select("_dow", F.col("_t.opening_time").alias("_open"), F.col("_t.closing_time").alias("_close"),
+                    F.col("_t.is_closed").alias("_closed")))
+
+
 def with_clinic_hours(t, df: DataFrame, date_col: str, time_col: str, clinic_id: int = 1) -> DataFrame:
     """Add ``hours_ok`` and ``hours_reason`` for (date text, 'HH:mm:ss' time).
 
@@ -20,11 +29,7 @@ def with_clinic_hours(t, df: DataFrame, date_col: str, time_col: str, clinic_id:
     one row per weekday (the lowest timing id) so that it can't multiply
     requests; an unreadable date finds no weekday and so counts as closed. Opening hours are half-open: [opening, closing).
     """
-    ct = (t.clinic_timings.filter(F.col("clinic_id") == clinic_id)
-          .groupBy(F.col("day_of_week").alias("_dow"))
-          .agg(F.min_by(F.struct("opening_time", "closing_time", "is_closed"), "timing_id").alias("_t"))
-          .select("_dow", F.col("_t.opening_time").alias("_open"), F.col("_t.closing_time").alias("_close"),
-                  F.col("_t.is_closed").alias("_closed")))
+    ct = day_hours(t, clinic_id)
     d = df.withColumn("_dow", weekday_name(F.col(date_col).try_cast("date")))
     j = d.join(ct, "_dow", "left")
     tm = F.col(time_col)

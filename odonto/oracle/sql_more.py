@@ -817,3 +817,67 @@ SELECT clinic_id, CASE clinic_id WHEN 1 THEN (SELECT r_name FROM last) ELSE clin
        'Main Road' AS address, CASE clinic_id WHEN 1 THEN '0300-0000000' ELSE phone END AS phone,
        CASE clinic_id WHEN 1 THEN '923000000000' ELSE whatsapp_number END AS whatsapp_number
 FROM clinic"""
+
+
+def _chain(strict: bool) -> str:
+    """Appointment changes one by one. No request changes a dentist, so the
+    appointments of one dentist are walked by themselves, as a list of rows."""
+    live = "TRUE" if strict else "x.status <> 'CANCELLED'"
+    revived = "FALSE" if strict else "cur.status = 'CANCELLED'"
+    holds = "TRUE" if strict else "new_status <> 'CANCELLED'"
+    return f"""
+WITH RECURSIVE req AS (
+  SELECT event_id AS seq, (event_id * 7) % greatest((SELECT count(*) FROM events) // 3, 1) * 3 + 1 AS aid,
+         CASE WHEN event_type IN ('signup', 'purchase') THEN CAST(ts AS DATE) + 1 END AS to_date,
+         CASE WHEN event_type IN ('click', 'purchase') THEN strftime(ts, '%H:00:00') END AS to_time,
+         CASE event_type WHEN 'view' THEN 'CANCELLED' WHEN 'error' THEN 'BOOKED' END AS to_status,
+         event_type = 'view' AS cancel
+  FROM events),
+numbered AS (
+  SELECT req.*, a.dentist_id, row_number() OVER (PARTITION BY a.dentist_id ORDER BY seq) AS n
+  FROM req JOIN appointments a ON a.appointment_id = req.aid),
+hours AS (SELECT * FROM clinic_timings WHERE clinic_id = 1),
+walk AS (
+  SELECT dentist_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS aid, CAST(NULL AS VARCHAR) AS fail,
+         list({{'aid': appointment_id, 'day': appointment_date, 'at': appointment_time, 'status': status}}) AS held
+  FROM appointments GROUP BY dentist_id
+  UNION ALL
+  SELECT dentist_id, n, seq, aid, fail,
+         CASE WHEN fail IS NULL
+              THEN list_transform(held, lambda x: CASE WHEN x.aid = judged.aid
+                   THEN {{'aid': x.aid, 'day': judged.new_day, 'at': judged.new_at, 'status': judged.new_status}} ELSE x END)
+              ELSE held END AS held
+  FROM (
+    SELECT c.*, CASE
+        WHEN timed AND (h.opening_time IS NULL OR h.is_closed) THEN '400|Clinic is closed on the selected date'
+        WHEN timed AND (new_at < h.opening_time OR new_at >= h.closing_time)
+             THEN '400|Appointment time must be between ' || substr(h.opening_time, 1, 5) || ' and ' || substr(h.closing_time, 1, 5)
+        WHEN {holds} AND (timed OR {revived})
+             AND len(list_filter(held, lambda x: x.aid <> c.aid AND x.day = c.new_day AND x.at = c.new_at AND {live})) > 0
+             THEN '409|Duplicate entry. This record already exists or the appointment slot is booked.'
+      END AS fail
+    FROM (
+      SELECT b.*, coalesce(to_date, cur.day) AS new_day, coalesce(to_time, cur.at) AS new_at,
+             coalesce(to_status, cur.status) AS new_status, to_date IS NOT NULL OR to_time IS NOT NULL AS timed
+      FROM (
+        SELECT w.dentist_id, q.n, q.seq, q.aid, q.to_date, q.to_time, q.to_status, w.held,
+               list_filter(w.held, lambda x: x.aid = q.aid)[1] AS cur
+        FROM walk w JOIN numbered q ON q.dentist_id = w.dentist_id AND q.n = w.n + 1) b) c
+    LEFT JOIN hours h ON h.day_of_week = upper(dayname(c.new_day))) judged),
+fin AS (
+  SELECT seq, aid, fail FROM walk WHERE n > 0
+  UNION ALL
+  SELECT seq, aid, CASE WHEN cancel THEN NULL ELSE '404|Appointment not found' END
+  FROM req WHERE aid NOT IN (SELECT appointment_id FROM appointments))"""
+
+
+for _strict, _name in ((True, ""), (False, "_lenient")):
+    BODIES[f"patch_appointments_chain{_name}"] = f"{_chain(_strict)}\n{_fails_then_ok('fin', 200, 'aid')}"
+
+BODIES["patch_appointments_chain_result"] = f"""{_chain(False)},
+ends AS (
+  SELECT unnest(held) AS x
+  FROM walk JOIN (SELECT dentist_id, max(n) AS n FROM walk GROUP BY dentist_id) USING (dentist_id, n))
+SELECT x.aid AS appointment_id, x.day AS appointment_date, x.at AS appointment_time, x.status AS status,
+       x.aid IN (SELECT aid FROM fin WHERE fail IS NULL) AS touched
+FROM ends"""

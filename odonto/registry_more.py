@@ -83,7 +83,7 @@ def _q(t, spark, d):
     return jobs.add_payments(t, rq.payment_requests(spark, d), _as_of()).outcome
 
 
-from odonto.plans import records  # noqa: E402
+from odonto.plans import changes, records  # noqa: E402
 
 _RECORD_JOBS = {
     "add_patients": (records.add_patients, rq.patient_requests),
@@ -296,3 +296,20 @@ def _q(t, spark, d):
 @register("stock_labels")
 def _q(t, spark, d):
     return lists.stock_labels(t)
+
+
+@register("patch_appointments_chain")
+def _q(t, spark, d):
+    return changes.change_appointments(t, rq.appointment_change_requests(spark, d), _as_of()).outcome
+
+
+@register("patch_appointments_chain_lenient")
+def _q(t, spark, d):
+    return changes.change_appointments(t, rq.appointment_change_requests(spark, d), _as_of(), strict=False).outcome
+
+
+@register("patch_appointments_chain_result")
+def _q(t, spark, d):
+    snap = changes.change_appointments(t, rq.appointment_change_requests(spark, d), _as_of(), strict=False).snapshot
+    return snap.appointments.select("appointment_id", "appointment_date", "appointment_time", "status",
+                                    F.col("updated_at").isNotNull().alias("touched"))

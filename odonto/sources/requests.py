@@ -187,6 +187,25 @@ def appointment_cancel_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ((F.col("event_id") * 31) % _n_events(spark, sf_dir) + 1).cast("string").alias("appointment_id"))
 
 
+def appointment_change_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event changes one appointment in three, so that an appointment gets
+    several changes: a cancellation, a time, a date, both, or a status."""
+    e = driver(spark, sf_dir, "events")
+    et = F.col("event_type")
+    none = F.lit(None).cast("string")
+    third = F.greatest(F.floor(_n_events(spark, sf_dir) / 3), F.lit(1))
+    return e.select(
+        F.col("event_id").alias("seq"), F.when(et == "view", "cancel").otherwise("patch").alias("op"),
+        ((F.col("event_id") * 7) % third * 3 + 1).cast("string").alias("appointment_id"),
+        none.alias("patient_id"), F.lit(False).alias("has_patient_id"),
+        none.alias("dentist_id"), F.lit(False).alias("has_dentist_id"),
+        F.date_format(F.date_add(F.col("ts").cast("date"), 1), "yyyy-MM-dd").alias("appointment_date"),
+        et.isin("signup", "purchase").alias("has_appointment_date"),
+        F.date_format("ts", "HH:00").alias("appointment_time"), et.isin("click", "purchase").alias("has_appointment_time"),
+        F.lit("booked").alias("status"), (et == "error").alias("has_status"),
+        none.alias("problem_description"), F.lit(False).alias("has_problem_description"))
+
+
 def treatment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _line_rank(driver(spark, sf_dir, "lineitem"))
     return li.select(
