@@ -255,6 +255,16 @@ SELECT seq, {_split('ins')}, NULL, NULL FROM fold WHERE NOT accepted AND NOT ove
 UNION ALL
 SELECT seq, 201, NULL, id, NULL FROM ok"""
 
+# The stream gives the same answers, without the payments' ids.
+BODIES["stream_add_payments"] = PAYMENTS_PREFIX + f"""
+SELECT seq, {_split('pre')} FROM chk WHERE pre IS NOT NULL
+UNION ALL
+SELECT seq, 400, 'Payment is greater than remaining balance' FROM fold WHERE over_bal
+UNION ALL
+SELECT seq, {_split('ins')} FROM fold WHERE NOT accepted AND NOT over_bal
+UNION ALL
+SELECT seq, 201, NULL FROM ok"""
+
 
 # --- record-maintenance jobs -------------------------------------------------
 def _req(x, n):

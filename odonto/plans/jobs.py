@@ -235,15 +235,9 @@ def create_bills(t, req: DataFrame, as_of) -> JobResult:
 
 # --- W12 add payments ------------------------------------------------------
 
-def add_payments(t, req: DataFrame, as_of) -> JobResult:
-    """Validate payments and apply them in arrival order per bill.
-
-    Order: billing access (403), bill id, amount a valid number, amount > 0,
-    bill known (404), amount <= balance left by earlier accepted payments
-    (400), payment method in its domain (500, consumes nothing). Accepted
-    payments update their bill's status (T7) and add PAYMENT_CREATED rows.
-    """
-    ts = _ts(as_of)
+def parsed_payments(req: DataFrame) -> DataFrame:
+    """Payment requests with typed values and the outcome of the body checks
+    (``_body_code``) and of what the insert itself refuses (``_row_code``)."""
     r_bid, bid = positive_id_rule("bill_id", "bill_id")
     r_amt, amt_n = non_negative_number("paid_amount", "paid_amount")
     r_method, method = required_text_default("payment_method", "CASH", "payment_method", 20)
@@ -255,21 +249,39 @@ def add_payments(t, req: DataFrame, as_of) -> JobResult:
         Rule(to_money(F.col("paid_amount")).isNotNull(), 500, "Out of range value for column 'paid_amount'"),
         Rule(F.upper(method).isin(PAYMENT_METHODS), 500, "Data truncated for column 'payment_method'"),
     ])
-    # Read the batch once: every probe below starts from the parsed requests.
-    r = stage(req.select(
+    return req.select(
         "seq", "caller_id", "caller_role", caller_id().alias("received_by_user_id"), bid.alias("bill_id"),
         to_money(F.col("paid_amount")).alias("paid_amount"),
         _exact(F.col("paid_amount")).alias("amount_raw"),
         F.upper(method).alias("payment_method"), optional_text("notes", 255).alias("notes"),
         body_code.alias("_body_code"), body_reason.alias("_body_reason"),
-        row_code.alias("_row_code"), row_reason.alias("_row_reason")))
-    r = _exists(billing_access(t, r), "received_by_user_id", t.users, "user_id", "_user_ok")
+        row_code.alias("_row_code"), row_reason.alias("_row_reason"))
+
+
+def checked_payments(r: DataFrame) -> DataFrame:
+    """``_pre_code``: the refusal before the bill is looked at; ``_ins_code``: that
+    after the balance check, which consumes nothing. ``r`` has the caller's
+    access and ``_user_ok``."""
     pre_code, pre_reason = first_failure([Rule(F.col("billing_allowed"), 403, F.col("access_reason"))])
     ins_code, ins_reason = first_failure([Rule(F.col("_user_ok"), 500, MSG_FK)])
-    r = r.select(
+    return r.select(
         "seq", "received_by_user_id", "bill_id", "paid_amount", "amount_raw", "payment_method", "notes",
         F.coalesce(pre_code, "_body_code").alias("_pre_code"), F.when(pre_code.isNotNull(), pre_reason).otherwise(F.col("_body_reason")).alias("_pre_reason"),
         F.coalesce("_row_code", ins_code).alias("_ins_code"), F.when(F.col("_row_code").isNotNull(), F.col("_row_reason")).otherwise(ins_reason).alias("_ins_reason"))
+
+
+def add_payments(t, req: DataFrame, as_of) -> JobResult:
+    """Validate payments and apply them in arrival order per bill.
+
+    Order: billing access (403), bill id, amount a valid number, amount > 0,
+    bill known (404), amount <= balance left by earlier accepted payments
+    (400), payment method in its domain (500, consumes nothing). Accepted
+    payments update their bill's status (T7) and add PAYMENT_CREATED rows.
+    """
+    ts = _ts(as_of)
+    # Read the batch once: every probe below starts from the parsed requests.
+    r = stage(parsed_payments(req))
+    r = checked_payments(_exists(billing_access(t, r), "received_by_user_id", t.users, "user_id", "_user_ok"))
     # One join gives both the bill's existence and its balance before the batch.
     bs = billing_summary(t).select("bill_id", F.col("remaining_balance").alias("remaining"))
     r = r.join(bs, "bill_id", "left").withColumn("_bill_ok", F.col("remaining").isNotNull())

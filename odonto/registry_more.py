@@ -313,3 +313,9 @@ def _q(t, spark, d):
     snap = changes.change_appointments(t, rq.appointment_change_requests(spark, d), _as_of(), strict=False).snapshot
     return snap.appointments.select("appointment_id", "appointment_date", "appointment_time", "status",
                                     F.col("updated_at").isNotNull().alias("touched"))
+
+
+@register("stream_add_payments")
+def _q(t, spark, d):
+    from odonto.streaming.payments import stream_add_payments
+    return stream_add_payments(t, rq.payment_requests(spark, d)).select("seq", "status_code", "reason")

@@ -19,14 +19,20 @@ from odonto.functions.exprs import padded
 from odonto.sources.bind import _line_rank, driver
 
 
-def read_requests(spark: SparkSession, path: str, fields: list[str], streaming: bool = False) -> DataFrame:
+def read_requests(spark: SparkSession, path: str, fields: list[str], streaming: bool = False,
+                  files_per_trigger: int | None = None, bytes_per_trigger: int | None = None) -> DataFrame:
     """JSON-lines request bodies -> one row per request with text fields.
 
     Each line is an object with ``seq``, optional ``caller_id`` /
     ``caller_role`` and body fields. Field values are kept as text whatever
-    their JSON type; ``has_<field>`` records whether the key was present.
+    their JSON type; ``has_<field>`` records whether the key was present. As a
+    stream, a trigger takes as much as one of the two bounds allows, or all.
     """
     reader = spark.readStream if streaming else spark.read
+    if streaming and files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    elif streaming and bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     raw = reader.text(path).select(F.col("value").alias("_j"))
     keys = F.json_object_keys("_j")
     cols = [F.get_json_object("_j", "$.seq").try_cast("long").alias("seq"),
