@@ -37,7 +37,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FIELDS = ["bill_id", "paid_amount", "payment_method", "notes"]
 ACCEPTED, OVER, REFUSED, NO_BILL = range(4)
-# Verdicts are kept in runs of so many seqs, one state row each.
+# So many verdicts lie beside a balance; more are kept in runs of so many seqs.
 RUN = 4096
 VERDICT = np.dtype([("seq", "<i8"), ("verdict", "u1")])
 DECIDED_SCHEMA = ("seq long, bill_id long, cents long, payment_method string, received_by_user_id long, notes string, "
@@ -50,43 +50,51 @@ class BillBalance(StatefulProcessor):
     """Applies one bill's payments by seq."""
 
     def init(self, handle) -> None:
-        self.left = handle.getValueState("left", "cents long")
-        self.seen = handle.getMapState("seen", "run long", "packed binary")
+        # The latest verdicts lie beside the balance: one read and one write a
+        # trigger for a bill of few payments. More go to runs of their own.
+        self.bill = handle.getValueState("bill", "cents long, latest binary, has_runs boolean")
+        self.runs = handle.getMapState("runs", "run long", "packed binary")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.left.update((int(initialState["cents"].iloc[0]),))
+        self.bill.update((int(initialState["cents"].iloc[0]), b"", False))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
         seq, first, back = np.unique(pdf["seq"].to_numpy(), return_index=True, return_inverse=True)
         verdict = np.full(len(seq), NO_BILL, np.uint8)
         known = np.zeros(len(seq), bool)
-        if self.left.exists():
-            packed = {}
-            for run in np.unique(seq // RUN).tolist():
-                if self.seen.containsKey((run,)):
-                    old = np.frombuffer(self.seen.getValue((run,))[0], VERDICT)
-                    packed[run] = old
-                    here = np.isin(seq, old["seq"])
-                    known |= here
-                    verdict[here] = old["verdict"][np.searchsorted(old["seq"], seq[here])]
+        if (state := self.bill.get()) is not None:
+            left, latest, has_runs = state[0], np.frombuffer(state[1], VERDICT), state[2]
+            runs = np.unique(seq // RUN).tolist() if has_runs else []
+            packed = [self.runs.getValue((r,))[0] for r in runs if self.runs.containsKey((r,))]
+            for old in (latest, *(np.frombuffer(x, VERDICT) for x in packed)):
+                here = np.isin(seq, old["seq"])
+                known |= here
+                verdict[here] = old["verdict"][np.searchsorted(old["seq"], seq[here])]
             new = pdf.iloc[first[~known]]
-            accepted, over, left = _walk(new["raw_key"].to_numpy(), new["cents"].to_numpy(), new["row_ok"].to_numpy(),
-                                         self.left.get()[0])
+            accepted, over, left = _walk(new["raw_key"].to_numpy(), new["cents"].to_numpy(), new["row_ok"].to_numpy(), left)
             verdict[~known] = np.where(over, OVER, np.where(accepted, ACCEPTED, REFUSED))
-            if len(new):
-                self.left.update((int(left),))
             fresh = np.zeros(len(new), VERDICT)
             fresh["seq"], fresh["verdict"] = seq[~known], verdict[~known]
-            for run in np.unique(fresh["seq"] // RUN).tolist():
-                part = fresh[fresh["seq"] // RUN == run]
-                both = np.concatenate([packed[run], part]) if run in packed else part
-                self.seen.updateValue((run,), (np.sort(both, order="seq").tobytes(),))
+            if len(fresh):
+                both = np.sort(np.concatenate([latest, fresh]), order="seq")
+                if len(both) > RUN:
+                    self._spill(both)
+                    both, has_runs = both[:0], True
+                self.bill.update((int(left), both.tobytes(), has_runs))
         again = known[back] | (np.arange(len(pdf)) != first[back])
         out = pdf.drop(columns=["raw_key", "row_ok"])
         out["verdict"], out["again"] = verdict[back].astype("int32"), again
         yield out
 
+    def _spill(self, verdicts: np.ndarray) -> None:
+        of = verdicts["seq"] // RUN
+        for run in np.unique(of).tolist():
+            part = verdicts[of == run]
+            if self.runs.containsKey((run,)):
+                part = np.sort(np.concatenate([np.frombuffer(self.runs.getValue((run,))[0], VERDICT), part]), order="seq")
+            self.runs.updateValue((run,), (part.tobytes(),))
+
 
 def decide_payments(t, requests: DataFrame) -> DataFrame:
     """Stream of (seq, status_code, reason, again, and the payment's values) for a

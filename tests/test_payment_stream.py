@@ -1,10 +1,12 @@
 """Payment requests as a stream: the batch job's answers, however they are cut."""
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from clinic_constants import AS_OF
 from odonto.plans.jobs import add_payments
+from odonto.streaming import payments
 from odonto.streaming.payments import payments_of, start_payments, write_request_files
 
 PAY = "seq long, caller_id long, caller_role string, bill_id string, paid_amount string, payment_method string, notes string"
@@ -22,7 +24,9 @@ def run(t, *where):
     assert q.exception() is None
 
 
-def test_parts_and_restarts_equal_the_batch_job(spark, seed, tmp_path):
+@pytest.mark.parametrize("run_length", [4096, 3])
+def test_parts_and_restarts_equal_the_batch_job(spark, seed, tmp_path, monkeypatch, run_length):
+    monkeypatch.setattr(payments, "RUN", run_length)
     rng = random.Random(8)
     bills = [str(r.bill_id) for r in seed.bills.collect()]
     rows = sorted(random_requests(rng, 120, bills))
