@@ -762,6 +762,21 @@ FROM patients p JOIN ({BODIES['patch_patients_result']}) r ON r.patient_id = p.p
 WHERE r.name IS DISTINCT FROM p.name OR r.phone IS DISTINCT FROM p.phone
    OR r.gender IS DISTINCT FROM p.gender OR r.address IS DISTINCT FROM p.address"""
 
+BODIES["stream_audit_feed"] = f"""
+SELECT action_type, table_name, record_id, old_value, new_value, CAST(NULL AS BIGINT) AS user_id, 1 AS version
+FROM ({BODIES['patients_diff_audit']}) t3
+UNION ALL
+SELECT action_type, table_name, record_id, old_value, new_value, CAST(user_id AS BIGINT), 1
+FROM ({BODIES['cancel_appointments_audit']}) t4
+UNION ALL
+SELECT *, 1 FROM ({_T5}) t5
+UNION ALL
+SELECT 'PATIENT_SOFT_DELETED', 'patients', p.patient_id, r.name, r.name, NULL, 2
+FROM patients p JOIN ({BODIES['patch_patients_result']}) r ON r.patient_id = p.patient_id
+WHERE NOT p.is_deleted AND p.patient_id IN (SELECT o_custkey + 1 FROM orders)
+UNION ALL
+SELECT *, 2 FROM ({_T6}) t6"""
+
 BODIES["search_patient_sql"] = BODIES["search_patient"]
 BODIES["daily_report_sql"] = BODIES["daily_report"]
 

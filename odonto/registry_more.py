@@ -319,3 +319,23 @@ def _q(t, spark, d):
 def _q(t, spark, d):
     from odonto.streaming.payments import stream_add_payments
     return stream_add_payments(t, rq.payment_requests(spark, d)).select("seq", "status_code", "reason")
+
+
+@register("stream_audit_feed")
+def _q(t, spark, d):
+    """T9 as a stream over two batches: patients are patched, appointments cancelled
+    and bills created; then patients are soft-deleted, payments come in and set
+    the status of their bills."""
+    from odonto.session import stage
+    from odonto.streaming.audits import stream_audit_feed
+    a = _as_of()
+    first = t.replace(
+        patients=stage(records.patch_patients(t, rq.patient_patch_requests(spark, d), a).snapshot.patients),
+        appointments=records.cancel_appointments(t, rq.appointment_cancel_requests(spark, d), a).snapshot.appointments,
+        bills=stage(jobs.create_bills(t, rq.bill_requests(spark, d), a).snapshot.bills))
+    payments = stage(jobs.add_payments(t, rq.payment_requests(spark, d), a).snapshot.payments)
+    second = first.replace(
+        patients=records.soft_delete_patients(first, rq.patient_delete_requests(spark, d), a).snapshot.patients,
+        bills=feeds.recompute_bill_status(first.bills, payments), payments=payments)
+    # The binding's payment ids are a hundred times sparser than the library's own.
+    return stream_audit_feed([t, first, second], a, ids_per_block={"payments": 100_000}).select(*_FEED, "version")
