@@ -825,6 +825,26 @@ SELECT id, p_name, p_brand, CAST(p_size - 5 AS INT), CASE WHEN p_size % 4 = 0 TH
        DATE '2026-01-01' + CAST(p_partkey % 720 AS INT)
 FROM good"""
 
+BODIES["add_medicines_typed"] = """
+WITH good AS (SELECT *, CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE p_size - 5 END AS quantity
+              FROM part WHERE p_partkey % 50 NOT IN (7, 9))
+SELECT row_number() OVER (ORDER BY p_partkey) + (SELECT max(medicine_id) FROM medicines) AS medicine_id,
+       p_name AS medicine_name, p_brand AS batch_no, CAST(quantity AS INT) AS quantity,
+       CAST(CASE p_size % 4 WHEN 0 THEN 10 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE p_size % 20 END AS INT) AS low_stock_limit,
+       DATE '2026-01-01' + CAST(p_partkey % 720 AS INT) AS expiry_date
+FROM good WHERE quantity >= 0"""
+
+BODIES["malformed_requests"] = """
+WITH b AS (
+  SELECT p_partkey, '{"seq":' || p_partkey || ',"medicine_name":"' || p_name || '","batch_no":"' || p_brand
+         || '","expiry_date":"' || strftime(DATE '2026-01-01' + CAST(p_partkey % 720 AS INT), '%Y-%m-%d') || '","quantity":'
+         || CASE WHEN p_partkey % 10 = 0 THEN 'null' ELSE CAST(p_size - 5 AS VARCHAR) END || ',"low_stock_limit":'
+         || CASE p_size % 4 WHEN 0 THEN '0' WHEN 1 THEN '"0"' WHEN 2 THEN 'true' ELSE CAST(p_size % 20 AS VARCHAR) END AS body
+  FROM part)
+SELECT body AS line, 'no JSON' AS problem FROM b WHERE p_partkey % 50 = 7
+UNION ALL
+SELECT '[' || body || '}]', 'no object' FROM b WHERE p_partkey % 50 = 9"""
+
 BODIES["book_appointments_result"] = _book(True).split(")\nSELECT seq, CAST(split_part")[0] + """)
 SELECT id AS appointment_id, printf('APT-%05d', id) AS appointment_code, pid AS patient_id, did AS dentist_id,
        d AS appointment_date, tm AS appointment_time, 'BOOKED' AS status

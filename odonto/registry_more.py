@@ -339,3 +339,20 @@ def _q(t, spark, d):
         bills=feeds.recompute_bill_status(first.bills, payments), payments=payments)
     # The binding's payment ids are a hundred times sparser than the library's own.
     return stream_audit_feed([t, first, second], a, ids_per_block={"payments": 100_000}).select(*_FEED, "version")
+
+
+# --- typed request bodies -------------------------------------------------------
+from odonto.sources import bodies  # noqa: E402
+
+
+@register("add_medicines_typed")
+def _q(t, spark, d):
+    path = bodies.write_lines(rq.medicine_bodies(spark, d), "medicine-bodies")
+    job = records.add_medicines(t, bodies.read_bodies(spark, path, bodies.BODIES["add_medicines"]), _as_of())
+    return job.accepted.select("medicine_id", "medicine_name", "batch_no", "quantity", "low_stock_limit", "expiry_date")
+
+
+@register("malformed_requests")
+def _q(t, spark, d):
+    path = bodies.write_lines(rq.medicine_bodies(spark, d), "medicine-bodies")
+    return bodies.quarantined(spark, path).select("line", "problem")

@@ -253,6 +253,24 @@ def medicine_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("expiry_date"))
 
 
+def medicine_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as the JSON line of a new medicine: limits come as a number, a
+    text or a boolean, some quantities as null; in every fifty lines one is cut
+    off and one is a list."""
+    pk, size = F.col("p_partkey"), F.col("p_size")
+    limit = (F.when(size % 4 == 0, "0").when(size % 4 == 1, '"0"').when(size % 4 == 2, "true")
+             .otherwise((size % 20).cast("string")))
+    named = F.to_json(F.struct(
+        pk.alias("seq"), F.col("p_name").alias("medicine_name"), F.col("p_brand").alias("batch_no"),
+        F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (pk % 720).cast("int")), "yyyy-MM-dd").alias("expiry_date")))
+    body = F.concat(F.rtrim(named, F.lit("}")), F.lit(',"quantity":'),
+                    F.when(pk % 10 == 0, "null").otherwise((size - 5).cast("string")),
+                    F.lit(',"low_stock_limit":'), limit)
+    return driver(spark, sf_dir, "part").select(
+        F.when(pk % 50 == 7, body).when(pk % 50 == 9, F.concat(F.lit("["), body, F.lit("}]")))
+        .otherwise(F.concat(body, F.lit("}"))).alias("value"))
+
+
 def medicine_patch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _line_rank(driver(spark, sf_dir, "lineitem"))
     none = F.lit(None).cast("string")

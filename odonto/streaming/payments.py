@@ -1,10 +1,11 @@
 """S4 with W12 as a stream: payment requests decided as they arrive.
 
-JSON request files stream in. What can be said of a request by itself (caller,
-amount, method) is checked as in the batch job; then the requests meet their
-bill's balance in a keyed state (``transformWithState``, RocksDB). The state of a
-bill is its balance, which starts as the snapshot's, and the verdicts given so
-far, so that a request sent again gets its first answer and pays nothing.
+JSON request files stream in, typed (``sources.bodies``); malformed lines get no
+answer here, ``start_quarantine`` sets them apart. What can be said of a request by
+itself (caller, amount, method) is checked as in the batch job; then the requests
+meet their bill's balance in a keyed state (``transformWithState``, RocksDB). The
+state of a bill is its balance, which starts as the snapshot's, and the verdicts
+given so far, so that a request sent again gets its first answer and pays nothing.
 
 Requests of one trigger are applied by seq, those of later triggers after them.
 However a file of requests is cut into consecutive parts, the answers are those
@@ -29,13 +30,12 @@ from odonto.operators.fold import _walk
 from odonto.operators.ids import assign_ids, max_id
 from odonto.plans.jobs import _date, _ts, checked_payments, parsed_payments
 from odonto.plans.views import billing_summary
-from odonto.sources.requests import read_requests
+from odonto.sources.bodies import BODIES, read_bodies
 from odonto.streaming.bill_status import ROCKSDB, _scratch
 
 # The processor runs in Python workers that need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-FIELDS = ["bill_id", "paid_amount", "payment_method", "notes"]
 ACCEPTED, OVER, REFUSED, NO_BILL = range(4)
 # So many verdicts lie beside a balance; more are kept in runs of so many seqs.
 RUN = 4096
@@ -136,8 +136,8 @@ def start_payments(t, source: str, sink: str, checkpoint: str, available_now: bo
     spark = t.spark
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    requests = read_requests(spark, source, FIELDS, streaming=True, files_per_trigger=files_per_trigger,
-                             bytes_per_trigger=bytes_per_trigger)
+    requests = read_bodies(spark, source, BODIES["add_payments"], streaming=True, files_per_trigger=files_per_trigger,
+                           bytes_per_trigger=bytes_per_trigger)
     w = (decide_payments(t, requests).writeStream.format("parquet").option("path", sink)
          .option("checkpointLocation", checkpoint).outputMode("append"))
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
@@ -152,7 +152,7 @@ def payments_of(t, answers: DataFrame, as_of) -> DataFrame:
 
 
 def write_request_files(requests: DataFrame, path: str) -> None:
-    """Requests as JSON lines, one object each, as ``read_requests`` reads them."""
+    """Requests as JSON lines, one object each, as ``read_bodies`` reads them."""
     requests.select(F.to_json(F.struct(*requests.columns)).alias("value")).write.mode("append").text(path)
 
 
