@@ -798,6 +798,8 @@ SELECT patient_id, is_deleted OR patient_id IN (SELECT patient_id FROM asked) AS
        patient_id IN (SELECT patient_id FROM asked) AS touched
 FROM patients"""
 
+BODIES["soft_delete_patients_versions"] = BODIES["soft_delete_patients_result"]
+
 BODIES["add_dentists_result"] = """
 WITH good AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) + (SELECT max(dentist_id) FROM dentists) AS id
               FROM supplier WHERE s_acctbal >= 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from odonto.plans import audits
@@ -356,3 +358,17 @@ def _q(t, spark, d):
 def _q(t, spark, d):
     path = bodies.write_lines(rq.medicine_bodies(spark, d), "medicine-bodies")
     return bodies.quarantined(spark, path).select("line", "problem")
+
+
+# --- versions that share unchanged buckets ----------------------------------------
+@register("soft_delete_patients_versions")
+def _q(t, spark, d):
+    """W3 on stored versions: the deleted patients' buckets are rewritten, the rest is shared."""
+    from odonto.session import ensure_checkpoint_dir
+    from odonto.sources.versions import VersionedTables
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/versions-{uuid.uuid4().hex[:12]}"
+    store = VersionedTables.create(spark, path, {"patients": t.patients})
+    gone = records.soft_delete_patients(t, rq.patient_delete_requests(spark, d), _as_of()).accepted
+    patches = gone.select("seq", F.col("patient_id").cast("long"), F.lit(True).alias("is_deleted"), F.lit(True).alias("has_is_deleted"))
+    new = store.patch("patients", patches, ["is_deleted"], stamp=("updated_at", F.lit(_as_of())))
+    return new.table("patients").select("patient_id", "is_deleted", F.col("updated_at").isNotNull().alias("touched"))
