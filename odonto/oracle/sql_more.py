@@ -777,6 +777,7 @@ WHERE NOT p.is_deleted AND p.patient_id IN (SELECT o_custkey + 1 FROM orders)
 UNION ALL
 SELECT *, 2 FROM ({_T6}) t6"""
 
+BODIES["patients_page_fences"] = BODIES["patients_page"]
 BODIES["search_patient_sql"] = BODIES["search_patient"]
 BODIES["daily_report_sql"] = BODIES["daily_report"]
 

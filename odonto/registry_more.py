@@ -372,3 +372,13 @@ def _q(t, spark, d):
     patches = gone.select("seq", F.col("patient_id").cast("long"), F.lit(True).alias("is_deleted"), F.lit(True).alias("has_is_deleted"))
     new = store.patch("patients", patches, ["is_deleted"], stamp=("updated_at", F.lit(_as_of())))
     return new.table("patients").select("patient_id", "is_deleted", F.col("updated_at").isNotNull().alias("touched"))
+
+
+@register("patients_page_fences")
+def _q(t, spark, d):
+    """O7 from sorted ranges: only those that hold the page's offsets are read."""
+    from odonto.operators.paging import SortedPages
+    from odonto.registry import PAGE_OFFSET, PAGE_SIZE
+    from odonto.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pages-{uuid.uuid4().hex[:12]}"
+    return SortedPages.write(lists.live_patients(t), ["name", "patient_id"], path).page(PAGE_OFFSET, PAGE_SIZE)
