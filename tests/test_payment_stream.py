@@ -1,6 +1,7 @@
 """Payment requests as a stream: the batch job's answers, however they are cut."""
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +47,37 @@ def test_parts_and_restarts_equal_the_batch_job(spark, seed, tmp_path, monkeypat
     got = sorted(map(tuple, payments_of(seed, answers, AS_OF).select(cols).collect()))
     assert got == sorted(map(tuple, batch.accepted.select(cols).collect()))
     assert answers.filter(F.col("again")).count() > 0
+
+
+def test_a_block_holds_many_bills_in_few_state_rows(spark, tmp_path):
+    """A state row per block of bills, not per bill; refused requests take none."""
+    state = {}
+
+    class Value:
+        get = staticmethod(lambda: state.get("block"))
+        update = staticmethod(lambda v: state.update(block=v))
+
+    class Runs:
+        getValue = staticmethod(lambda k: state[k])
+        updateValue = staticmethod(lambda k, v: state.update({k: v}))
+
+    class Handle:
+        getValueState = staticmethod(lambda *a: Value)
+        getMapState = staticmethod(lambda *a: Runs)
+
+    def asked(rows):
+        return pd.DataFrame([(s, b, c, 2 * c, ok) for s, b, c, ok in rows], columns=["seq", "bill_id", "cents", "raw_key", "row_ok"])
+
+    p = payments.BillBalance()
+    p.init(Handle)
+    for part in ([(1, 500), (2, 0)], [(3, -7), (4, 10 ** 12)]):        # a block's rows in two calls
+        p.handleInitialState((0,), pd.DataFrame(part, columns=["bill_id", "cents"]), None)
+    rows = [(5, 1, 400, True), (1, 1, 200, True), (2, 1, 300, False), (3, 2, 1, True), (4, 3, 1, True), (6, 4, 10 ** 12, True), (7, 9, 1, True)]
+    out, = p.handleInputRows((0,), iter([asked(rows)]), None)
+    ok, over, refused, none = payments.ACCEPTED, payments.OVER, payments.REFUSED, payments.NO_BILL
+    assert dict(zip(out["seq"], out["verdict"])) == {1: ok, 2: refused, 5: over, 3: over, 4: over, 6: ok, 7: none}
+    assert set(state) == {"block"}
+    out, = p.handleInputRows((0,), iter([asked([(5, 1, 1, True), (8, 1, 300, True), (8, 1, 300, True), (7, 9, 1, True)])]), None)
+    assert list(zip(out["verdict"], out["again"])) == [(over, True), (ok, False), (ok, True), (none, False)]
+    out, = p.handleInputRows((-3,), iter([asked([(9, 1, 5, True)])]), None)
+    assert list(zip(out["verdict"], out["again"])) == [(refused, False)] and set(state) == {"block"}
