@@ -35,6 +35,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from odonto.plans.feeds import AUDIT_COLS
 from odonto.schemas import PRIMARY_KEYS, SCHEMAS
+from odonto.session import shuffles_dropped
 from odonto.streaming.bill_status import ROCKSDB, _scratch
 
 # The processor runs in Python workers that need not have this package.
@@ -197,7 +198,8 @@ def write_row_changes(old, new, path: str, version: int, changed_at) -> None:
     share writes nothing."""
     for n in TABLES:
         if old[n] is not new[n]:
-            row_changes(old[n], new[n], n, version, changed_at).write.mode("append").parquet(f"{path}/{n}")
+            with shuffles_dropped(new[n].sparkSession):
+                row_changes(old[n], new[n], n, version, changed_at).write.mode("append").parquet(f"{path}/{n}")
 
 
 def empty_source(spark: SparkSession, path: str) -> None:
